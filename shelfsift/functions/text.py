@@ -16,6 +16,7 @@ WORD_GAP = r"[^\p{L}\p{N}]+"
 WHITESPACE = r"[\s\p{Z}\x{0B}\x{1C}-\x{1F}\x{85}]+"
 CHAR_ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyz"
 NOISE_PATTERN = r"[0-9]+|\p{Punct}|ï|½|®"
+FEATURE_WORD = r"[\p{L}\p{N}_]{2,}"
 PATH_SEPARATOR = " > "
 
 
@@ -111,6 +112,11 @@ def path_parts(c: Column | str) -> Column:
     return F.split(_as_column(c), PATH_SEPARATOR)
 
 
+def feature_words(c: Column | str) -> Column:
+    """Lower-cased runs of at least two word characters, the tokens of count and TF-IDF features."""
+    return F.regexp_extract_all(F.lower(_as_column(c)), F.lit(FEATURE_WORD), F.lit(0))
+
+
 def token_count(c: Column | str) -> Column:
     return F.size(split_tokens(c))
 
@@ -178,6 +184,32 @@ def bigramize(c: Column | str) -> Column:
     return F.array_join(token_ngrams(split_tokens(c), 2, 2, "_"), " ")
 
 
+def term_runs(tokens: Column | str) -> Column:
+    """``[(token, n), ...]``: how often each token occurs in one array, in token order.
+
+    Counting inside the row spares the shuffle that a grouped count per (row, token) would need.
+    """
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(
+            F.sequence(F.lit(1), F.size(s)),
+            lambda i: (i == 1) | (F.get(s, i - 1) != F.get(s, i - 2)),
+        )
+        return _bind(
+            starts,
+            lambda at: F.transform(
+                at,
+                lambda i, k: F.struct(
+                    F.get(s, i - 1).alias("token"),
+                    (F.coalesce(F.get(at, k + 1), F.size(s) + 1) - i).cast("bigint").alias("n"),
+                ),
+            ),
+        )
+
+    empty = F.array().cast("array<struct<token:string,n:bigint>>")
+    return _bind(F.sort_array(_as_column(tokens)), lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(empty))
+
+
 def pair_structs(tokens: Column | str) -> Column:
     """All (earlier token, later token) pairs of one array."""
     return _bind(
@@ -219,8 +251,12 @@ def one_hot(index: Column | str, n: int) -> Column:
 
 def bag_of_chars(c: Column | str, alphabet: str = CHAR_ALPHABET) -> Column:
     """How often each character of the alphabet occurs in a text."""
-    lowered = F.lower(_as_column(c))
-    return F.array(*[F.length(lowered) - F.length(F.replace(lowered, F.lit(ch), F.lit(""))) for ch in alphabet])
+    return _bind(
+        F.lower(_as_column(c)),
+        lambda t: F.transform(
+            F.array(*[F.lit(ch) for ch in alphabet]), lambda ch: F.length(t) - F.length(F.replace(t, ch, F.lit("")))
+        ),
+    )
 
 
 def nested_ngrams(seq: Column | str, n: int, m: int) -> Column:

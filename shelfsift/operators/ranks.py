@@ -73,15 +73,16 @@ def systematic_sample(df: DataFrame, group: str, order: Sequence[Column | str],
 
 def first_per_group(
     df: DataFrame, group: Sequence[str], order: Sequence[Column | str], n: int,
-    spread: Column | None = None, parts: int = 32,
+    spread: Sequence[str] = (), parts: int = 32,
 ) -> DataFrame:
     """The first ``n`` rows of each group.
 
     The pick runs inside ``parts`` salted pieces of every group first, so the last step sees at
-    most ``n * parts`` rows of a group, whatever its size.
+    most ``n * parts`` rows of a group, whatever its size. ``spread`` names the columns to salt by
+    (all columns if empty).
     """
     keys = _columns(order)
-    salt = F.pmod(F.xxhash64(*(keys if spread is None else [spread])), F.lit(parts))
+    salt = F.pmod(F.xxhash64(*(spread or df.columns)), F.lit(parts))
     inner = Window.partitionBy(*group, "_salt").orderBy(*keys)
     outer = Window.partitionBy(*group).orderBy(*keys)
     return (
@@ -92,19 +93,10 @@ def first_per_group(
     )
 
 
-def cap_per_class(
-    df: DataFrame, cls: str, n: int, order: Sequence[Column | str] | None = None,
-    key: str | None = None, seed: int = 0,
-) -> DataFrame:
-    """At most ``n`` rows of each class: the first by ``order``, or a seeded shuffle of ``key``."""
-    if order is None:
-        if key is None:
-            raise ValueError("give an order, or a unique key to shuffle by")
-        order, spread = [F.xxhash64(F.col(key), F.lit(seed)), F.col(key)], F.col(key)
-    else:
-        spread = F.struct(*_columns([c for c in order if isinstance(c, str)])) if any(
-            isinstance(c, str) for c in order) else None
-    return first_per_group(df, [cls], order, n, spread)
+def cap_per_class(df: DataFrame, cls: str, n: int, key: str, seed: int | None = None) -> DataFrame:
+    """At most ``n`` rows of each class: the first by ``key``, or by a seeded shuffle of ``key``."""
+    order = [F.col(key)] if seed is None else [F.xxhash64(F.col(key), F.lit(seed)), F.col(key)]
+    return first_per_group(df, [cls], order, n, [key])
 
 
 def assign_doc_id(df: DataFrame, order: Sequence[Column | str], start: int = 1, name: str = "item_no") -> DataFrame:
