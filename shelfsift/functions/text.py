@@ -154,6 +154,11 @@ def token_ngrams(tokens: Column | str, lo: int, hi: int, sep: str = " ") -> Colu
     def of_size(t: Column, n: int) -> Column:
         if n == 1:
             return t
+        if n == 2:
+            others = F.greatest(F.size(t) - 1, F.lit(0))
+            return F.zip_with(
+                F.slice(t, F.lit(1), others), F.slice(t, F.lit(2), others), lambda a, b: F.concat(a, F.lit(sep), b)
+            )
         return _over_range(F.size(t) - (n - 1), lambda i: F.array_join(F.slice(t, i, F.lit(n)), sep))
 
     return _bind(_as_column(tokens), lambda t: F.concat(*[of_size(t, n) for n in range(hi, lo - 1, -1)]))
