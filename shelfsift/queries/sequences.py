@@ -10,19 +10,19 @@ from shelfsift.operators import sequences as sq
 from shelfsift.queries import query, table
 from shelfsift.queries.fragments import ITEM, TURNS, documents, items, pairs, processed, raw_words, turns, words
 
-_SEEN = f"""
+SEEN = f"""
 seen AS (SELECT doc_id, unnest({words('text')}) AS token, generate_subscripts({words('text')}, 1) AS spot FROM documents),
 found AS (SELECT token, count(*) AS n, min(doc_id * 1000000 + spot) AS first FROM seen GROUP BY token)
 """
-_BY_FREQ = "SELECT token, row_number() OVER (ORDER BY n DESC, first) AS idx, n FROM found"
+BY_FREQ = "SELECT token, row_number() OVER (ORDER BY n DESC, first) AS idx, n FROM found"
 
 
-@query(f"WITH {_SEEN} SELECT token, row_number() OVER (ORDER BY first) AS idx, n FROM found")
+@query(f"WITH {SEEN} SELECT token, row_number() OVER (ORDER BY first) AS idx, n FROM found")
 def word_index_first(spark: SparkSession, folder: str) -> DataFrame:
     return sq.word_index(documents(spark, folder), "text", "first", ["doc_id"])
 
 
-@query(f"WITH {_SEEN} {_BY_FREQ}")
+@query(f"WITH {SEEN} {BY_FREQ}")
 def word_index_freq(spark: SparkSession, folder: str) -> DataFrame:
     return sq.word_index(documents(spark, folder), "text", "freq", ["doc_id"])
 
@@ -38,7 +38,7 @@ def _numbers(c, sep: str = " "):
 
 
 _TURN_WORDS = f"""
-WITH {_SEEN}, idx AS ({_BY_FREQ}),
+WITH {SEEN}, idx AS ({BY_FREQ}),
 tok AS (SELECT turn_id, unnest({words('text')}) AS token, generate_subscripts({words('text')}, 1) AS spot FROM {TURNS}),
 """
 _DROP = _TURN_WORDS + """
