@@ -24,7 +24,7 @@ def _as_column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and hand it to ``body``, however often the body uses it."""
     return F.transform(F.array(value), body).getItem(0)
 
@@ -161,7 +161,7 @@ def token_ngrams(tokens: Column | str, lo: int, hi: int, sep: str = " ") -> Colu
             )
         return _over_range(F.size(t) - (n - 1), lambda i: F.array_join(F.slice(t, i, F.lit(n)), sep))
 
-    return _bind(_as_column(tokens), lambda t: F.concat(*[of_size(t, n) for n in range(hi, lo - 1, -1)]))
+    return bind(_as_column(tokens), lambda t: F.concat(*[of_size(t, n) for n in range(hi, lo - 1, -1)]))
 
 
 def word_ngrams(c: Column | str, lo: int, hi: int) -> Column:
@@ -171,7 +171,7 @@ def word_ngrams(c: Column | str, lo: int, hi: int) -> Column:
 
 def word_ngrams_all(c: Column | str) -> Column:
     """n-grams of every length over letter/digit tokens, longest first."""
-    return _bind(
+    return bind(
         tokens_replace(c),
         lambda t: F.flatten(
             F.reverse(
@@ -200,7 +200,7 @@ def term_runs(tokens: Column | str) -> Column:
             F.sequence(F.lit(1), F.size(s)),
             lambda i: (i == 1) | (F.get(s, i - 1) != F.get(s, i - 2)),
         )
-        return _bind(
+        return bind(
             starts,
             lambda at: F.transform(
                 at,
@@ -212,12 +212,12 @@ def term_runs(tokens: Column | str) -> Column:
         )
 
     empty = F.array().cast("array<struct<token:string,n:bigint>>")
-    return _bind(F.sort_array(_as_column(tokens)), lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(empty))
+    return bind(F.sort_array(_as_column(tokens)), lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(empty))
 
 
 def pair_structs(tokens: Column | str) -> Column:
     """All (earlier token, later token) pairs of one array."""
-    return _bind(
+    return bind(
         _as_column(tokens),
         lambda t: F.flatten(
             _over_range(
@@ -256,7 +256,7 @@ def one_hot(index: Column | str, n: int) -> Column:
 
 def bag_of_chars(c: Column | str, alphabet: str = CHAR_ALPHABET) -> Column:
     """How often each character of the alphabet occurs in a text."""
-    return _bind(
+    return bind(
         F.lower(_as_column(c)),
         lambda t: F.transform(
             F.array(*[F.lit(ch) for ch in alphabet]), lambda ch: F.length(t) - F.length(F.replace(t, ch, F.lit("")))
@@ -274,4 +274,4 @@ def nested_ngrams(seq: Column | str, n: int, m: int) -> Column:
         empty = F.array_repeat(F.array_repeat(F.lit(0), n), m)
         return F.slice(F.concat(grams, empty), 1, m)
 
-    return _bind(_as_column(seq), rows)
+    return bind(_as_column(seq), rows)

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfsift.functions.text import term_runs, tokens_ws
+from shelfsift.functions.text import bind, term_runs, tokens_ws
 from shelfsift.operators.features import document_frequency
 from shelfsift.operators.joins import skew_join
 
@@ -89,9 +89,14 @@ def _candidate_scores(items: DataFrame, id: str, text: str, index: TokenIndex, w
         F.collect_list(F.struct("class", weight.alias("w"))).alias("_classes")
     )
     tokens = tokens_ws(text)
-    terms = items.select(id, F.size(tokens).alias("_len"), F.explode(term_runs(tokens)).alias("_t")).select(
-        id, "_len", "_t.token", "_t.n"
+    # The length goes into the unpacked rows: beside the explode it would be computed once per token.
+    sized = bind(
+        tokens,
+        lambda t: F.transform(
+            term_runs(t), lambda r: F.struct(F.size(t).alias("len"), r["token"].alias("token"), r["n"].alias("n"))
+        ),
     )
+    terms = items.select(id, F.explode(sized).alias("_t")).select(id, F.col("_t.len").alias("_len"), "_t.token", "_t.n")
     matched = skew_join(terms, packed, ["token"], document_frequency(items, tokens), rows="df")
     pairs = matched.select(id, "_len", "n", "_classes").repartition(id).select(
         id, "_len", "n", F.explode("_classes").alias("_c")
