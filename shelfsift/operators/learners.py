@@ -1,6 +1,6 @@
 """Supervised models on feature vectors: fitting, search, per-category and multiclass training, scoring.
 
-Every ``fit_*`` takes a table with a vector and a label column and returns a PipelineModel that adds
+Every ``fit_*`` takes a table with a vector and a label column and returns a model whose ``transform`` adds
 ``prediction`` and, where the learner has one, ``probability``.
 """
 
@@ -20,11 +20,12 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import IDF, SQLTransformer, StringIndexer, VectorAssembler, VectorSlicer
+from pyspark.ml.feature import IDF, StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfsift.operators.features import count_features
 from shelfsift.operators.prep import assign_fold, misclassified, positives_negatives
@@ -101,26 +102,52 @@ def fit_svm_multiclass(train: DataFrame, c: float = 1.0, iters: int = 20, **cols
     return _fitted(train, OneVsRest(classifier=svc, parallelism=4, **cols))
 
 
-def fit_nb(train: DataFrame, alpha: float = 1.0, fit_prior: bool = True, **cols: str) -> PipelineModel:
+def fit_nb(train: DataFrame, alpha: float = 1.0, fit_prior: bool = True, **cols: str) -> PipelineModel | FlatPrior:
     """Multinomial Naive Bayes; without ``fit_prior`` every class is equally likely beforehand."""
     if fit_prior:
         return _fitted(train, NaiveBayes(modelType="multinomial", smoothing=alpha, **cols))
-    fitted = NaiveBayes(modelType="multinomial", smoothing=alpha, rawPredictionCol="_joint", probabilityCol="_with_prior",
-                        predictionCol="_biased", **cols).fit(train)
-    # Dividing by the prior and scaling again leaves the likelihoods.
-    weights = ", ".join(repr(math.exp(-p)) + "D" for p in fitted.pi.toArray())
-    likelihood = SQLTransformer(statement=(
-        "SELECT *, zip_with(vector_to_array(_with_prior), array(" + weights + "), (p, w) -> p * w) AS _flat FROM __THIS__"))
-    choose = SQLTransformer(statement=(
-        "SELECT * EXCEPT (_flat, _joint, _with_prior, _biased), array_to_vector(transform(_flat, "
-        "x -> x / aggregate(_flat, 0D, (a, y) -> a + y))) AS probability, "
-        "CAST(array_position(_flat, array_max(_flat)) - 1 AS DOUBLE) AS prediction FROM __THIS__"))
-    return PipelineModel([fitted, likelihood, choose])
+    fitted = NaiveBayes(
+        modelType="multinomial", smoothing=alpha, rawPredictionCol="", probabilityCol="_with_prior", predictionCol="", **cols).fit(train)
+    return FlatPrior(fitted)
+
+
+@dataclass(frozen=True)
+class FlatPrior:
+    """A fitted Naive Bayes with the class prior taken out of its probabilities."""
+
+    fitted: Model
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        # Dividing by the prior and scaling again leaves the likelihoods.
+        undo = F.array(*[F.lit(math.exp(-p)) for p in self.fitted.pi.toArray()])
+        flat = F.zip_with(vector_to_array("_with_prior"), undo, lambda p, w: p * w)
+        scaled = F.transform("_flat", lambda x: x / F.aggregate("_flat", F.lit(0.0), lambda a, y: a + y))
+        return self.fitted.transform(df).withColumn("_flat", flat).select(
+            *df.columns, array_to_vector(scaled).alias("probability"),
+            (F.array_position("_flat", F.array_max("_flat")) - 1).cast("double").alias("prediction"))
+
+
+@dataclass(frozen=True)
+class BoostedStumps:
+    """Weighted votes of two-class stumps; save the stumps as a PipelineModel with the shares beside them."""
+
+    stumps: list[Model]
+    shares: list[float]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        voted = PipelineModel(self.stumps).transform(df)
+        total = F.lit(0.0)
+        for stump, share in zip(self.stumps, self.shares):
+            total = total + F.lit(share) * (2 * F.col(stump.getPredictionCol()) - 1)
+        positive = 1 / (1 + F.exp(-F.col("_total")))
+        return voted.withColumn("_total", total).select(
+            *df.columns, array_to_vector(F.array(1 - positive, positive)).alias("probability"),
+            (F.col("_total") > 0).cast("double").alias("prediction"))
 
 
 def fit_ada(
     train: DataFrame, rounds: int = 20, learning_rate: float = 1.0, featuresCol: str = "features", labelCol: str = "label"
-) -> PipelineModel:
+) -> BoostedStumps:
     """Boosted stumps for two classes, each fitted on rows reweighted by the errors so far.
 
     The row weights are staged each round, so a lost executor never replays the rounds before.
@@ -144,12 +171,7 @@ def fit_ada(
         rows = stage(voted.select(featuresCol, labelCol, (F.col("_w") * F.when(wrong, math.exp(share)).otherwise(1.0)).alias("_w")))
     if not stumps:
         raise ValueError("no stump is better than chance")
-    votes = " + ".join(f"{a!r}D * (2 * _vote{i} - 1)" for i, a in enumerate(shares))
-    dropped = ", ".join(f"_vote{i}" for i in range(len(stumps)))
-    total = SQLTransformer(statement=(
-        f"SELECT * EXCEPT ({dropped}), CAST(({votes}) > 0 AS DOUBLE) AS prediction, "
-        f"array_to_vector(array(1 / (1 + exp({votes})), 1 / (1 + exp(-({votes}))))) AS probability FROM __THIS__"))
-    return PipelineModel([*stumps, total])
+    return BoostedStumps(stumps, shares)
 
 
 def fit_mlp(train: DataFrame, classes: int, hidden: Sequence[int] = (16,), iters: int = 30, **cols: str) -> PipelineModel:
@@ -341,5 +363,5 @@ def score_batches(
     name: str = "probability",
 ) -> DataFrame:
     """Score with a model from outside Spark: loaded once per task, called on batches of vectors."""
-    predict = predict_batch_udf(make_predict, return_type="double", batch_size=batch, input_tensor_shapes=[[df.select(features).first()[0].size]])
+    predict = predict_batch_udf(make_predict, return_type=T.DoubleType(), batch_size=batch, input_tensor_shapes=[[df.select(features).first()[0].size]])
     return df.withColumn(name, predict(vector_to_array(features)))

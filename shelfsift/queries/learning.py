@@ -1 +1,321 @@
-"""."""
+"""Models fitted and applied on the test tables. Model output has no SQL twin."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.ml.classification import LogisticRegression, NaiveBayes
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from shelfsift.functions import text as tx
+from shelfsift.operators import clusters as cl
+from shelfsift.operators import embeddings as em
+from shelfsift.operators import learners as ln
+from shelfsift.operators.counts import confusion, scores
+from shelfsift.operators.features import count_features
+from shelfsift.operators.neighbours import pooled_vector
+from shelfsift.operators.prep import assign_fold
+from shelfsift.operators.sequences import label_encode
+from shelfsift.queries import query, table
+from shelfsift.queries.fragments import documents, items
+from shelfsift.session import scratch_path, stage
+from shelfsift.sources.models import load_model, save_model
+
+
+def _judged(spark: SparkSession, folder: str) -> DataFrame:
+    """Labelled documents: id, text, label (quality)."""
+    marks = table(spark, folder, "labels").select("doc_id", F.col("quality").cast("double").alias("label"))
+    return documents(spark, folder, "doc_id", "text").join(marks, "doc_id")
+
+
+def _vectors(spark: SparkSession, folder: str, size: int = 500) -> DataFrame:
+    rows = _judged(spark, folder)
+    pipeline = count_features("text", binary=True, max_features=size, stop_words=True)
+    return stage(pipeline.fit(rows).transform(rows).select("doc_id", "features", "label"))
+
+
+def _scored(model, rows: DataFrame) -> DataFrame:
+    return ln.score(model, rows, "doc_id", "label")
+
+
+@query()
+def logistic_regression(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _vectors(spark, folder)
+    return _scored(ln.fit_lr(rows, c=1.0, penalty="l2"), rows)
+
+
+@query()
+def logistic_regression_l1(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _vectors(spark, folder)
+    return _scored(ln.fit_lr(rows, c=10.0, penalty="l1"), rows)
+
+
+@query()
+def decision_tree(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _vectors(spark, folder)
+    return _scored(ln.fit_tree(rows, "entropy", 6), rows)
+
+
+@query()
+def random_forest(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _vectors(spark, folder)
+    return _scored(ln.fit_forest(rows, trees=10, max_depth=5, max_features=9, min_leaf=2), rows)
+
+
+@query()
+def linear_svm(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _vectors(spark, folder)
+    return _scored(ln.fit_svm(rows), rows)
+
+
+@query()
+def rbf_svm(spark: SparkSession, folder: str) -> DataFrame:
+    rows = ln.random_fourier(_vectors(spark, folder), "features", "projected", gamma=0.01)
+    return _scored(ln.fit_svm(rows, featuresCol="projected"), rows)
+
+
+@query()
+def multinomial_nb(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _vectors(spark, folder)
+    return _scored(ln.fit_nb(rows, 0.1), rows)
+
+
+@query()
+def multinomial_nb_flat_prior(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _vectors(spark, folder)
+    return _scored(ln.fit_nb(rows, 0.1, fit_prior=False), rows)
+
+
+@query()
+def ada_boost(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _vectors(spark, folder)
+    return _scored(ln.fit_ada(rows, rounds=8), rows)
+
+
+@query()
+def neural_net(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _vectors(spark, folder)
+    return _scored(ln.fit_mlp(rows, 2, iters=15), rows)
+
+
+@query()
+def merged_word_and_pair_model(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _judged(spark, folder)
+    vectors = stage(ln.merged_features("text", max_features=300).fit(rows).transform(rows).select("doc_id", "features", "label"))
+    return _scored(ln.fit_lr(vectors), vectors)
+
+
+@query()
+def count_and_tfidf_model(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _judged(spark, folder)
+    vectors = stage(ln.count_and_tfidf("text", max_features=300).fit(rows).transform(rows).select("doc_id", "features", "label"))
+    return _scored(ln.fit_lr(vectors), vectors)
+
+
+@query()
+def multiclass_model(spark: SparkSession, folder: str) -> DataFrame:
+    named = items(spark, folder).select("p_partkey", "p_name", "p_type")
+    features = count_features("p_name", max_features=200)
+    model = ln.train_multiclass(named, "p_type", features, NaiveBayes(smoothing=1.0))
+    return ln.predicted_names(model, model.transform(named)).select("p_partkey", "p_type", "predicted_category")
+
+
+@query()
+def multiclass_svm(spark: SparkSession, folder: str) -> DataFrame:
+    named = label_encode(items(spark, folder).select("p_partkey", "item", "p_type"), "p_type")
+    rows = count_features("item", max_features=200).fit(named).transform(named).withColumn("label", F.col("code").cast("double"))
+    kept = stage(rows.select("p_partkey", "p_type", "label", "features"))
+    return ln.fit_svm_multiclass(kept, iters=5).transform(kept).select("p_partkey", "p_type", "prediction")
+
+
+@query()
+def category_models(spark: SparkSession, folder: str) -> DataFrame:
+    """One model per part type, kept and read back, with its training recall."""
+    named = items(spark, folder).select("item", "p_type").withColumn("type", F.lit("True Positive"))
+    features = count_features("item", max_features=200)
+
+    def trainer(rows: DataFrame):
+        prepared = features.fit(rows)
+        classifier = LogisticRegression(maxIter=5).fit(prepared.transform(rows))
+        return ln.PipelineModel([prepared, classifier])
+
+    found = ln.train_per_category(named, "p_type", "item", trainer)
+    rows = []
+    for category, (model, recall) in found.items():
+        path = scratch_path(spark, "model")
+        save_model(model, {"category": category, "recall": recall, "ngram_range": [1, 1]}, path)
+        _, meta = load_model(spark, path)
+        rows.append((meta["category"], float(meta["recall"])))
+    return spark.createDataFrame(rows, "category string, recall double")
+
+
+@query()
+def hard_example_refit(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _vectors(spark, folder)
+    first = LogisticRegression(maxIter=3, regParam=0.5).fit(rows)
+    second = ln.refit_on_errors(first, LogisticRegression(maxIter=10, regParam=0.1), rows)
+    return _scored(second, rows)
+
+
+@query()
+def epoch_history(spark: SparkSession, folder: str) -> DataFrame:
+    rows = assign_fold(_vectors(spark, folder), "doc_id")
+    _, history = ln.fit_epochs(
+        LogisticRegression(regParam=0.05), rows.where("fold <> 0"), rows.where("fold = 0"), [1, 2, 4, 8])
+    return spark.createDataFrame([(i, float(a)) for i, a in history], "iterations int, accuracy double")
+
+
+@query()
+def learner_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Randomised search over two learners, judged on folds unseen by the search."""
+    rows = _vectors(spark, folder, 200)
+    chosen = {k: v for k, v in ln.default_learners(rows.count()).items() if k in ("Logistic Regression", "MultinomialNB")}
+    trials = ln.search(rows, chosen, "doc_id", folds=2, draws=2)
+    best = ln.best_trial(trials)
+    return spark.createDataFrame(
+        [(t.name, str(sorted(t.params.items())), float(t.score), t.name == best.name) for t in trials],
+        "learner string, params string, recall double, best boolean")
+
+
+@query()
+def range_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Best learner over n-gram ranges."""
+
+    def learners(n: int):
+        nb = NaiveBayes()
+        return {"MultinomialNB": (nb, ln.grid(nb, smoothing=ln.NB_ALPHAS))}
+
+    best = ln.search_ranges(
+        _judged(spark, folder), "text", "doc_id", max_features=[200], learners=learners, folds=2, draws=2, nested=False)
+    return spark.createDataFrame(
+        [(best.name, str(best.params["ngram_range"]), float(best.score))], "learner string, ngram_range string, recall double")
+
+
+@query()
+def random_split(spark: SparkSession, folder: str) -> DataFrame:
+    train, held = documents(spark, folder, "doc_id", "source").randomSplit([0.7, 0.3], seed=1)
+    return train.withColumn("side", F.lit("train")).unionByName(held.withColumn("side", F.lit("test")))
+
+
+@query()
+def model_confusion(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _vectors(spark, folder)
+    return confusion(_scored(ln.fit_nb(rows), rows), "label", "prediction", True)
+
+
+@query()
+def model_scores(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _vectors(spark, folder)
+    return scores(_scored(ln.fit_nb(rows), rows), "label", "prediction", 1.0)
+
+
+@query()
+def external_model_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """A model's weights applied outside Spark ML, in batches inside the tasks."""
+    rows = _vectors(spark, folder)
+    fitted = ln.fit_lr(rows, iters=5).stages[0]
+    weights, bias = fitted.coefficients.toArray(), float(fitted.intercept)
+
+    def make_predict():
+        def predict(batch: np.ndarray) -> np.ndarray:
+            return 1.0 / (1.0 + np.exp(-(batch @ weights + bias)))
+        return predict
+
+    return ln.score_batches(rows, "features", make_predict).select("doc_id", "label", "probability")
+
+
+# -- clusters and topics ---------------------------------------------------------------------
+
+
+def _points(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+
+
+@query()
+def kmeans_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    points = _points(spark, folder)
+    return cl.kmeans(points, "features", 20).transform(points).select("vec_id", "cluster")
+
+
+@query()
+def minibatch_kmeans_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    points = _points(spark, folder)
+    return cl.minibatch_kmeans(points, "features", 10, 0.5).transform(points).select("vec_id", "cluster")
+
+
+@query()
+def cluster_tree(spark: SparkSession, folder: str) -> DataFrame:
+    points = _points(spark, folder)
+    return cl.cluster_tree(points, "features", 8, 5).transform(points).select("vec_id", "cluster")
+
+
+@query()
+def cluster_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    points = _points(spark, folder)
+    return cl.cluster_sizes(cl.kmeans(points, "features", 20).transform(points))
+
+
+@query()
+def cluster_representatives(spark: SparkSession, folder: str) -> DataFrame:
+    points = _points(spark, folder)
+    named = cl.kmeans(points, "features", 8).transform(points).select("vec_id", "cluster")
+    return cl.cluster_sample(named, "cluster", ["vec_id"], 5)
+
+
+@query()
+def document_topics(spark: SparkSession, folder: str) -> DataFrame:
+    model = cl.topics(documents(spark, folder), tx.split_tokens(tx.process_string("text")), 5, 5, 2000)
+    return cl.topic_words(model, 8)
+
+
+# -- vectors of words and texts --------------------------------------------------------------
+
+
+def _word_model(corpus: DataFrame):
+    return em.word2vec(corpus, "tokens", size=16, window=3, iters=1)
+
+
+@query()
+def word_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    corpus = items(spark, folder).select(tx.tokens_ws("item").alias("tokens"))
+    return em.vectors_table(_word_model(corpus))
+
+
+@query()
+def class_word_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return em.vectors_table(_word_model(em.class_corpus(items(spark, folder), "p_name", "p_type")))
+
+
+@query()
+def interrelated_word_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return em.vectors_table(_word_model(em.interrelation_corpus(items(spark, folder), "item")))
+
+
+@query()
+def text_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    corpus = items(spark, folder).select("p_partkey", tx.tokens_ws("item").alias("tokens"))
+    return em.doc_vectors(_word_model(corpus), corpus, "p_partkey")
+
+
+@query()
+def word_synonyms(spark: SparkSession, folder: str) -> DataFrame:
+    corpus = items(spark, folder).select(tx.tokens_ws("item").alias("tokens"))
+    return _word_model(corpus).findSynonyms("ring", 5)
+
+
+@query()
+def cooccurrence_factors(spark: SparkSession, folder: str) -> DataFrame:
+    return em.cooc_factors(items(spark, folder), tx.tokens_ws("item"), 5, 8, 3)
+
+
+@query()
+def pooled_vector_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean word vectors under a softmax over all part types."""
+    named = items(spark, folder).select("p_partkey", "item", "p_type")
+    words = em.vectors_table(_word_model(named.select(tx.tokens_ws("item").alias("tokens"))))
+    pooled = pooled_vector(named, "p_partkey", tx.tokens_ws("item"), words, "word", "vector")
+    rows = named.join(pooled, "p_partkey").select("p_partkey", "p_type", array_to_vector("vector").alias("features"))
+    index = ln.StringIndexer(inputCol="p_type", outputCol="label", stringOrderType="alphabetAsc")
+    model = ln.Pipeline(stages=[index, LogisticRegression(maxIter=10)]).fit(rows)
+    return ln.predicted_names(model, model.transform(rows)).select("p_partkey", "p_type", "predicted_category")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -43,6 +44,16 @@ def shared_dir(spark: SparkSession) -> str:
     return named or os.path.dirname(current)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package even where it is not installed; once per application."""
+    sc = spark.sparkContext
+    if not any(str(f).rsplit("/", 1)[-1].startswith("shelfsift-") for f in sc.listFiles):
+        root = os.path.dirname(os.path.abspath(__file__))
+        folder = tempfile.mkdtemp(prefix="shelfsift-code-")
+        archive = shutil.make_archive(f"{folder}/shelfsift-{uuid.uuid4().hex}", "zip", os.path.dirname(root), os.path.basename(root))
+        sc.addPyFile(archive)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
