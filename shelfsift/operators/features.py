@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfsift.functions.text import FEATURE_WORD, char_ngrams, feature_words, split_tokens, term_runs
 from shelfsift.operators.joins import skew_join
+from shelfsift.session import stage
 
 
 def count_features(
@@ -93,7 +94,7 @@ def cooccurrence(df: DataFrame, tokens: Column, window: int) -> DataFrame:
 
 def class_log_odds(df: DataFrame, tokens: Column, cls: str) -> DataFrame:
     """How much more likely a token is inside a class than outside it, add-one smoothed, as a log ratio."""
-    cells = (
+    cells = stage(
         df.select(F.col(cls).alias("class"), F.explode(tokens).alias("token"))
         .groupBy("class", "token").agg(F.count(F.lit(1)).alias("n_wc"))
     )
@@ -111,13 +112,13 @@ def phrases(df: DataFrame, tokens: Column, min_count: int, threshold: float) ->
     """Adjacent token pairs with score (n_ab - min_count) / (n_a * n_b) * vocabulary size above a threshold."""
     t = F.col("_tokens")
     rows = df.select(tokens.alias("_tokens"))
-    words = rows.select(F.explode(t).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    words = stage(rows.select(F.explode(t).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")))
     vocab = words.agg(F.count(F.lit(1))).scalar()
     less = F.greatest(F.size(t) - 1, F.lit(0))
     adjacent = F.zip_with(
         F.slice(t, F.lit(1), less), F.slice(t, F.lit(2), less), lambda a, b: F.struct(a.alias("a"), b.alias("b"))
     )
-    bigrams = (
+    bigrams = stage(
         rows.select(F.explode(adjacent).alias("_p")).groupBy(F.col("_p.a").alias("first"), F.col("_p.b").alias("second"))
         .agg(F.count(F.lit(1)).alias("n_ab")).where(F.col("n_ab") > min_count)
     )

@@ -92,6 +92,15 @@ def drop_categories(
     return df if only is None else df.where(F.col(category).rlike(only))
 
 
+def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Replace a column by an expensive value that filters and groupings above may use freely.
+
+    A filter on a plain projected column is pushed below the projection, which then computes the
+    value twice; it is not pushed through the explode of a one-element array.
+    """
+    return df.select(*[F.explode(F.array(value)).alias(name) if c == name else F.col(c) for c in df.columns])
+
+
 def min_tokens(df: DataFrame, text: str, n: int = 2) -> DataFrame:
     """Rows whose text has at least ``n`` tokens; a null text has none."""
     return df.where(F.size(split_tokens(text)) >= n)

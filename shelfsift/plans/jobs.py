@@ -12,14 +12,15 @@ from shelfsift.operators import bayes
 from shelfsift.operators.counts import category_counts
 from shelfsift.operators.joins import ambiguous_labels, drill_down, join_truth, with_category_path, with_class_rows
 from shelfsift.operators.prep import (
-    candidates, confident, dedup_unambiguous, drop_categories, drop_small_classes, min_tokens, misclassified,
+    candidates, computed_once, confident, dedup_unambiguous, drop_categories, drop_small_classes, min_tokens, misclassified,
 )
 from shelfsift.operators.ranks import cap_per_class, systematic_sample
 
 
 def clean_items(items: DataFrame, id: str, text: str, category: str) -> DataFrame:
     """Normalised texts of at least two tokens; one row per text, none whose copies disagree on the category."""
-    cleaned = items.where(F.col(text).isNotNull()).select(id, process_string(text).alias(text), category)
+    known = items.where(F.col(text).isNotNull()).select(id, text, category)
+    cleaned = computed_once(known, text, process_string(text))
     return dedup_unambiguous(min_tokens(cleaned, text), text, category, [id])
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfsift.functions.text import FEATURE_WORD, KEEP_PATTERN, WHITESPACE, WORD_GAP
+from shelfsift.functions.text import FEATURE_WORD, WHITESPACE, WORD_GAP
 from shelfsift.queries import table
+from shelfsift.session import spread
 
 # A part described like a shop item: all its attributes in one line of text.
 ITEM = "concat_ws(' ', p_brand, p_type, p_name, CAST(p_size AS VARCHAR))"
@@ -21,20 +22,24 @@ def items(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    return table(spark, folder, "documents").select(*(columns or ("doc_id", "text", "source")))
+    chosen = table(spark, folder, "documents").select(*(columns or ("doc_id", "text", "source")))
+    return spread(chosen) if "text" in chosen.columns else chosen
 
 
 def turns(spark: SparkSession, folder: str) -> DataFrame:
     """Conversation turns with one key."""
     key = F.col("conv_id") * 1000 + F.col("turn")
-    return table(spark, folder, "conversations").select(key.alias("turn_id"), "role", "text")
+    return spread(table(spark, folder, "conversations").select(key.alias("turn_id"), "role", "text"))
 
 
 TURNS = "(SELECT conv_id * 1000 + turn AS turn_id, role, text FROM conversations)"
 
 
+NOT_KEPT = "[^a-z0-9 ]"
+
+
 def processed(x: str) -> str:
-    return f"regexp_replace(lower({x}), '{KEEP_PATTERN}', '', 'g')"
+    return f"regexp_replace(lower({x}), '{NOT_KEPT}', '', 'g')"
 
 
 def parts(x: str, pattern: str) -> str:
@@ -55,7 +60,7 @@ def alnum_words(x: str) -> str:
 
 
 def kept_words(x: str) -> str:
-    return parts(f"regexp_replace({x}, '{KEEP_PATTERN}', '', 'g')", " ")
+    return parts(f"regexp_replace({x}, '{NOT_KEPT}', '', 'g')", " ")
 
 
 def long_words(x: str) -> str:

@@ -54,6 +54,16 @@ def ship_package(spark: SparkSession) -> None:
         sc.addPyFile(archive)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows out to all cores when the input has fewer splits than there are cores.
+
+    A table of one small file is otherwise read, and all its texts taken apart, by one task. Inputs
+    with splits enough for every core are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
