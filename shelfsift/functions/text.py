@@ -16,6 +16,7 @@ NOT_KEPT = r"[\x{0}-\x{1F}!-/:-`{-\x{10FFFF}]"  # all but KEPT; as ranges the JV
 NOT_ASCII_ALNUM = r"[\x{0}-/:-`{-\x{10FFFF}]"
 WORD_GAP = r"[^\p{L}\p{N}]+"
 WHITESPACE = r"[\s\p{Z}\x{0B}\x{1C}-\x{1F}\x{85}]+"
+NOT_WHITESPACE = r"[^\s\p{Z}\x{0B}\x{1C}-\x{1F}\x{85}]"
 CHAR_ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyz"
 NOISE_PATTERN = r"[0-9]+|\p{Punct}|ï|½|®"
 FEATURE_WORD = r"[\p{L}\p{N}_]{2,}"
@@ -57,6 +58,11 @@ def split_tokens(c: Column | str) -> Column:
     return F.array_remove(F.split(_as_column(c), WHITESPACE), "")
 
 
+def has_token(c: Column | str) -> Column:
+    """Whether a text holds anything but white space, without splitting it."""
+    return F.rlike(_as_column(c), F.lit(NOT_WHITESPACE))
+
+
 def tokens_ws(c: Column | str) -> Column:
     return split_tokens(F.lower(_as_column(c)))
 

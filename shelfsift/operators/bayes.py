@@ -17,9 +17,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfsift.functions.text import bind, term_runs, tokens_ws
+from shelfsift.functions.text import bind, has_token, term_runs, tokens_ws
 from shelfsift.operators.features import document_frequency
 from shelfsift.operators.joins import skew_join
+from shelfsift.session import stage
 
 # What an item without any known token gets.
 NO_CLASS = "NA"
@@ -41,18 +42,18 @@ class TokenIndex:
 
 
 def nb_index(df: DataFrame, id: str, text: str, cls: str) -> TokenIndex:
-    """Token counts per class and class sizes; ``id`` is unique per item."""
-    tokens = tokens_ws(text)
-    counts = (
-        df.select(F.col(cls).alias("class"), F.explode(tokens).alias("token"))
-        .groupBy("token", "class").agg(F.count(F.lit(1)).alias("n_wc"))
-    )
-    sized = df.select(F.col(cls).alias("class"), F.col(id).alias("_id"), F.size(tokens).alias("_len"))
-    classes = sized.where(F.col("_len") > 0).groupBy("class").agg(
-        F.sum("_len").alias("n_c"), F.count(F.lit(1)).alias("docs"),
-        F.min("_id").alias("first_id"), F.max("_id").alias("last_id"),
-    )
-    return TokenIndex(counts, classes)
+    """Token counts per class and class sizes; ``id`` is unique per item.
+
+    Both tables are written to the shared folder, as every later step reads them several times.
+    """
+    items = df.select(F.col(id).alias("_id"), F.col(cls).alias("class"), F.col(text).alias("_text"))
+    counts = stage(
+        items.select("class", F.explode(tokens_ws("_text")).alias("token"))
+        .groupBy("token", "class").agg(F.count(F.lit(1)).alias("n_wc")))
+    sizes = counts.groupBy("class").agg(F.sum("n_wc").alias("n_c"))
+    ids = items.where(has_token("_text")).groupBy("class").agg(
+        F.count(F.lit(1)).alias("docs"), F.min("_id").alias("first_id"), F.max("_id").alias("last_id"))
+    return TokenIndex(counts, stage(sizes.join(ids, "class")))
 
 
 def id_range(index: TokenIndex) -> DataFrame:
