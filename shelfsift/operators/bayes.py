@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from shelfsift.functions.text import bind, has_token, term_runs, tokens_ws
 from shelfsift.operators.features import document_frequency
-from shelfsift.operators.joins import skew_join
+from shelfsift.operators.joins import broadcast_small, skew_join
 from shelfsift.session import stage
 
 # What an item without any known token gets.
@@ -85,7 +85,7 @@ def top_tokens(index: TokenIndex, cls: str, n: int) -> DataFrame:
 
 def _numbered(classes: DataFrame) -> DataFrame:
     """Classes with a small number each; there are as many rows as classes."""
-    return classes.withColumn("_code", F.row_number().over(Window.orderBy("class")))
+    return stage(classes.withColumn("_code", F.row_number().over(Window.orderBy("class"))))
 
 
 def _candidate_scores(items: DataFrame, id: str, text: str, index: TokenIndex, weight: Column, classes: DataFrame) -> DataFrame:
@@ -94,7 +94,7 @@ def _candidate_scores(items: DataFrame, id: str, text: str, index: TokenIndex, w
     ``classes`` is numbered. A token's row packs class numbers and weights into two flat arrays: twelve
     bytes per pair cross the shuffle by item.
     """
-    packed = index.counts.join(F.broadcast(classes), "class").groupBy("token").agg(
+    packed = index.counts.join(broadcast_small(classes), "class").groupBy("token").agg(
         F.collect_list(F.struct("_code", weight.alias("w"))).alias("_p")
     ).select("token", F.col("_p._code").alias("_codes"), F.col("_p.w").alias("_weights"))
     tokens = tokens_ws(text)
@@ -123,11 +123,11 @@ def nb_scores(
         sums = _candidate_scores(items, id, text, index, F.log(F.col("n_wc") + 1), classes.select("class", "_code"))
         vocab = index.vocabulary_size().scalar()
         score = F.log("prior") - F.col("_len") * F.log(F.col("n_c") + vocab) + F.col("_sum")
-        raw = sums.join(F.broadcast(classes), "_code").select(id, "class", score.alias("score"))
+        raw = sums.join(broadcast_small(classes), "_code").select(id, "class", score.alias("score"))
         shifted = raw.withColumn("_p", F.exp(F.col("score") - F.max("score").over(mine)))
     else:
         sums = _candidate_scores(items, id, text, index, F.col("n_wc") / F.col("n_c"), classes)
-        raw = sums.join(F.broadcast(classes), "_code").select(id, "class", (F.col("_sum") + F.col("prior")).alias("score"))
+        raw = sums.join(broadcast_small(classes), "_code").select(id, "class", (F.col("_sum") + F.col("prior")).alias("score"))
         shifted = raw.withColumn("_p", F.col("score"))
     return shifted.select(id, "class", "score", (F.col("_p") / F.sum("_p").over(mine)).alias("probability"))
 

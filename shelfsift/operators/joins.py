@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 HOT_SHARE = 0.001  # at most 1 / HOT_SHARE keys can each hold this share of the rows
 SALTS = 32
+MOST_BROADCAST_ROWS = 200_000
 
 
 def hot_keys(weights: DataFrame, keys: Sequence[str], rows: str) -> DataFrame:
@@ -17,6 +18,11 @@ def hot_keys(weights: DataFrame, keys: Sequence[str], rows: str) -> DataFrame:
     return weights.where(F.col(rows) >= least).select(*keys)
 
 
+def broadcast_small(df: DataFrame, most: int = MOST_BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast if a count of the (staged, hence cheap to count) table allows it, else leave the choice to Spark."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def skew_join(
     many: DataFrame, one: DataFrame, keys: Sequence[str], weights: DataFrame, rows: str = "n", how: str = "inner"
 ) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfsift.functions.text import pair_structs, split_tokens, token_ngrams, tokens_ws
+from shelfsift.operators.features import document_frequency
 from shelfsift.operators.joins import skew_join
 from shelfsift.operators.ranks import with_positions
 
@@ -29,10 +30,11 @@ def word_index(df: DataFrame, text: str, by: str, order: Sequence[str]) -> DataF
 def to_sequence(df: DataFrame, id: str, text: str, index: DataFrame, oov: str = "drop") -> DataFrame:
     """Texts as arrays of word numbers; unknown words are dropped or become 0.
 
-    ``index`` is a ``word_index`` result; its counts tell which words are frequent enough to salt.
+    ``index`` is a ``word_index`` result.
     """
     tokens = df.select(id, F.posexplode_outer(tokens_ws(text)).alias("_at", "token"))
-    numbered = skew_join(tokens, index.select("token", "idx"), ["token"], index.select("token", "n"), how="left")
+    numbered = skew_join(
+        tokens, index.select("token", "idx"), ["token"], document_frequency(df, tokens_ws(text)), rows="df", how="left")
     number = F.col("idx") if oov == "drop" else F.coalesce("idx", F.lit(0))
     entry = F.when(F.col("token").isNotNull() & number.isNotNull(), F.struct("_at", number.cast("int").alias("_i")))
     return numbered.groupBy(id).agg(

@@ -10,6 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+MEASURED_BROADCAST = "32MB"
+
+
 def local_session(cpus: str | int = "*", name: str = "shelfsift", memory: str = "16g") -> SparkSession:
     """A single-machine session for tests and benchmarks; clusters bring their own."""
     spark = (
@@ -24,9 +27,22 @@ def local_session(cpus: str | int = "*", name: str = "shelfsift", memory: str =
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    configure(spark)
     return spark
 
 
+def configure(spark: SparkSession) -> None:
+    """Broadcast by measured sizes only.
+
+    Before a job runs, Spark takes an exploded table to be as small as the texts it came from, and
+    would broadcast it. So plans start without automatic broadcasts, and adaptive execution turns
+    joins into broadcasts once the real size of a side is known.
+    """
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", MEASURED_BROADCAST)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
