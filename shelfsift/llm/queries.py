@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfsift.llm import mixing
+from shelfsift.llm import bpe, mixing
 from shelfsift.llm.words import n_words
 from shelfsift.queries import Query, table
 
@@ -20,6 +21,26 @@ def query(fn: Query, sql: str | None = None) -> Query:
     return fn
 
 
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
+
+def token_digests(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    return bpe.round_trip(docs, path).select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op1_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Every whole document encoded and decoded again, as digests."""
+    return token_digests(table(spark, folder, "documents"))
+
+
+query(op1_bpe_round_trip)
+
+
 def op8_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     """All documents mixed by source, weights 1, 2, 3 in turn, at most three epochs."""
     docs = table(spark, folder, "documents").select("doc_id", "source", "text")
