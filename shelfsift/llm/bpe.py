@@ -105,8 +105,9 @@ class Codec:
     def encode_run(self, run: str) -> array:
         """Ids of a run without white space; special tokens inside it stand for themselves."""
         ids = array("i")
-        for part in self.special.split(run) if self.special else [run]:
-            if part in self.specials:
+        holds_special = self.special is not None and self.special.search(run)
+        for part in self.special.split(run) if holds_special else (run,):
+            if holds_special and part in self.specials:
                 ids.append(self.specials[part])
             elif part:
                 for word in self.plain_words(part):
@@ -123,8 +124,10 @@ class Codec:
     def cut(self, word: str) -> list[tuple[str, ...]]:
         symbols = word.encode("utf-8", "replace").decode("latin-1").translate(self.symbols)
         symbols = (*symbols[:-1], symbols[-1] + END)
+        if self.joined.issuperset(neighbours(symbols)):
+            return [symbols]
         cuts = [i for i, pair in enumerate(neighbours(symbols), 1) if pair not in self.joined]
-        return [symbols[a:b] for a, b in zip([0, *cuts], [*cuts, len(symbols)])] if cuts else [symbols]
+        return [symbols[a:b] for a, b in zip([0, *cuts], [*cuts, len(symbols)])]
 
     def merge(self, fragment: tuple[str, ...]) -> array:
         """Merges of the lowest rank first, leftmost first."""
