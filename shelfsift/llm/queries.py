@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfsift.llm import bpe, mixing
+from shelfsift.llm import bpe, mixing, quality
 from shelfsift.llm.words import n_words
 from shelfsift.queries import Query, table
 
@@ -41,6 +41,15 @@ def op1_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 query(op1_bpe_round_trip)
 
 
+def op5_quality_votes(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents judged by rules weighed without labels."""
+    return quality.quality(table(spark, folder, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+query(op5_quality_votes, quality.QUALITY_SQL)
+
+
 def op8_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     """All documents mixed by source, weights 1, 2, 3 in turn, at most three epochs."""
     docs = table(spark, folder, "documents").select("doc_id", "source", "text")
