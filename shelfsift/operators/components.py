@@ -1,33 +1,51 @@
-"""Connected components by repeated joins."""
+"""Connected components by repeated contraction."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfsift.operators.joins import skew_join
 from shelfsift.session import stage
 
 
+def _rank(node: str) -> Column:
+    """A hash order of the nodes: it has no long falling chains, whatever the order of the ids."""
+    return F.struct(F.xxhash64(node).alias("h"), F.col(node).alias("v"))
+
+
+def _follow(parents: DataFrame) -> DataFrame:
+    """Each node's grandparent in place of its parent."""
+    upper = parents.select(F.col("_x").alias("_up"), F.col("_up").alias("_upper"))
+    return parents.join(upper, "_up", "left").select("_x", F.coalesce("_upper", "_up").alias("_up"))
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "id", a: str = "id_a", b: str = "id_b") -> DataFrame:
     """(node, component): the smallest node of each component.
 
-    Each round takes the smallest label among the neighbours and then the label of that label, so
-    a chain of n nodes needs about log n rounds. Rounds are staged; a hub with very many
-    edges is salted where the labels are joined and pre-aggregated where they are gathered.
+    Each round points every node at the neighbour that comes first in a hash order, follows the
+    pointers up to four steps, and goes on with the edges between different ends; their number falls
+    by a factor each round. A hub is pre-aggregated where its neighbours are gathered, and its edges
+    are one side of a plain join, which adaptive execution splits. Two staged tables a round.
     """
-    both = edges.select(F.col(a).alias("_x"), F.col(b).alias("_y"))
-    both = stage(both.unionByName(both.select(F.col("_y").alias("_x"), F.col("_x").alias("_y"))).distinct())
-    degree = stage(both.groupBy("_y").agg(F.count(F.lit(1)).alias("n")))
-    labels = stage(nodes.select(F.col(node).alias("_v")).distinct().withColumn("_l", F.col("_v")))
-    while True:
-        near = skew_join(both, labels.withColumnRenamed("_v", "_y"), ["_y"], degree).groupBy("_x").agg(F.min("_l").alias("_m"))
-        lower = stage(
-            labels.join(near, labels["_v"] == near["_x"], "left").select("_v", F.least("_l", "_m").alias("_l"), F.col("_l").alias("_old")))
-        # Labels name nodes; many nodes share one, so the distinct labels are looked up once.
-        roots = lower.select(F.col("_v").alias("_l"), F.col("_l").alias("_root"))
-        holders = lower.groupBy("_l").agg(F.count(F.lit(1)).alias("n"))
-        jumped = stage(skew_join(lower, roots, ["_l"], holders).select("_v", "_root", "_old"))
-        labels = jumped.select("_v", F.col("_root").alias("_l"))
-        if jumped.where(F.col("_root") != F.col("_old")).isEmpty():
-            return labels.select(F.col("_v").alias(node), F.col("_l").alias("component"))
+    left = stage(edges.select(F.least(a, b).alias("_a"), F.greatest(a, b).alias("_b")).where("_a != _b").distinct())
+    rounds = []
+    while not left.isEmpty():
+        both = left.select(F.col("_a").alias("_x"), F.col("_b").alias("_y")).unionByName(left.select(F.col("_b").alias("_x"), F.col("_a").alias("_y")))
+        first = both.groupBy("_x").agg(F.min(_rank("_y")).alias("_m"))
+        parents = first.select("_x", F.least(F.col("_m"), _rank("_x"))["v"].alias("_up"))
+        parents = stage(_follow(_follow(parents)))
+        rounds.append(parents)
+        ends = parents.select(F.col("_x").alias("_a"), F.col("_up").alias("_ua"))
+        others = parents.select(F.col("_x").alias("_b"), F.col("_up").alias("_ub"))
+        moved = left.join(ends, "_a").join(others, "_b")
+        left = stage(moved.select(F.least("_ua", "_ub").alias("_a"), F.greatest("_ua", "_ub").alias("_b")).where("_a != _b").distinct())
+    every = nodes.select(F.col(node).alias("_v")).distinct()
+    if not rounds:
+        return every.select(F.col("_v").alias(node), F.col("_v").alias("component"))
+    roots = rounds[0].select(F.col("_x").alias("_v"), F.col("_up").alias("_r"))
+    for later in rounds[1:]:
+        roots = roots.join(later.withColumnRenamed("_x", "_r"), "_r", "left").select("_v", F.coalesce("_up", "_r").alias("_r"))
+    roots = stage(roots)
+    smallest = roots.groupBy("_r").agg(F.min("_v").alias("component"))
+    found = roots.join(smallest, "_r").select("_v", "component")
+    return every.join(found, "_v", "left").select(F.col("_v").alias(node), F.coalesce("component", "_v").alias("component"))
