@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfsift.llm import bpe, mixing, quality
+from shelfsift.llm import bpe, mixing, quality, simhash
 from shelfsift.llm.words import n_words
 from shelfsift.queries import Query, table
 
@@ -41,6 +41,15 @@ def op1_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 query(op1_bpe_round_trip)
 
 
+def op4_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents with their fingerprint over 3-word shingles and their component at 2 or fewer differing bits."""
+    return simhash.near_duplicates(table(spark, folder, "documents"), shingle=3, radius=2).withColumn(
+        "fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
+
+
+query(op4_simhash_near_duplicates)
+
+
 def op5_quality_votes(spark: SparkSession, folder: str) -> DataFrame:
     """All documents judged by rules weighed without labels."""
     return quality.quality(table(spark, folder, "documents")).select(
