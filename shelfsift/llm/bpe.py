@@ -8,6 +8,7 @@ the other. White space is such a boundary as well.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
 import unicodedata
@@ -22,19 +23,20 @@ from pyspark.sql import types as T
 from tokenizers import Regex, normalizers, pre_tokenizers
 
 END = "</w>"
-MOST_CACHED = 200_000
-SHORT = 100
-PIECE_ROWS = 256
+ENDED = b"\xff"  # stands behind the bytes of a fragment that ends its word; no UTF-8 text holds it
+MOST_CACHED = 300_000
+SHORT = 40
+PIECE_ROWS = 512
 
 # The word pattern of this kind of vocabulary file, and Unicode's white space.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
-WHITE = "\t\n\x0b\f\r \x85\xa0  -     　"
-PRINTED = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+PRINTED = [*range(ord("!"), ord("~") + 1), *range(ord("\u00a1"), ord("\u00ac") + 1), *range(ord("\u00ae"), ord("\u00ff") + 1)]
 
-#: str.split() also splits at these, which are no white space in Unicode.
-LATIN = regex.compile("[\x00-\u024f]*")
-SEPARATORS = regex.compile("[\x1c-\x1f]")
 ON_WHITE = regex.compile(f"[{WHITE}]+")
+SEPARATORS = regex.compile("[\x1c-\x1f]")  # str.split() also splits at these, which are no white space in Unicode
+LATIN = regex.compile("[\x00-\u024f]*")
+WORD_OR_BREAK = regex.compile(WORD + r"|\n")
 
 
 def byte_symbols() -> dict[int, str]:
@@ -43,22 +45,111 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in PRINTED} | {b: chr(256 + i) for i, b in enumerate(unprinted)}
 
 
-class Recent(dict):
+def neighbours(symbols) -> Iterator[tuple]:
+    return zip(symbols, symbols[1:])
+
+
+class Recent:
     """A bounded memo of two generations: what has not been asked for lately is worked out again."""
 
-    def __init__(self, make: Callable):
-        super().__init__()
-        self.make, self.older = make, {}
+    def __init__(self):
+        self.newer, self.older = {}, {}
+
+    def known(self, keys: set) -> dict:
+        """The known ones of ``keys``."""
+        newer, older = self.newer.get, self.older.get
+        return {k: v for k in keys if (v := newer(k) or older(k)) is not None}
+
+    def add(self, found: dict) -> None:
+        if len(self.newer) > MOST_CACHED:
+            self.older, self.newer = self.newer, {}
+        self.newer.update(found)
+
+
+class Merges:
+    """Merges many short fragments at once: one row of token ids each, one merge per row and round."""
+
+    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
+        symbols = byte_symbols()
+        self.inner = np.array([vocab[symbols[b]] for b in range(256)], np.int64)
+        self.last = np.array([vocab[symbols[b] + END] for b in range(256)], np.int64)
+        pairs = np.array([(vocab[a], vocab[b]) for a, b in merges], np.int64).reshape(-1, 2)
+        self.none = len(pairs)
+        self.merged = np.array([vocab[a + b] for a, b in merges], np.int64)
+        # An open hash table from pairs to ranks: some twenty slots per entry, so runs are short.
+        self.bits = max(8, int(np.ceil(np.log2(max(1, len(pairs)) * 20))))
+        self.keys, self.ranks, self.probes = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, self.none, np.int64), 1
+        keys = self.key(pairs[:, 0], pairs[:, 1])
+        for rank, (key, slot) in enumerate(zip(keys.tolist(), self.slot(keys).tolist())):
+            probes = 1
+            while self.keys[slot] >= 0:
+                slot, probes = (slot + 1) & ((1 << self.bits) - 1), probes + 1
+            self.keys[slot], self.ranks[slot], self.probes = key, rank, max(self.probes, probes)
 
-    def __missing__(self, key):
-        value = self.older.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= MOST_CACHED:
-            self.older = dict(self)
-            self.clear()
-        self[key] = value
-        return value
+    @staticmethod
+    def key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return left << 32 | right
+
+    def slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of tokens, ``none`` where there is no merge or no right-hand token (-1)."""
+        key = self.key(left, right)
+        slot = self.slot(key)
+        found = np.where((self.keys[slot] == key) & (right >= 0), self.ranks[slot], self.none)
+        for _ in range(self.probes - 1):
+            slot = (slot + 1) & ((1 << self.bits) - 1)
+            found = np.where((self.keys[slot] == key) & (right >= 0), self.ranks[slot], found)
+        return found
+
+    def run(self, fragments: list[bytes]) -> list[array]:
+        """Ids per fragment, which is bytes, with ENDED behind them if it ends its word."""
+        if not fragments:
+            return []
+        lengths = np.array(list(map(len, fragments)))
+        out: list[array] = [None] * len(fragments)
+        order = np.argsort(lengths, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1):
+            width = int(lengths[rows[0]])
+            codes = np.frombuffer(b"".join([fragments[i] for i in rows]), np.uint8).reshape(len(rows), width)
+            ended = codes[:, -1] == ENDED[0]
+            for end in (True, False):
+                if not (ended == end).any():
+                    continue
+                own, n = codes[ended == end], width - end
+                ids = np.full((len(own), n + 1), -1, np.int64)  # a column of -1 stands behind the last token
+                ids[:, :n] = self.inner[own[:, :n]]
+                if end:
+                    ids[:, n - 1] = self.last[own[:, n - 1]]
+                for i, row in zip(rows[ended == end].tolist(), self.merge(ids)):
+                    out[i] = row
+        return out
+
+    def merge(self, ids: np.ndarray) -> list[array]:
+        done, width = ids.copy(), ids.shape[1]
+        at, place = np.arange(len(ids)), np.arange(width - 1)
+        ranks = self.rank(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(ids), width - 1)
+        while len(at):
+            first = ranks.argmin(axis=1)
+            best = np.take_along_axis(ranks, first[:, None], 1)[:, 0]
+            stay = best < self.none
+            done[at[~stay]] = ids[~stay]
+            at, ids, ranks, first, best = at[stay], ids[stay], ranks[stay], first[stay], best[stay]
+            if not len(at):
+                break
+            row = np.arange(len(at))
+            step = place[None, :] > first[:, None]
+            # Close the gap behind the merged pair, then rank its two new neighbours.
+            ids[:, :-1] = np.where(step, ids[:, 1:], ids[:, :-1])
+            ids[row, first] = self.merged[best]
+            ranks[:, :-1] = np.where(step[:, :-1], ranks[:, 1:], ranks[:, :-1])
+            ranks[:, -1] = self.none
+            ranks[row, first] = self.rank(ids[row, first], ids[row, first + 1])
+            back = np.maximum(first - 1, 0)
+            ranks[row, back] = np.where(first > 0, self.rank(ids[row, back], ids[row, back + 1]), ranks[row, back])
+        sizes = (done >= 0).sum(axis=1).tolist()
+        return [array("i", x[:n]) for x, n in zip(done.tolist(), sizes)]
 
 
 class Codec:
@@ -66,30 +157,30 @@ class Codec:
 
     def __init__(self, definition: str):
         parts = json.loads(definition)
-        vocab = parts["model"]["vocab"]
-        merges = [m.split(" ") if isinstance(m, str) else m for m in parts["model"]["merges"]]
-        self.ranks = {(a, b): i for i, (a, b) in enumerate(merges)}
-        self.ids = vocab
+        self.ids = parts["model"]["vocab"]
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in parts["model"]["merges"]]
+        self.ranks = {pair: i for i, pair in enumerate(merges)}
         self.specials = {t["content"]: t["id"] for t in parts["added_tokens"]}
-        self.tokens = {i: t for t, i in [*vocab.items(), *self.specials.items()]}
+        self.tokens = {i: t for t, i in [*self.ids.items(), *self.specials.items()]}
         self.symbols = byte_symbols()
-        self.joined = {pair for token in vocab for pair in neighbours(self.split(token))}
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
-        self.word = regex.compile(WORD)
         self.normal = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
-        self.words = pre_tokenizers.Split(Regex(WORD), "removed", invert=True)
-        self.fragments, self.runs = Recent(self.merge), Recent(self.encode_run)
-
-    @staticmethod
-    def split(token: str) -> tuple[str, ...]:
-        """A token as byte symbols, the last one with the word end if the token has it."""
-        return (*token[: -len(END) - 1], token[-len(END) - 1 :]) if token.endswith(END) and len(token) > len(END) else tuple(token)
+        self.split_words = pre_tokenizers.Split(Regex(WORD), "removed", invert=True)
+        self.merges = Merges(self.ids, merges)
+        # Which bytes stand side by side in some token, and which two end some token that ends a word.
+        self.inner, self.final = np.zeros((256, 256), bool), np.zeros((256, 256), bool)
+        byte_of = {symbol: b for b, symbol in self.symbols.items()}
+        for token in self.ids:
+            ends = token.endswith(END) and token != END
+            inside = [byte_of[c] for c in (token[: -len(END)] if ends else token)]
+            for a, b in neighbours(inside[:-1] if ends else inside):
+                self.inner[a, b] = True
+            if ends and len(inside) > 1:
+                self.final[inside[-2], inside[-1]] = True
+        self.runs, self.words = Recent(), Recent()
 
     def encode(self, text: str | None) -> array:
-        ids = array("i")
-        for run in self.white_split(text or ""):
-            ids.extend(self.runs[run])
-        return ids
+        return self.encode_all([text])[0]
 
     def decode(self, ids) -> str:
         """Tokens joined by single spaces, special ones included; unknown ids are left out."""
@@ -98,60 +189,114 @@ class Codec:
         except KeyError:
             return " ".join(self.tokens[i] for i in ids if i in self.tokens)
 
+    def encode_all(self, texts: list[str | None]) -> list[array]:
+        """Ids of every text. Each distinct run without white space, each distinct word and fragment is worked out once."""
+        split = [self.white_split(t) if t else [] for t in texts]
+        wanted = set().union(*split)
+        ids_of = self.runs.known(wanted)
+        new = self.run_words([run for run in wanted if run not in ids_of])
+        word_ids = self.word_ids({word for words in new.values() for word in words})
+        for run, words in new.items():
+            if len(words) == 1:
+                ids_of[run] = word_ids[words[0]]
+            else:
+                ids_of[run] = ids = array("i")
+                for word in words:
+                    ids.extend(word_ids[word])
+        self.runs.add(ids_of)
+        out = []
+        for runs in split:
+            ids = array("i")
+            for run in runs:
+                ids.extend(ids_of[run])
+            out.append(ids)
+        return out
+
     @staticmethod
     def white_split(text: str) -> list[str]:
         return [x for x in ON_WHITE.split(text) if x] if SEPARATORS.search(text) else text.split()
 
-    def encode_run(self, run: str) -> array:
-        """Ids of a run without white space; special tokens inside it stand for themselves."""
-        ids = array("i")
-        holds_special = self.special is not None and self.special.search(run)
-        for part in self.special.split(run) if holds_special else (run,):
-            if holds_special and part in self.specials:
-                ids.append(self.specials[part])
-            elif part:
-                for word in self.plain_words(part):
-                    for fragment in self.cut(word):
-                        ids.extend(self.fragments[fragment])
-        return ids
-
-    def plain_words(self, part: str) -> list[str]:
-        """Composed, lower-cased letter by letter and split; beyond Latin with the tables of the tokenizers library."""
-        if LATIN.fullmatch(part):
-            return self.word.findall(part.lower() if part.isascii() else "".join(map(str.lower, unicodedata.normalize("NFC", part))))
-        return [word for word, _ in self.words.pre_tokenize_str(self.normal.normalize_str(part))]
-
-    def cut(self, word: str) -> list[tuple[str, ...]]:
-        symbols = word.encode("utf-8", "replace").decode("latin-1").translate(self.symbols)
-        symbols = (*symbols[:-1], symbols[-1] + END)
-        if self.joined.issuperset(neighbours(symbols)):
-            return [symbols]
-        cuts = [i for i, pair in enumerate(neighbours(symbols), 1) if pair not in self.joined]
-        return [symbols[a:b] for a, b in zip([0, *cuts], [*cuts, len(symbols)])]
-
-    def merge(self, fragment: tuple[str, ...]) -> array:
-        """Merges of the lowest rank first, leftmost first."""
-        if len(fragment) > SHORT:
-            return self.merge_long(fragment)
-        parts = list(fragment)
-        rank_of, none = self.ranks.get, len(self.ranks)
-        ranks = [rank_of(pair, none) for pair in neighbours(parts)]
-        while ranks and (least := min(ranks)) < none:
-            i = ranks.index(least)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del ranks[i]
-            if i < len(ranks):
-                ranks[i] = rank_of((parts[i], parts[i + 1]), none)
-            if i:
-                ranks[i - 1] = rank_of((parts[i - 1], parts[i]), none)
-        return array("i", map(self.ids.__getitem__, parts))
-
-    def merge_long(self, fragment: tuple[str, ...]) -> array:
-        """The same with a heap: n log n for a fragment of n symbols."""
-        parts, ranks = list(fragment), self.ranks
+    def run_words(self, runs: list[str]) -> dict[str, list[str]]:
+        """The words of each run, composed and lower-cased; a special token in it stands for itself."""
+        whole = "\n".join(runs)
+        odd = not LATIN.fullmatch(whole) or (self.special is not None and self.special.search(whole))
+        plain = [r for r in runs if LATIN.fullmatch(r) and not (self.special is not None and self.special.search(r))] if odd else runs
+        found: dict[str, list[str]] = {}
+        if plain:
+            # One pass over all plain runs; no Latin letter depends on its neighbours when lower-cased.
+            words: list[str] = []
+            rest = iter(plain)
+            for word in WORD_OR_BREAK.findall(unicodedata.normalize("NFC", "\n".join(plain)).lower()):
+                if word == "\n":
+                    found[next(rest)] = words
+                    words = []
+                else:
+                    words.append(word)
+            found[next(rest)] = words
+        if odd:
+            found.update((r, self.odd_words(r)) for r in runs if r not in found)
+        return found
+
+    def odd_words(self, run: str) -> list[str]:
+        """The same for one run, beyond Latin with the tables of the tokenizers library."""
+        parts = [part for part in self.special.split(run) if part] if self.special else [run]
+        return [word for part in parts for word in (
+            [part] if part in self.specials else [w for w, _ in self.split_words.pre_tokenize_str(self.normal.normalize_str(part))])]
+
+    def word_ids(self, words: set[str]) -> dict[str, array]:
+        known = self.words.known(words)
+        known.update((s, array("i", [i])) for s, i in self.specials.items())
+        fresh = [word for word in words if word not in known]
+        cut = self.cut_all([word.encode("utf-8", "replace") for word in fresh])
+        ids = self.fragment_ids({fragment for fragments in cut for fragment in fragments})
+        for word, fragments in zip(fresh, cut):
+            if len(fragments) == 1:
+                known[word] = ids[fragments[0]]
+            else:
+                known[word] = whole = array("i")
+                for fragment in fragments:
+                    whole.extend(ids[fragment])
+        self.words.add(known)
+        return known
+
+    def cut_all(self, words: list[bytes]) -> list[list[bytes]]:
+        """Each word cut between bytes that no token holds side by side."""
+        if not words:
+            return []
+        ends = np.cumsum(list(map(len, words)))
+        codes = np.frombuffer(b"".join(words), np.uint8)
+        joined = self.inner[codes[:-1], codes[1:]]
+        joined[ends[:-1] - 1] = True  # between two words
+        two = np.diff(ends, prepend=0) > 1
+        joined[ends[two] - 2] = self.final[codes[ends[two] - 2], codes[ends[two] - 1]]
+        out = [[word + ENDED] for word in words]
+        cuts = np.flatnonzero(~joined) + 1
+        owners, first = np.unique(np.searchsorted(ends, cuts, "right"), return_index=True)
+        for i, own in zip(owners.tolist(), np.split(cuts, first[1:])):
+            word, start = words[i], int(ends[i]) - len(words[i])
+            at = [0, *(own - start).tolist(), len(word)]
+            out[i] = [word[a:b] for a, b in neighbours(at)]
+            out[i][-1] += ENDED
+        return out
+
+    def fragment_ids(self, fragments: set[bytes]) -> dict[bytes, array]:
+        short = [f for f in fragments if len(f) <= SHORT]
+        return dict(zip(short, self.merges.run(short))) | {f: self.merge_long(f) for f in fragments if len(f) > SHORT}
+
+    def merge_long(self, fragment: bytes) -> array:
+        """Merges of the lowest rank first, leftmost first, by a heap: n log n for a fragment of n bytes."""
+        parts = [self.symbols[b] for b in fragment.removesuffix(ENDED)]
+        if fragment.endswith(ENDED):
+            parts[-1] += END
+        ranks = self.ranks
         after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
         waiting = [(ranks[p], i) + p for i, p in enumerate(neighbours(parts)) if p in ranks]
         heapq.heapify(waiting)
+
+        def push(i: int, left: str, right: str) -> None:
+            if (left, right) in ranks:
+                heapq.heappush(waiting, (ranks[left, right], i, left, right))
+
         while waiting:
             _, i, left, right = heapq.heappop(waiting)
             j = after[i]
@@ -161,20 +306,11 @@ class Codec:
             after[i] = after[j]
             if after[i] < len(parts):
                 before[after[i]] = i
-                self.push(waiting, i, parts[i], parts[after[i]])
+                push(i, parts[i], parts[after[i]])
             if before[i] >= 0:
-                self.push(waiting, before[i], parts[before[i]], parts[i])
+                push(before[i], parts[before[i]], parts[i])
         return array("i", [self.ids[p] for p in parts if p is not None])
 
-    def push(self, waiting: list, i: int, left: str, right: str) -> None:
-        rank = self.ranks.get((left, right))
-        if rank is not None:
-            heapq.heappush(waiting, (rank, i, left, right))
-
-
-def neighbours(symbols) -> Iterator[tuple[str, str]]:
-    return zip(symbols, symbols[1:])
-
 
 def _run(df: DataFrame, path: str, column: str, made: dict[str, T.DataType], work: Callable) -> DataFrame:
     """``work(codec, values)`` on pieces of ``column`` of a (key, column) table; the key travels along."""
@@ -183,6 +319,7 @@ def _run(df: DataFrame, path: str, column: str, made: dict[str, T.DataType], wor
     kept = [c for c in df.columns if c != column]
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # the memos are large and nothing here makes cycles: each collection would walk all of them in vain
         codec = Codec(definition.value)
         for batch in source:
             for at in range(0, batch.num_rows, PIECE_ROWS):
@@ -195,7 +332,7 @@ def _run(df: DataFrame, path: str, column: str, made: dict[str, T.DataType], wor
 
 
 def _encoded(codec: Codec, texts: list[str | None]) -> tuple[pa.Array, list[array]]:
-    lists = [codec.encode(t) for t in texts]
+    lists = codec.encode_all(texts)
     ends = np.cumsum([0, *map(len, lists)])
     flat = np.concatenate([np.frombuffer(x, np.int32) for x in lists]) if ends[-1] else np.zeros(0, np.int32)
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32())), lists
