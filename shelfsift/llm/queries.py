@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfsift.llm import bpe, mixing, quality, simhash
+from shelfsift.llm import bpe, mixing, quality, simhash, suffixes
 from shelfsift.llm.words import n_words
 from shelfsift.queries import Query, table
 
@@ -66,3 +66,12 @@ def op8_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 
 query(op8_mix_sources, mixing.MIX_SQL)
+
+
+def op10_remove_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents without the bytes of 100-byte strings that begin earlier in the corpus."""
+    found = suffixes.remove_repeats(table(spark, folder, "documents"), length=100)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+query(op10_remove_repeats)
