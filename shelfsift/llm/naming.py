@@ -31,6 +31,9 @@ def symbol_names(n: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(ODD))
 
 
+SYMBOLS = symbol_names(256)
+
+
 def rolling(values: np.ndarray, length: int) -> np.ndarray:
     """The polynomial rolling hash of the window of ``length`` (a power of two) values from each place on."""
     hashes, base, width = values, ODD, 1

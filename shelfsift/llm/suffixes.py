@@ -1,289 +1,30 @@
 """Removal of byte strings that occur earlier in the corpus, by prefix-free parsing.
 
-A rolling hash over each text sets triggers: the places whose hash is the least of some GAP neighbouring
-ones. They cut the text into phrases, and equal stretches of text are cut alike: any string of the
-wanted length holds a trigger among its first GAP bytes that every other occurrence has as well. So two
-occurrences share that trigger's *stem*, the bytes that follow it.
-
-The dictionary holds one entry per phrase, its stem and its *context* - all strings that have the trigger
-among their first GAP bytes; the parse of a text is the sequence of its entries. Where a whole context has
-come earlier, all its strings have, and the text needs no more work there: that is most of what repeats. Stems
-that never repeat need none either. Only the suffixes from stems that go on in different ways are left;
-they are put into corpus order by their names - see :mod:`shelfsift.llm.naming` - and every suffix but
-the earliest of those that begin with the same ``length`` bytes is a repeat.
-
-Each step ships a key at most once per batch of texts, so a phrase that a third of all texts hold costs
-a bucket no more than any other.
+The texts are parsed into phrases at rolling-hash triggers, and the parse is compared by its dictionary -
+see :mod:`shelfsift.llm.phrases`. Only suffixes that begin in phrases which repeat, but do not go on alike
+everywhere, are put into corpus order, by the names of their first ``length`` bytes made by prefix
+doubling; every suffix but the earliest of a name begins with a repeated string.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from shelfsift.llm import naming
-from shelfsift.llm.rows import numbered, settled, with_slim
-
-SLICE = 128 << 10  # bytes hashed at once, for the processor's caches
-BATCH = 8 << 20  # bytes whose entries are combined before they are shipped
-BUCKET = 8 << 20  # bytes of text per bucket
-SYMBOLS = naming.symbol_names(257)  # 0 stands for what lies outside a text
-
-
-class Windows:
-    """The sizes that follow from the length of the strings sought."""
-
-    def __init__(self, length: int):
-        if length < 16:
-            raise ValueError("length must be at least 16")
-        self.length = length
-        self.gap = length * 64 // 100
-        self.trigger = 1 << int(math.log2(min(16, length // 4)))
-        self.stem = length - self.gap + 1
-        self.pad = length + self.gap + self.trigger
-
-
-class Slice:
-    """Some stretches of texts side by side, apart by symbols that no text holds, with their names."""
-
-    def __init__(self, pieces: list[tuple[int, int, np.ndarray]], sizes: Windows):
-        """``pieces``: (number of the text, offset in it, bytes)."""
-        lengths = np.array([len(b) for _, _, b in pieces])
-        self.starts = np.cumsum(np.concatenate([[sizes.pad], lengths[:-1] + sizes.pad]))
-        self.lengths, self.sizes = lengths, sizes
-        symbols = np.zeros(int(self.starts[-1] + lengths[-1] + sizes.pad), np.int16)
-        self.owner = np.zeros(len(symbols), np.int32)
-        for i, ((_, _, b), at) in enumerate(zip(pieces, self.starts.tolist())):
-            symbols[at : at + len(b)] = b
-            symbols[at : at + len(b)] += 1
-            self.owner[at - sizes.pad : at + len(b) + sizes.pad] = i
-        self.offset = np.arange(len(symbols)) - self.starts[self.owner]
-        self.names = {}
-        width = sizes.trigger
-        self.names[width] = naming.mix(naming.rolling(SYMBOLS[symbols], width))
-        while 2 * width <= sizes.length:
-            self.names[2 * width] = naming.doubled(self.names[width], width)
-            width *= 2
-
-    def name(self, places: np.ndarray, length: int) -> np.ndarray:
-        """Names of the windows of ``length`` symbols from ``places`` on."""
-        width = max(w for w in self.names if w <= length)
-        return naming.joined(self.names[width][places], self.names[width][places + length - width])
-
-    def triggers(self) -> np.ndarray:
-        s, n = self.sizes, self.lengths[self.owner]
-        inside = (self.offset >= 0) & (self.offset <= n - s.trigger)
-        order = np.where(inside, self.names[s.trigger], np.uint64(2**64 - 1))
-        least = naming.sliding(order, s.gap, np.minimum, True)
-        least[(self.offset < 0) | (self.offset > n - s.trigger + 1 - s.gap)] = 0
-        chosen = naming.sliding(least, s.gap, np.maximum, False) == order
-        return np.flatnonzero(chosen & inside & (self.offset + s.stem <= n))
-
-
-def _slices(texts: list[tuple[int, np.ndarray]], sizes: Windows) -> Iterator[tuple[list[tuple[int, int, np.ndarray]], list[tuple[int, int]]]]:
-    """Pieces of about SLICE bytes with the part of each that counts; longer texts are cut with an overlap."""
-    pieces, parts, held = [], [], 0
-    for number, b in texts:
-        for at in range(0, len(b), SLICE):
-            low = max(0, at - sizes.pad)
-            # A text's true end must be an end of its piece, and a cut must leave whole contexts.
-            pieces.append((number, low, b[low : at + SLICE + sizes.pad]))
-            parts.append((at - low, min(SLICE, len(b) - at)))
-            held += len(pieces[-1][2])
-            if held >= SLICE:
-                yield pieces, parts
-                pieces, parts, held = [], [], 0
-    if pieces:
-        yield pieces, parts
-
-
-def _collected(source: Iterator[pa.RecordBatch], most: int) -> Iterator[list[dict]]:
-    """Rows of all batches, some ``most`` bytes of text at a time."""
-    held, size = [], 0
-    for batch in source:
-        for row in batch.to_pylist():
-            held.append(row)
-            size += len(row["_text"])
-            if size >= most:
-                yield held
-                held, size = [], 0
-    if held:
-        yield held
-
-
-def _entries(rows: list[dict], sizes: Windows) -> dict[str, np.ndarray]:
-    """Stem, context, id and place of every phrase of some texts."""
-    texts = [(i, np.frombuffer(r["_text"], np.uint8)) for i, r in enumerate(rows)]
-    found = {c: [] for c in ("names", "contexts", "owners", "places")}
-    for pieces, parts in _slices(texts, sizes):
-        cut = Slice(pieces, sizes)
-        at = cut.triggers()
-        own, offset = cut.owner[at], cut.offset[at]
-        first, count = (np.array([p[i] for p in parts])[own] for i in (0, 1))
-        counts = (offset >= first) & (offset < first + count)
-        at, own, offset = at[counts], own[counts], offset[counts]
-        found["names"].append(cut.name(at, sizes.stem))
-        found["contexts"].append(naming.joined(cut.name(at - sizes.gap + 1, sizes.length), cut.name(at, sizes.length)))
-        found["owners"].append(np.array([p[0] for p in pieces])[own])
-        found["places"].append((np.array([p[1] for p in pieces])[own] + offset).astype(np.int32))
-    kinds = {"names": np.uint64, "contexts": np.uint64, "owners": np.int64, "places": np.int32}
-    out = {c: np.concatenate([np.zeros(0, kinds[c]), *v]).astype(kinds[c], copy=False) for c, v in found.items()}
-    out["ids"] = np.array([r["_id"] for r in rows], np.int64)[out.pop("owners")] if rows else np.zeros(0, np.int64)
-    return out
-
-
-def _first_of_runs(*columns: np.ndarray) -> np.ndarray:
-    """For sorted columns: where one of them changes."""
-    new = np.zeros(len(columns[0]), bool)
-    new[:1] = True
-    for c in columns:
-        new[1:] |= c[1:] != c[:-1]
-    return new
-
-
-REPEATED, MIXED = 0, 1  # low bit of a code: the whole context came earlier, or the stem goes on in several ways
-
-
-def _known(ids: np.ndarray, places: np.ndarray, kind: int | np.ndarray, bucket: int) -> pa.RecordBatch:
-    """A row that takes decided entries past the buckets' work."""
-    return pa.RecordBatch.from_arrays(
-        [pa.array([bucket], pa.int32()), *(pa.array([x], pa.binary()) for x in (b"", b"", ids.tobytes(), (2 * places + kind).astype(np.int32).tobytes(), b""))],
-        ["bucket", "names", "contexts", "ids", "places", "several"])
-
-
-def _phrases(docs: DataFrame, sizes: Windows, buckets: int) -> DataFrame:
-    """(_id, codes): the phrases that need more than their parse, with 2 * place + kind."""
-
-    def parse(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _collected(source, BATCH):
-            e = _entries(rows, sizes)
-            order = np.lexsort((e["places"], e["ids"], e["contexts"], e["names"]))
-            e = {c: v[order] for c, v in e.items()}
-            stems = _first_of_runs(e["names"])
-            contexts = _first_of_runs(e["names"], e["contexts"])
-            if not len(stems):
-                continue
-            run = np.cumsum(stems) - 1
-            several = np.bincount(run, contexts)[run] > 1
-            lone = contexts & several
-            decided = ~contexts | lone
-            yield _known(e["ids"][decided], e["places"][decided], lone[decided].astype(np.int32), int(rows[0]["_id"]) % buckets)
-            # One entry per stem: the earliest of its first context.
-            shipped = {c: v[stems] for c, v in e.items()}
-            yield from naming.pack(shipped.pop("names"), buckets, {
-                "contexts": shipped["contexts"], "ids": shipped["ids"], "places": shipped["places"], "several": several[stems].astype(np.uint8)})
-
-    def settle(table: pa.Table) -> pa.Table:
-        decided = table.filter(pc.equal(pc.binary_length(table.column("names")), 0))
-        open_ = table.filter(pc.greater(pc.binary_length(table.column("names")), 0))
-        known = naming.unpack(decided, {"ids": np.int64, "places": np.int32})
-        e = naming.unpack(open_, {"names": np.uint64, "contexts": np.uint64, "ids": np.int64, "places": np.int32, "several": np.uint8})
-        order = np.argsort(e["names"], kind="stable")
-        names = e["names"][order]
-        new = _first_of_runs(names)
-        alone = new & np.concatenate([new[1:], [True]]) if len(new) else new
-        order = order[~alone]
-        e = {c: v[order] for c, v in e.items()}
-        order = np.lexsort((e["places"], e["ids"], e["contexts"], e["names"]))
-        e = {c: v[order] for c, v in e.items()}
-        contexts = _first_of_runs(e["names"], e["contexts"])
-        run = np.cumsum(_first_of_runs(e["names"])) - 1
-        mixed = (np.bincount(run, contexts) > 1) | (np.bincount(run, e["several"]) > 0) if len(run) else np.zeros(0, bool)
-        mixed = mixed[run] & contexts & (e["several"] == 0)
-        codes = np.where(mixed, MIXED, REPEATED).astype(np.int32) + 2 * e["places"]
-        said = mixed | ~contexts
-        return naming.per_id(np.concatenate([known["ids"], e["ids"][said]]), np.concatenate([known["places"], codes[said]]))
+from shelfsift.llm.phrases import Kind, covered, repeated_windows
 
-    packed = "bucket int, names binary, contexts binary, ids binary, places binary, several binary"
-    return docs.select("_id", F.col("_text").cast("binary").alias("_text")).mapInArrow(parse, packed).groupBy("bucket").applyInArrow(settle, naming.PER_ID)
 
+def _bytes(text: bytes) -> np.ndarray:
+    return np.frombuffer(text, np.uint8)
 
-def _spans(codes: DataFrame, sizes: Windows) -> DataFrame:
-    """(_id, repeated, undecided): flat lists of spans of string starts, from the codes of phrases."""
 
-    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            out = {"repeated": [], "undecided": []}
-            for codes_ in batch.column("codes"):
-                c = codes_.values.to_numpy()
-                n = int(c.max() >> 1) + 1
-                masks = [naming.mask_of(np.stack([(at >> 1) - sizes.gap + 1, (at >> 1) + 1], 1), n) for at in (c[c % 2 == kind] for kind in (REPEATED, MIXED))]
-                out["repeated"].append(naming.runs(masks[0]))
-                out["undecided"].append(naming.runs(masks[1] & ~masks[0]))
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), *(pa.array(v, pa.list_(pa.int32())) for v in out.values())], ["_id", *out])
-
-    return codes.mapInArrow(batches, "_id long, repeated array<int>, undecided array<int>")
-
-
-def _repeats(open_: DataFrame, sizes: Windows, buckets: int) -> DataFrame:
-    """(_id, codes): the undecided starts at which an earlier string begins again."""
-
-    def order(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _collected(source, BATCH):
-            names, ids, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-            for r in rows:
-                text = np.frombuffer(r["_text"], np.uint8)
-                n = len(text) - sizes.length + 1
-                starts = np.flatnonzero(naming.mask_of(r["undecided"], n)) if n > 0 else np.zeros(0, np.int64)
-                for at in range(0, n, SLICE):
-                    own = starts[(starts >= at) & (starts < at + SLICE)]
-                    if len(own):
-                        cut = Slice([(0, at, text[at : at + SLICE + sizes.length])], sizes)
-                        names.append(cut.name(own - at + cut.starts[0], sizes.length))
-                        ids.append(np.full(len(own), r["_id"], np.int64))
-                        places.append(own.astype(np.int32))
-            names, ids, places = map(np.concatenate, (names, ids, places))
-            if not len(names):
-                continue
-            by_name = np.lexsort((places, ids, names))
-            names, ids, places = names[by_name], ids[by_name], places[by_name]
-            first = _first_of_runs(names)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([int(rows[0]["_id"]) % buckets], pa.int32()), *(pa.array([x], pa.binary()) for x in (b"", ids[~first].tobytes(), places[~first].tobytes()))],
-                ["bucket", "names", "ids", "places"])
-            yield from naming.pack(names[first], buckets, {"ids": ids[first], "places": places[first]})
-
-    def settle(table: pa.Table) -> pa.Table:
-        known = naming.unpack(table.filter(pc.equal(pc.binary_length(table.column("names")), 0)), {"ids": np.int64, "places": np.int32})
-        e = naming.unpack(table.filter(pc.greater(pc.binary_length(table.column("names")), 0)), {"names": np.uint64, "ids": np.int64, "places": np.int32})
-        by_name = np.lexsort((e["places"], e["ids"], e["names"]))
-        e = {c: v[by_name] for c, v in e.items()}
-        later = ~_first_of_runs(e["names"])
-        return naming.per_id(np.concatenate([known["ids"], e["ids"][later]]), np.concatenate([known["places"], e["places"][later]]))
-
-    packed = "bucket int, names binary, ids binary, places binary"
-    return open_.mapInArrow(order, packed).groupBy("bucket").applyInArrow(settle, naming.PER_ID)
-
-
-def _removed(rows: DataFrame, kind: str, sizes: Windows) -> DataFrame:
-    """(_id, _key, n_bytes, n_removed, n_spans, kept) of texts with their spans and repeated starts, null where there are none."""
-
-    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            n_bytes, n_removed, n_spans, kept = [], [], [], []
-            for text, repeated, starts in zip(*(batch.column(c).to_pylist() for c in ("_text", "repeated", "codes"))):
-                n = len(text)
-                gone = np.zeros(n, bool)
-                if n >= sizes.length and (repeated or starts):
-                    last = n - sizes.length + 1
-                    begins = naming.mask_of([*(repeated or []), *(starts or [])], last)
-                    at = np.flatnonzero(begins)
-                    gone = naming.mask_of(np.stack([at, at + sizes.length], 1), n)
-                n_bytes.append(n)
-                n_removed.append(int(gone.sum()))
-                n_spans.append(len(naming.runs(gone)) // 2)
-                kept.append(np.frombuffer(text, np.uint8)[~gone].tobytes() if n_removed[-1] else text)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), batch.column("_key"), *(pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)), pa.array(kept, pa.binary())],
-                ["_id", "_key", "n_bytes", "n_removed", "n_spans", "kept"])
-
-    return rows.mapInArrow(batches, f"_id long, _key {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+def _as_parsed(units: list[np.ndarray], stems: list[np.ndarray], length: int) -> list[np.ndarray]:
+    """Every place of an open stem stands in the parse itself."""
+    return stems
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100) -> DataFrame:
@@ -295,34 +36,21 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     Rows with null or repeated keys come one after the other - see :func:`rows.numbered` - so of equal
     rows the first stays. An empty table gives no rows; only the two named columns are read.
     """
-    sizes = Windows(length)
-    named, total = numbered(docs, key, text)
-    texts = named.select("_id", "_key", F.coalesce(F.col("_text"), F.lit("")).alias("_text"))
-    long_enough = texts.where(F.octet_length("_text") >= length)
-    buckets = max(32, -(-total // BUCKET))
-    spans = settled(_spans(naming.gathered(_phrases(long_enough, sizes, buckets)), sizes))
-    undecided = spans.where(F.size("undecided") > 0).select("_id", "undecided")
-    open_ = with_slim(long_enough.select("_id", F.col("_text").cast("binary").alias("_text")), undecided, "4 * size(undecided)", "inner")
-    starts = naming.gathered(_repeats(open_, sizes, buckets))
-    found = settled(_merged(spans.select("_id", "repeated"), starts))
-    whole = texts.select("_id", "_key", F.col("_text").cast("binary").alias("_text"))
-    size = "4 * (coalesce(size(repeated), 0) + coalesce(size(codes), 0))"
-    kind = docs.schema[key].dataType.simpleString()
-    return _removed(with_slim(whole, found, size, "left"), kind, sizes).select(F.col("_key").alias(key), "n_bytes", "n_removed", "n_spans", "kept")
-
-
-def _merged(spans: DataFrame, starts: DataFrame) -> DataFrame:
-    """(_id, repeated, codes), the starts in runs: flat lists of spans."""
-    joined = spans.join(starts, "_id", "full")
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            lists = []
-            for codes in batch.column("codes").to_pylist():
-                at = np.sort(np.asarray(codes or [], np.int64))
-                edges = np.flatnonzero(np.diff(at) > 1) + 1
-                begin, end = np.concatenate([[0], edges]), np.concatenate([edges, [len(at)]])
-                lists.append(np.stack([at[begin], at[end - 1] + 1], 1).ravel().astype(np.int32) if len(at) else np.zeros(0, np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("repeated"), pa.array(lists, pa.list_(pa.int32()))], ["_id", "repeated", "codes"])
+            n_bytes, n_removed, n_spans, kept = [], [], [], []
+            for whole, repeats in zip(batch.column("_text").to_pylist(), batch.column("repeats").to_pylist()):
+                gone = covered(repeats, len(whole), length)
+                n_bytes.append(len(whole))
+                n_removed.append(int(gone.sum()))
+                n_spans.append(len(naming.runs(gone)) // 2)
+                kept.append(_bytes(whole)[~gone].tobytes() if n_removed[-1] else whole)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_key"), *(pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)), pa.array(kept, pa.binary())],
+                ["_key", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return joined.mapInArrow(batches, "_id long, repeated array<int>, codes array<int>")
+    rows = repeated_windows(docs, key, text, Kind(length, _bytes, True, _as_parsed)).select("_key", "_text", "repeats")
+    kind = docs.schema[key].dataType.simpleString()
+    found = rows.mapInArrow(batches, f"_key {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return found.withColumnRenamed("_key", key)

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from shelfsift.llm import suffixes
+from shelfsift.llm import phrases, suffixes
 from shelfsift.llm.queries import QUERIES
 
 
@@ -49,8 +49,8 @@ def test_random_copies_equal_brute_force(spark, length):
 
 
 def test_runs_and_periods(spark, monkeypatch):
-    monkeypatch.setattr(suffixes, "SLICE", 700)
-    monkeypatch.setattr(suffixes, "BATCH", 2000)
+    monkeypatch.setattr(phrases, "SLICE", 700)
+    monkeypatch.setattr(phrases, "BATCH", 2000)
     rng = random.Random(1)
     long_text = pieces(rng, "xyz ", 3000)
     check(spark, [
