@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfsift.llm import bpe, mixing, quality, simhash, suffixes
+from shelfsift.llm import bpe, mixing, passages, quality, simhash, suffixes
 from shelfsift.llm.words import n_words
 from shelfsift.queries import Query, table
 
@@ -68,6 +68,15 @@ def op8_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
 query(op8_mix_sources, mixing.MIX_SQL)
 
 
+def op9_remove_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents without the passages of 50 and more words that an earlier document holds."""
+    found = passages.remove_passages(table(spark, folder, "documents"), window=50)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+query(op9_remove_passages)
+
+
 def op10_remove_repeats(spark: SparkSession, folder: str) -> DataFrame:
     """All documents without the bytes of 100-byte strings that begin earlier in the corpus."""
     found = suffixes.remove_repeats(table(spark, folder, "documents"), length=100)
