@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfsift.llm import bpe, mixing, passages, quality, simhash, suffixes
+from shelfsift.llm import bpe, mixing, passages, quality, simhash, suffixes, templates
 from shelfsift.llm.words import n_words
 from shelfsift.queries import Query, table
 
@@ -59,6 +59,19 @@ def op5_quality_votes(spark: SparkSession, folder: str) -> DataFrame:
 query(op5_quality_votes, quality.QUALITY_SQL)
 
 
+URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+
+
+def op7_url_templates(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages by rules and by the labelled purity of their path template; labels of the same number stand for the page's."""
+    labels = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("good"))
+    found = templates.judge(table(spark, folder, "pages"), labels, URL_RULES, label_key="doc_id")
+    return found.select("page_id", "host", "path", "rule", "template", F.round("purity", 9).alias("purity"), "verdict")
+
+
+query(op7_url_templates)
+
+
 def op8_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     """All documents mixed by source, weights 1, 2, 3 in turn, at most three epochs."""
     docs = table(spark, folder, "documents").select("doc_id", "source", "text")
