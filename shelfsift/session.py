@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 MEASURED_BROADCAST = "32MB"
+ARROW_BATCH = "16MB"
 
 
 def local_session(cpus: str | int = "*", name: str = "shelfsift", memory: str = "16g") -> SparkSession:
@@ -41,6 +42,8 @@ def configure(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", MEASURED_BROADCAST)
+    # Rows may be whole texts or packed tiles: batches for Python workers are bounded by bytes as well.
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH)
 
 
 def shared_dir(spark: SparkSession) -> str:
