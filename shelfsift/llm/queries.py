@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfsift.llm import bpe, mixing, neighbours, passages, quality, simhash, suffixes, templates
+from shelfsift.llm import bpe, chat, licenses, mixing, neighbours, passages, quality, simhash, suffixes, templates
 from shelfsift.llm.words import n_words
 from shelfsift.queries import Query, table
 
@@ -41,6 +41,15 @@ def op1_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 query(op1_bpe_round_trip)
 
 
+def op2_license_sentences(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents with the license sentences they hold and the licenses read from them."""
+    found = licenses.scan(table(spark, folder, "documents"))
+    return found.select("doc_id", F.array_join("sentences", " ").alias("sentences"), F.array_join("licenses", " ").alias("licenses"))
+
+
+query(op2_license_sentences, licenses.scan_sql())
+
+
 FACTOR = 4.0  # recall 0.996 to 0.999 on the test tables, see tests/llm/test_neighbours.py
 
 
@@ -71,6 +80,22 @@ def op5_quality_votes(spark: SparkSession, folder: str) -> DataFrame:
 query(op5_quality_votes, quality.QUALITY_SQL)
 
 
+def op6_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
+    """Every user turn as a call for a reply, the assistant turn after it as the result."""
+    turns = table(spark, folder, "conversations")
+    call_id = F.concat(F.lit("call-"), F.col("conv_id"), F.lit("-"), F.col("turn"))
+    calls = turns.where("role = 'user'").select(
+        "conv_id", "turn", call_id.alias("call_id"), F.lit("reply").alias("tool"),
+        F.to_json(F.struct(F.col("turn").alias("turn"), F.col("text").alias("text"))).alias("arguments"),
+        F.when(F.col("turn") >= 2, F.array(F.concat(F.lit("call-"), F.col("conv_id"), F.lit("-"), F.col("turn") - 2))).otherwise(F.array().cast("array<string>")).alias("needs"))
+    results = turns.where("role = 'assistant'").select(
+        "conv_id", "turn", F.concat(F.lit("call-"), F.col("conv_id"), F.lit("-"), F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
+    return chat.link_calls(calls, results, chat.REPLY).select("conv_id", "call_id", "turn", "level", "status", "json")
+
+
+query(op6_tool_calls, chat.LINK_SQL)
+
+
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
 
