@@ -7,11 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfsift.llm.rows import numbered, positional, with_slim
+from shelfsift.llm.words import n_words
 from shelfsift.session import stage
 
-ADDED = ("source_size", "target", "taken", "copies")
-
-
 def source_targets(sizes: DataFrame, source: str, weights: Sequence[float], most_epochs: int) -> DataFrame:
     """(source, source_size, source_no, target) from one row per source (``source``, ``source_size``).
 
@@ -87,6 +86,23 @@ def mix(
     )
 
 
+def mixed_rows(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
+    weights: Sequence[float] = (1, 2, 3), most_epochs: int = 3,
+) -> DataFrame:
+    """The rows of ``docs`` as often as :func:`mix` takes them by their words, with all their columns.
+
+    The row in which a source's budget ends is there as a whole; rows not taken are left out. Rows with
+    null or repeated keys are numbered first, so each is taken on its own.
+    """
+    plain, names = positional(docs)
+    of = dict(zip(docs.columns, names))
+    rows, _ = numbered(plain, of[key], of[text], names)
+    taken = stage(mix(rows, n_words(F.col("_text")), "_id", of[source], weights, most_epochs).where("copies > 0").select("_id", "copies"))
+    repeated = with_slim(rows, taken, "8", "inner").select(F.explode(F.sequence(F.lit(1), F.col("copies"))), *names)
+    return repeated.select(*names).toDF(*docs.columns)
+
+
 MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents

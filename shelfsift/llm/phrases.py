@@ -18,7 +18,7 @@ a bucket no more than any other.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -315,14 +315,14 @@ def _merged(spans: DataFrame, starts: DataFrame) -> DataFrame:
     return spans.join(starts, "_id", "full").mapInArrow(batches, "_id long, repeats array<int>")
 
 
-def repeated_windows(docs: DataFrame, key: str, text: str, kind: Kind) -> DataFrame:
-    """(_id, _key, _text binary, repeats) of every row, in the order of :func:`rows.numbered`.
+def repeated_windows(docs: DataFrame, key: str, text: str, kind: Kind, rest: Sequence[str] = ()) -> DataFrame:
+    """(_id, _key, _text binary, repeats, and the columns of ``rest``) of every row, in the order of :func:`rows.numbered`.
 
     ``repeats`` is a flat list of spans (start, end) of the places at which a window begins that has
     come earlier; null where there is none. A span may reach beyond the last window of its text.
     """
-    named, total = numbered(docs, key, text)
-    whole = named.select("_id", "_key", F.coalesce(F.col("_text"), F.lit("")).cast("binary").alias("_text"))
+    named, total = numbered(docs, key, text, rest)
+    whole = named.select("_id", "_key", F.coalesce(F.col("_text"), F.lit("")).cast("binary").alias("_text"), *rest)
     texts = whole.where(F.octet_length("_text") >= kind.length).select("_id", "_text")
     buckets = max(32, -(-total // BUCKET))
     split = settled(_split(naming.gathered(_phrases(texts, kind, buckets)), kind))

@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfsift.llm.rows import positional
 from shelfsift.llm.words import SPACES, once, words
 from shelfsift.session import stage
 
@@ -182,10 +183,9 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns; texts are measured twice rather than shuffled."""
-    names = [f"_c{i}" for i in range(len(docs.columns))]
-    plain = docs.toDF(*names)
+    plain, names = positional(docs)
     found = measured(plain, names[docs.columns.index(text)])
-    return judged(found, learn(found)).where("_kept").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
+    return judged(found, learn(found)).where("_kept").select(*names).toDF(*docs.columns)
 
 
 def _rounds_sql() -> str:

@@ -24,12 +24,14 @@ def query(fn: Query, sql: str | None = None) -> Query:
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
-def token_digests(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
+def token_digests(docs: DataFrame, path: str = VOCABULARY, *more: str) -> DataFrame:
+    """Digests of each text's ids and of the text decoded from them; ``more``: ids, decoded."""
     return bpe.round_trip(docs, path).select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *more,
     )
 
 

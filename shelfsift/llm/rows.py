@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,13 +15,19 @@ WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 MOST_BROADCAST_BYTES = 48 << 20
 
 
-def numbered(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
-    """(_id long, _key, _text) in the order of the keys, and the bytes of all texts.
+def positional(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` with columns _c0, _c1, ..., whatever they were called, and these names."""
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), names
+
+
+def numbered(docs: DataFrame, key: str, text: str, rest: Sequence[str] = ()) -> tuple[DataFrame, int]:
+    """(_id long, _key, _text, and the columns of ``rest``) in the order of the keys, and the bytes of all texts.
 
     Whole-number keys without nulls and repeats are the numbers themselves. Other rows are numbered by
     key - nulls last - and then by a hash of the text, so rows with the same key follow one another.
     """
-    slim = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    slim = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), *rest)
     found = slim.agg(
         F.count(F.lit(1)).alias("rows"), F.count_distinct("_key").alias("keys"), F.coalesce(F.sum(F.octet_length("_text")), F.lit(0)).alias("bytes")).first()
     if isinstance(docs.schema[key].dataType, WHOLE) and found["rows"] == found["keys"]:

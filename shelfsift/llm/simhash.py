@@ -158,7 +158,7 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle
     Of rows with the same key one stays; rows with a null key stay only if all keys of their component
     are null, then one of them.
     """
-    found = stage(near_duplicates(docs, key, text, shingle, radius))
+    found = stage(near_duplicates(docs.select(key, text), key, text, shingle, radius))
     firsts = stage(found.groupBy("component_id").agg(F.count(F.when(F.col(key).eqNullSafe(F.col("component_id")), 1)).alias("_n")))
     names = firsts.select(F.col("component_id").alias("_name"))
     kept = docs.join(_bounded(names), F.col(key).eqNullSafe(F.col("_name")), "left_semi")

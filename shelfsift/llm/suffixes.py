@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 
 from shelfsift.llm import naming
 from shelfsift.llm.phrases import Kind, covered, repeated_windows
+from shelfsift.llm.rows import positional
 
 
 def _bytes(text: bytes) -> np.ndarray:
@@ -54,3 +55,24 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     kind = docs.schema[key].dataType.simpleString()
     found = rows.mapInArrow(batches, f"_key {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
     return found.withColumnRenamed("_key", key)
+
+
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100) -> DataFrame:
+    """``docs`` with the texts that :func:`remove_repeats` keeps, all other columns as they are.
+
+    A character of which only some bytes are left goes as a whole. Rows stay, even with nothing left.
+    """
+    plain, names = positional(docs)
+    own = names[docs.columns.index(text)]
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            kept = []
+            for whole, repeats in zip(batch.column("_text").to_pylist(), batch.column("repeats").to_pylist()):
+                gone = covered(repeats, len(whole), length)
+                kept.append(_bytes(whole)[~gone].tobytes().decode("utf-8", "ignore"))
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()) if n == own else batch.column(n) for n in names], names)
+
+    others = [n for n in names if n != own]
+    rows = repeated_windows(plain, names[docs.columns.index(key)], own, Kind(length, _bytes, True, _as_parsed), others).select("_text", "repeats", *others)
+    return rows.mapInArrow(batches, plain.schema).toDF(*docs.columns)
