@@ -37,6 +37,11 @@ def _over_range(n: Column, body: Callable[[Column], Column]) -> Column:
     return F.slice(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), body), F.lit(1), F.greatest(n, F.lit(0)))
 
 
+def like_text(wanted: str) -> str:
+    """A pattern for ``like`` that takes ``wanted`` literally, anywhere in the text."""
+    return "%" + "".join("\\" + c if c in "%_\\" else c for c in wanted) + "%"
+
+
 # -- normalisation ---------------------------------------------------------------------------
 
 

@@ -17,8 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfsift.functions.text import bind, has_token, term_runs, tokens_ws
-from shelfsift.operators.features import document_frequency
+from shelfsift.functions.text import bind, term_runs, tokens_ws
 from shelfsift.operators.joins import broadcast_small, skew_join
 from shelfsift.session import stage
 
@@ -41,17 +40,33 @@ class TokenIndex:
         return self.counts.agg(F.approx_count_distinct("token").alias("V"))
 
 
+def term_table(items: DataFrame, id: str, text: str, *keep: str) -> DataFrame:
+    """(id, kept columns, _len, _runs): every text's tokens with their counts, staged.
+
+    All that is asked of the texts later - frequencies, index counts, terms - is read from here.
+    """
+    parts = bind(tokens_ws(text), lambda t: F.struct(F.size(t).alias("len"), term_runs(t).alias("runs")))
+    split = items.where(F.col(text).isNotNull()).select(id, *keep, parts.alias("_p"))
+    return stage(split.select(id, *keep, F.col("_p.len").alias("_len"), F.col("_p.runs").alias("_runs")).where("_len > 0"))
+
+
+def term_frequency(terms: DataFrame) -> DataFrame:
+    """In how many rows of a term table each token occurs."""
+    return terms.select(F.explode(F.transform("_runs", lambda r: r["token"])).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+
+
 def nb_index(df: DataFrame, id: str, text: str, cls: str) -> TokenIndex:
     """Token counts per class and class sizes; ``id`` is unique per item.
 
     Both tables are written to the shared folder, as every later step reads them several times.
     """
     items = df.select(F.col(id).alias("_id"), F.col(cls).alias("class"), F.col(text).alias("_text"))
+    terms = term_table(items, "_id", "_text", "class")
     counts = stage(
-        items.select("class", F.explode(tokens_ws("_text")).alias("token"))
-        .groupBy("token", "class").agg(F.count(F.lit(1)).alias("n_wc")))
+        terms.select("class", F.explode("_runs").alias("_t"))
+        .groupBy(F.col("_t.token").alias("token"), "class").agg(F.sum("_t.n").alias("n_wc")))
     sizes = counts.groupBy("class").agg(F.sum("n_wc").alias("n_c"))
-    ids = items.where(has_token("_text")).groupBy("class").agg(
+    ids = terms.groupBy("class").agg(
         F.count(F.lit(1)).alias("docs"), F.min("_id").alias("first_id"), F.max("_id").alias("last_id"))
     return TokenIndex(counts, stage(sizes.join(ids, "class")))
 
@@ -88,25 +103,18 @@ def _numbered(classes: DataFrame) -> DataFrame:
     return stage(classes.withColumn("_code", F.row_number().over(Window.orderBy("class"))))
 
 
-def _candidate_scores(items: DataFrame, id: str, text: str, index: TokenIndex, weight: Column, classes: DataFrame) -> DataFrame:
-    """(id, length, class number, sum of token weights) for the classes that hold a token of the item.
-
-    ``classes`` is numbered. A token's row packs class numbers and weights into two flat arrays: twelve
-    bytes per pair cross the shuffle by item.
-    """
-    packed = index.counts.join(broadcast_small(classes), "class").groupBy("token").agg(
+def packed_index(index: TokenIndex, weight: Column, classes: DataFrame) -> DataFrame:
+    """One staged row per token: its class numbers and weights as two flat arrays, twelve bytes per pair."""
+    return stage(index.counts.join(broadcast_small(classes), "class").groupBy("token").agg(
         F.collect_list(F.struct("_code", weight.alias("w"))).alias("_p")
-    ).select("token", F.col("_p._code").alias("_codes"), F.col("_p.w").alias("_weights"))
-    tokens = tokens_ws(text)
-    # The length goes into the unpacked rows: beside the explode it would be computed once per token.
-    sized = bind(
-        tokens,
-        lambda t: F.transform(
-            term_runs(t), lambda r: F.struct(F.size(t).alias("len"), r["token"].alias("token"), r["n"].alias("n"))
-        ),
-    )
-    terms = items.select(id, F.explode(sized).alias("_t")).select(id, F.col("_t.len").alias("_len"), "_t.token", "_t.n")
-    matched = skew_join(terms, packed, ["token"], document_frequency(items, tokens), rows="df")
+    ).select("token", F.col("_p._code").alias("_codes"), F.col("_p.w").alias("_weights")))
+
+
+def _candidate_scores(items: DataFrame, id: str, text: str, packed: DataFrame) -> DataFrame:
+    """(id, length, class number, sum of token weights) for the classes that hold a token of the item."""
+    terms = term_table(items, id, text)
+    rows = terms.select(id, "_len", F.explode("_runs").alias("_t")).select(id, "_len", "_t.token", "_t.n")
+    matched = skew_join(rows, packed, ["token"], term_frequency(terms), rows="df")
     pairs = matched.select(id, "_len", "n", "_codes", "_weights").repartition(id).select(
         id, "_len", "n", F.inline(F.arrays_zip(F.col("_codes").alias("_code"), F.col("_weights").alias("_w")))
     ).toDF(id, "_len", "n", "_code", "_w")
@@ -120,13 +128,13 @@ def nb_scores(
     classes = _numbered(class_prior(index, prior))
     mine = Window.partitionBy(id)
     if smoothing == "laplace":
-        sums = _candidate_scores(items, id, text, index, F.log(F.col("n_wc") + 1), classes.select("class", "_code"))
+        sums = _candidate_scores(items, id, text, packed_index(index, F.log(F.col("n_wc") + 1), classes.select("class", "_code")))
         vocab = index.vocabulary_size().scalar()
         score = F.log("prior") - F.col("_len") * F.log(F.col("n_c") + vocab) + F.col("_sum")
         raw = sums.join(broadcast_small(classes), "_code").select(id, "class", score.alias("score"))
         shifted = raw.withColumn("_p", F.exp(F.col("score") - F.max("score").over(mine)))
     else:
-        sums = _candidate_scores(items, id, text, index, F.col("n_wc") / F.col("n_c"), classes)
+        sums = _candidate_scores(items, id, text, packed_index(index, F.col("n_wc") / F.col("n_c"), classes))
         raw = sums.join(broadcast_small(classes), "_code").select(id, "class", (F.col("_sum") + F.col("prior")).alias("score"))
         shifted = raw.withColumn("_p", F.col("score"))
     return shifted.select(id, "class", "score", (F.col("_p") / F.sum("_p").over(mine)).alias("probability"))
@@ -147,23 +155,21 @@ def nb_predict(
 
 
 def nb_explain(items: DataFrame, id: str, text: str, index: TokenIndex) -> DataFrame:
-    """Every factor of the Laplace score: one row per item, candidate class and distinct token."""
-    tokens = tokens_ws(text)
-    frequency = document_frequency(items, tokens)
-    terms = items.select(id, F.explode(term_runs(tokens)).alias("_t")).select(id, "_t.token", "_t.n")
+    """Every factor of the Laplace score: one row per item, candidate class and distinct token.
+
+    The factors of tokens a class holds come from the join with the index; the others are the item's
+    tokens for each of its candidate classes, less those found. Rows stay flat: no item's classes meet
+    in one array.
+    """
+    terms = term_table(items, id, text)
+    rows = stage(terms.select(id, F.explode("_runs").alias("_t")).select(id, "_t.token", "_t.n"))
     packed = index.counts.groupBy("token").agg(F.collect_list(F.struct("class", "n_wc")).alias("_classes"))
-    known = skew_join(terms, packed, ["token"], frequency, rows="df", how="left")
-    per_item = known.groupBy(id).agg(
-        F.array_distinct(F.flatten(F.collect_list(F.transform("_classes", lambda c: c["class"])))).alias("_candidates"),
-        F.collect_list(F.struct("token", "n", "_classes")).alias("_terms"),
-    )
-    rows = per_item.select(id, "_candidates", F.explode("_terms").alias("_t")).select(
-        id, F.explode("_candidates").alias("class"), "_t.token", "_t.n", "_t._classes"
-    )
-    found = F.expr("filter(_classes, c -> c.class = class)")
-    n_wc = F.coalesce(F.get(found, F.lit(0))["n_wc"], F.lit(0))
+    met = skew_join(rows, packed, ["token"], term_frequency(terms), rows="df").select(id, "token", F.inline("_classes"))
+    found = stage(met.toDF(id, "token", "class", "n_wc"))
+    candidates = found.select(id, "class").distinct()
+    every = rows.join(candidates, id).join(found, [id, "class", "token"], "left").withColumn("n_wc", F.coalesce("n_wc", F.lit(0).cast("bigint")))
     vocab = index.vocabulary_size().scalar()
-    return rows.withColumn("n_wc", n_wc).join(index.classes.select("class", "n_c"), "class").select(
+    return every.join(broadcast_small(index.classes.select("class", "n_c")), "class").select(
         id, "class", "token", "n", "n_wc", "n_c", vocab.alias("V"),
         ((F.col("n_wc") + 1) / (F.col("n_c") + vocab)).alias("p"),
     )

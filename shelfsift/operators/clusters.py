@@ -3,23 +3,61 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import LDA, BisectingKMeans, KMeans, KMeansModel
 from pyspark.ml.feature import CountVectorizer
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfsift.operators.features import NO_LIMIT
 from shelfsift.operators.ranks import systematic_sample
+from shelfsift.session import stage
 
 
 def kmeans(df: DataFrame, vec: str, k: int, iters: int = 10, seed: int = 1) -> KMeansModel:
     return KMeans(k=k, maxIter=iters, seed=seed, featuresCol=vec, predictionCol="cluster").fit(df)
 
 
-def minibatch_kmeans(df: DataFrame, vec: str, k: int, share: float, iters: int = 10, seed: int = 1) -> KMeansModel:
-    """Centres from a random share of the rows; all rows are assigned to them by ``transform``."""
-    return kmeans(df.sample(share, seed), vec, k, iters, seed)
+@dataclass(frozen=True)
+class Centres:
+    """Cluster centres; ``transform`` assigns every row to its nearest."""
+
+    points: np.ndarray
+    vec: str
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        points = self.points
+        half = (points**2).sum(axis=1) / 2
+
+        @F.pandas_udf("int")
+        def nearest(rows: pd.Series) -> pd.Series:
+            return pd.Series((half - np.stack(rows.to_numpy()) @ points.T).argmin(axis=1) if len(rows) else [], dtype="int32")
+
+        return df.withColumn("cluster", nearest(vector_to_array(self.vec)))
+
+
+def minibatch_kmeans(df: DataFrame, id: str, vec: str, k: int, batches: int = 10, epochs: int = 2, seed: int = 1) -> Centres:
+    """Centres moved batch after batch, each by the mean of its new rows against all rows it has had.
+
+    Batches are dealt by a hash of the id and together hold every row. Each is one grouped mean, of
+    which k rows reach the driver. The first centres are the k rows with the smallest hash.
+    """
+    order = F.xxhash64(id, F.lit(seed))
+    rows = stage(df.select(F.col(id).alias("_id"), F.col(vec).alias("_vec"), order.alias("_order"), F.pmod(order, F.lit(batches)).alias("_batch")))
+    first = rows.orderBy("_order", "_id").limit(k).collect()
+    points, seen = np.array([r["_vec"].toArray() for r in first]), np.zeros(len(first))
+    for batch in [b for _ in range(epochs) for b in range(batches)]:
+        placed = Centres(points, "_vec").transform(rows.where(F.col("_batch") == batch))
+        for r in placed.groupBy("cluster").agg(Summarizer.mean(F.col("_vec")).alias("mean"), F.count(F.lit(1)).alias("n")).collect():
+            seen[r["cluster"]] += r["n"]
+            points[r["cluster"]] += (r["mean"].toArray() - points[r["cluster"]]) * r["n"] / seen[r["cluster"]]
+    return Centres(points, vec)
 
 
 def cluster_tree(df: DataFrame, vec: str, leaves: int, iters: int = 10, seed: int = 1):
@@ -36,11 +74,11 @@ def cluster_sample(df: DataFrame, cluster: str, order: Sequence[str], k: int) ->
     return systematic_sample(df, cluster, order, k)
 
 
-def topics(df: DataFrame, tokens: Column, k: int, iters: int = 10, vocab: int = 20_000, seed: int = 1) -> PipelineModel:
-    """Topic model over token counts, fitted online."""
+def topics(df: DataFrame, tokens: Column, k: int, iters: int = 10, vocab: int | None = None, seed: int = 1) -> PipelineModel:
+    """Topic model over the counts of all tokens, unless ``vocab`` limits them, fitted online."""
     bags = df.withColumn("_tokens", tokens)
     return Pipeline(stages=[
-        CountVectorizer(inputCol="_tokens", outputCol="_bag", vocabSize=vocab),
+        CountVectorizer(inputCol="_tokens", outputCol="_bag", vocabSize=vocab or NO_LIMIT),
         LDA(k=k, maxIter=iters, optimizer="online", seed=seed, featuresCol="_bag", topicDistributionCol="topics"),
     ]).fit(bags)
 
@@ -48,7 +86,11 @@ def topics(df: DataFrame, tokens: Column, k: int, iters: int = 10, vocab: int =
 def topic_words(model: PipelineModel, n: int = 10) -> DataFrame:
     """(topic, rank, word, weight) of the heaviest words of each topic."""
     counter, lda = model.stages
-    vocabulary = F.array(*[F.lit(w) for w in counter.vocabulary])
     described = lda.describeTopics(n)
-    return described.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "t")).select(
-        "topic", "rank", F.get(vocabulary, F.col("t.termIndices")).alias("word"), F.col("t.termWeights").alias("weight"))
+    heaviest = described.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "t")).select(
+        "topic", "rank", F.col("t.termIndices").alias("_at"), F.col("t.termWeights").alias("weight"))
+    # Only the words that are listed are looked up, k * n at most.
+    wanted = sorted({r["_at"] for r in heaviest.select("_at").distinct().collect()})
+    vocabulary = counter.vocabulary
+    words = described.sparkSession.createDataFrame([(at, vocabulary[at]) for at in wanted], "_at int, word string")
+    return heaviest.join(F.broadcast(words), "_at").select("topic", "rank", "word", "weight")

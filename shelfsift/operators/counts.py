@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfsift.functions.text import tokens_replace
+from shelfsift.functions.text import term_runs, tokens_replace
+from shelfsift.session import stage
 
 
 def category_counts(df: DataFrame, cls: str) -> DataFrame:
@@ -72,25 +73,35 @@ def itemsets(
 def itemsets_all(df: DataFrame, text: str, min_support: float = 0.05) -> DataFrame:
     """Support of token sets of every size.
 
-    A set chosen from positions with repeats is met prod(2^m - 1) times when its tokens occur m
-    times each, so only the subsets of a row's distinct tokens are listed, each with that weight.
-    The list doubles with every further token of a row: meant for item names; for long rows use
-    ``frequent_sets``.
+    A set chosen from positions with repeats is met prod(2^m - 1) times when its tokens occur m times
+    each, so a row counts for a set with that weight. Sets grow by one token at a time. A set, however it
+    grows, gets no more from a row than its own weight times prod(2^m) over the row's later tokens; where
+    the sum of these bounds over all rows that hold it is below the support, the set is dropped with
+    all that would grow from it. So a row never lists its subsets, only the few that may be frequent.
     """
     rows = df.select(tokens_replace(F.lower(text)).alias("_tokens"))
-    distinct = rows.withColumn("_set", F.array_sort(F.array_distinct("_tokens")))
-    masks = distinct.where(F.size("_set") > 0).select(
-        "_tokens", "_set", F.explode(F.sequence(F.lit(1), F.pow(2.0, F.size("_set")).cast("bigint") - 1)).alias("_mask")
-    )
-    chosen = F.expr("filter(_set, (t, i) -> (shiftright(_mask, i) & 1) = 1)")
-    weight = F.expr("aggregate(items, 1D, (w, t) -> w * (pow(2, size(filter(_tokens, x -> x = t))) - 1))")
-    total = rows.agg(F.count(F.lit(1)).cast("double")).scalar()
-    return (
-        masks.withColumn("items", chosen).withColumn("_weight", weight)
-        .groupBy("items").agg(F.sum("_weight").cast("bigint").alias("hits"))
-        .withColumn("support", F.col("hits") / total).where(F.col("support") >= min_support)
-        .select(F.array_join("items", " ").alias("items"), "hits", "support")
-    )
+    total = rows.agg(F.count(F.lit(1)).cast("double")).first()[0]
+    counted = rows.select(F.monotonically_increasing_id().alias("_row"), term_runs("_tokens").alias("_runs")).where(F.size("_runs") > 0)
+    # What the tokens behind each place can still multiply a weight by.
+    single = stage(counted.select("_row", F.posexplode("_runs").alias("_at", "_t"), F.transform("_runs", lambda r: r["n"]).alias("_ns")).select(
+        "_row", "_at", "_t.token", (F.pow(2.0, "_t.n") - 1).alias("_w"),
+        F.pow(2.0, F.aggregate(F.slice("_ns", F.col("_at") + 2, F.size("_ns")), F.lit(0.0), lambda a, n: a + n)).alias("_more")))
+    least = min_support * total
+    grown = single.select("_row", "_at", F.array("token").alias("items"), "_w", "_more")
+    found = None
+    while True:
+        grown = stage(grown)
+        sums = stage(grown.groupBy("items").agg(F.sum("_w").alias("_hits"), F.sum(F.col("_w") * F.col("_more")).alias("_most")).where(F.col("_most") >= least))
+        if sums.isEmpty():
+            break
+        level = sums.where(F.col("_hits") >= least)
+        found = level if found is None else found.unionByName(level)
+        open_ = grown.join(sums.select("items"), "items", "left_semi").select("_row", F.col("_at").alias("_last"), "items", F.col("_w").alias("_had"))
+        grown = open_.join(single, "_row").where(F.col("_at") > F.col("_last")).select(
+            "_row", "_at", F.array_append("items", F.col("token")).alias("items"), (F.col("_had") * F.col("_w")).alias("_w"), "_more")
+    if found is None:
+        found = sums
+    return found.select(F.array_join("items", " ").alias("items"), F.col("_hits").cast("bigint").alias("hits")).withColumn("support", F.col("hits") / total)
 
 
 def frequent_sets(df: DataFrame, text: str, min_support: float) -> DataFrame:

@@ -12,11 +12,14 @@ from shelfsift.operators.joins import skew_join
 from shelfsift.session import stage
 
 
+NO_LIMIT = (1 << 31) - 1  # the counter asks for a number; it keeps what there is, up to it
+
+
 def count_features(
     text: str, output: str = "features", ngram_range: tuple[int, int] = (1, 1), binary: bool = False,
-    max_features: int = 1 << 18, stop_words: bool = False,
+    max_features: int | None = None, stop_words: bool = False,
 ) -> Pipeline:
-    """Pipeline from text to a sparse vector of word n-gram counts."""
+    """Pipeline from text to a sparse vector of word n-gram counts, of all n-grams unless the caller sets a limit."""
     low, high = ngram_range
     tok = f"_{output}_words"
     stages = [RegexTokenizer(inputCol=text, outputCol=tok, pattern=FEATURE_WORD, gaps=False, toLowercase=True)]
@@ -31,7 +34,7 @@ def count_features(
         stages.append(SQLTransformer(statement=f"SELECT *, concat({', '.join(grams)}) AS _{output}_all FROM __THIS__"))
         grams = [f"_{output}_all"]
     stages.append(
-        CountVectorizer(inputCol=grams[0], outputCol=output, binary=binary, vocabSize=max_features, minDF=1.0)
+        CountVectorizer(inputCol=grams[0], outputCol=output, binary=binary, vocabSize=max_features or NO_LIMIT, minDF=1.0)
     )
     return Pipeline(stages=stages)
 

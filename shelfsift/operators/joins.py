@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfsift.functions.text import like_text
+
 HOT_SHARE = 0.001  # at most 1 / HOT_SHARE keys can each hold this share of the rows
 SALTS = 32
-MOST_BROADCAST_ROWS = 200_000
+MOST_BROADCAST_BYTES = 16 << 20
 
 
 def hot_keys(weights: DataFrame, keys: Sequence[str], rows: str) -> DataFrame:
@@ -18,9 +20,11 @@ def hot_keys(weights: DataFrame, keys: Sequence[str], rows: str) -> DataFrame:
     return weights.where(F.col(rows) >= least).select(*keys)
 
 
-def broadcast_small(df: DataFrame, most: int = MOST_BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast if a count of the (staged, hence cheap to count) table allows it, else leave the choice to Spark."""
-    return F.broadcast(df) if df.count() <= most else df
+def broadcast_small(df: DataFrame, most: int = MOST_BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast if the measured bytes of the (staged, hence cheap to read) table allow it, else leave the choice to Spark."""
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
+    row = sum(texts, F.lit(8 + 8 * len(df.columns)))
+    return F.broadcast(df) if df.agg(F.coalesce(F.sum(row), F.lit(0))).first()[0] <= most else df
 
 
 def skew_join(
@@ -68,9 +72,9 @@ def missing_item_report(
     truth_category: str = "category_id", label: str = "predicted_category", prob: str = "probability",
 ) -> DataFrame:
     """Items outside ``category`` whose predicted label contains ``wanted``, most probable first."""
-    keep = F.col(label).ilike(f"%{wanted}%") & (F.col(truth_category) != category)
+    keep = F.col(label).ilike(like_text(wanted)) & (F.col(truth_category) != category)
     if unwanted is not None:
-        keep = keep & ~F.col(label).ilike(f"%{unwanted}%")
+        keep = keep & ~F.col(label).ilike(like_text(unwanted))
     return join_truth(preds, truth, text, keep).orderBy(F.desc(prob), text, label)
 
 

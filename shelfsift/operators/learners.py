@@ -58,8 +58,15 @@ def fit_lr(train: DataFrame, c: float = 1.0, penalty: str = "l2", weight: str |
     return _fitted(train, lr_estimator(train.count(), c, penalty, weight, iters, **cols))
 
 
+def _depth(wanted: int | None) -> int:
+    """``wanted``, or the greatest depth there is if None; more than that is refused."""
+    if wanted is not None and wanted > DEEPEST:
+        raise ValueError(f"trees end at depth {DEEPEST}")
+    return DEEPEST if wanted is None else wanted
+
+
 def fit_tree(train: DataFrame, criterion: str = "gini", max_depth: int = 5, **cols: str) -> PipelineModel:
-    return _fitted(train, DecisionTreeClassifier(impurity=criterion, maxDepth=min(max_depth, DEEPEST), seed=1, **cols))
+    return _fitted(train, DecisionTreeClassifier(impurity=criterion, maxDepth=_depth(max_depth), seed=1, **cols))
 
 
 def fit_forest(
@@ -67,25 +74,47 @@ def fit_forest(
     bootstrap: bool = True, criterion: str = "gini", **cols: str,
 ) -> PipelineModel:
     return _fitted(train, RandomForestClassifier(
-        numTrees=trees, maxDepth=min(max_depth or DEEPEST, DEEPEST), featureSubsetStrategy=str(max_features),
+        numTrees=trees, maxDepth=_depth(max_depth), featureSubsetStrategy=str(max_features),
         minInstancesPerNode=min_leaf, bootstrap=bootstrap, impurity=criterion, seed=1, **cols))
 
 
+def _hashed(numbers: np.ndarray, seed: int) -> np.ndarray:
+    """Uniform numbers in (0, 1] that depend on ``numbers`` and ``seed`` alone."""
+    x = (numbers.astype(np.uint64) + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
+    for _ in range(2):
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+    return ((x >> np.uint64(11)).astype(np.float64) + 1) / 2**53
+
+
+def _fourier_rows(features: np.ndarray, size: int, seed: int) -> np.ndarray:
+    """Normal numbers for each feature: its row of the projection, the same in every task and batch."""
+    at = features[:, None] * size + np.arange(size)[None, :]
+    return np.sqrt(-2 * np.log(_hashed(2 * at, seed))) * np.cos(2 * math.pi * _hashed(2 * at + 1, seed))
+
+
 def random_fourier(df: DataFrame, features: str, output: str, gamma: float, size: int = 256, seed: int = 1) -> DataFrame:
-    """Features whose dot products approach exp(-gamma * squared distance)."""
-    dim = df.select(features).first()[0].size
-    if dim * size > 50_000_000:
-        raise ValueError("too many features for a dense projection; reduce max_features first")
+    """Features whose dot products approach exp(-gamma * squared distance).
+
+    The projection is never held as a whole: a task makes the rows of the features its texts have, so
+    any number of features will do.
+    """
+    shift = 2 * math.pi * _hashed(np.arange(size), seed + 1)
 
     @F.pandas_udf("array<double>")
-    def project(rows: pd.Series) -> pd.Series:
-        rng = np.random.default_rng(seed)
-        w = rng.normal(scale=math.sqrt(2 * gamma), size=(dim, size))
-        b = rng.uniform(0, 2 * math.pi, size)
-        x = np.array(rows.tolist(), dtype="float64")
-        return pd.Series(list(math.sqrt(2 / size) * np.cos(x @ w + b)))
+    def project(indices: pd.Series, values: pd.Series) -> pd.Series:
+        out = []
+        for at, x in zip(indices, values):
+            total = np.zeros(size)
+            for i in range(0, len(at), 4096):
+                total += np.asarray(x[i : i + 4096], "float64") @ _fourier_rows(np.asarray(at[i : i + 4096], "int64"), size, seed)
+            out.append(math.sqrt(2 / size) * np.cos(math.sqrt(2 * gamma) * total + shift))
+        return pd.Series(out)
 
-    return df.withColumn(output, array_to_vector(project(vector_to_array(features))))
+    parts = F.unwrap_udt(features)
+    dense = parts["indices"].isNull()
+    numbers = F.transform(parts["values"], lambda _, i: i)
+    return df.withColumn(output, array_to_vector(project(F.when(dense, numbers).otherwise(parts["indices"]), parts["values"])))
 
 
 def fit_svm(train: DataFrame, c: float = 1.0, iters: int = 30, featuresCol: str = "features", labelCol: str = "label") -> PipelineModel:
@@ -107,7 +136,7 @@ def fit_nb(train: DataFrame, alpha: float = 1.0, fit_prior: bool = True, **cols:
     if fit_prior:
         return _fitted(train, NaiveBayes(modelType="multinomial", smoothing=alpha, **cols))
     fitted = NaiveBayes(
-        modelType="multinomial", smoothing=alpha, rawPredictionCol="", probabilityCol="_with_prior", predictionCol="", **cols).fit(train)
+        modelType="multinomial", smoothing=alpha, rawPredictionCol="_log_scores", probabilityCol="", predictionCol="", **cols).fit(train)
     return FlatPrior(fitted)
 
 
@@ -118,13 +147,14 @@ class FlatPrior:
     fitted: Model
 
     def transform(self, df: DataFrame) -> DataFrame:
-        # Dividing by the prior and scaling again leaves the likelihoods.
-        undo = F.array(*[F.lit(math.exp(-p)) for p in self.fitted.pi.toArray()])
-        flat = F.zip_with(vector_to_array("_with_prior"), undo, lambda p, w: p * w)
-        scaled = F.transform("_flat", lambda x: x / F.aggregate("_flat", F.lit(0.0), lambda a, y: a + y))
-        return self.fitted.transform(df).withColumn("_flat", flat).select(
+        # From the log scores: the probabilities of long texts are 0 or 1 already.
+        prior = F.array(*[F.lit(float(p)) for p in self.fitted.pi.toArray()])
+        logs = F.zip_with(vector_to_array("_log_scores"), prior, lambda score, p: score - p)
+        odds = F.transform("_logs", lambda x: F.exp(x - F.array_max("_logs")))
+        scaled = F.transform("_odds", lambda x: x / F.aggregate("_odds", F.lit(0.0), lambda a, y: a + y))
+        return self.fitted.transform(df).withColumn("_logs", logs).withColumn("_odds", odds).select(
             *df.columns, array_to_vector(scaled).alias("probability"),
-            (F.array_position("_flat", F.array_max("_flat")) - 1).cast("double").alias("prediction"))
+            (F.array_position("_logs", F.array_max("_logs")) - 1).cast("double").alias("prediction"))
 
 
 @dataclass(frozen=True)
@@ -150,16 +180,18 @@ def fit_ada(
 ) -> BoostedStumps:
     """Boosted stumps for two classes, each fitted on rows reweighted by the errors so far.
 
-    The row weights are staged each round, so a lost executor never replays the rounds before.
+    The features are staged once; each round stages the row weights alone, beside the row's number.
     """
-    rows = stage(train.select(featuresCol, labelCol).withColumn("_w", F.lit(1.0)))
+    rows = stage(train.select(featuresCol, labelCol).withColumn("_row", F.monotonically_increasing_id()))
+    weights = None
     stumps, shares = [], []
     for i in range(rounds):
+        weighted = rows.withColumn("_w", F.lit(1.0)) if weights is None else rows.join(weights, "_row")
         stump = DecisionTreeClassifier(
             maxDepth=1, weightCol="_w", featuresCol=featuresCol, labelCol=labelCol, seed=1,
-            predictionCol=f"_vote{i}", rawPredictionCol="", probabilityCol="").fit(rows)
+            predictionCol=f"_vote{i}", rawPredictionCol="", probabilityCol="").fit(weighted)
         wrong = F.col(f"_vote{i}") != F.col(labelCol)
-        voted = stump.transform(rows)
+        voted = stump.transform(weighted)
         error = voted.agg(F.sum(F.when(wrong, F.col("_w")).otherwise(0.0)) / F.sum("_w")).first()[0]
         if error >= 0.5:
             break
@@ -168,7 +200,7 @@ def fit_ada(
         shares.append(share)
         if error < 1e-12:
             break
-        rows = stage(voted.select(featuresCol, labelCol, (F.col("_w") * F.when(wrong, math.exp(share)).otherwise(1.0)).alias("_w")))
+        weights = stage(voted.select("_row", (F.col("_w") * F.when(wrong, math.exp(share)).otherwise(1.0)).alias("_w")))
     if not stumps:
         raise ValueError("no stump is better than chance")
     return BoostedStumps(stumps, shares)
@@ -182,7 +214,7 @@ def fit_mlp(train: DataFrame, classes: int, hidden: Sequence[int] = (16,), iters
 # -- features --------------------------------------------------------------------------------
 
 
-def merged_features(text: str, output: str = "features", max_features: int = 2000) -> Pipeline:
+def merged_features(text: str, output: str = "features", max_features: int | None = None) -> Pipeline:
     """Separate vocabularies of single words and of word pairs, side by side."""
     return Pipeline(stages=[
         count_features(text, "_words", (1, 1), max_features=max_features),
@@ -191,7 +223,7 @@ def merged_features(text: str, output: str = "features", max_features: int = 200
     ])
 
 
-def count_and_tfidf(text: str, output: str = "features", max_features: int = 2000) -> Pipeline:
+def count_and_tfidf(text: str, output: str = "features", max_features: int | None = None) -> Pipeline:
     """Counts and their inverse-frequency weighted form, side by side."""
     return Pipeline(stages=[
         count_features(text, "_counts", max_features=max_features),
@@ -277,7 +309,7 @@ def best_trial(trials: Sequence[Trial], prefer: str = "first") -> Trial:
 
 def search_ranges(
     train: DataFrame, text: str, key: str, ranges: Sequence[tuple[int, int]] = ((1, 1), (1, 2), (2, 2)),
-    max_features: Sequence[int] = (1 << 18,), learners: Callable[[int], Mapping] = default_learners, **how: object,
+    max_features: Sequence[int | None] = (None,), learners: Callable[[int], Mapping] = default_learners, **how: object,
 ) -> Trial:
     """Best over n-gram ranges and vocabulary sizes of the best learner of each.
 
@@ -318,9 +350,9 @@ def train_multiclass(train: DataFrame, category: str, features: Pipeline, estima
 
 
 def predicted_names(model: PipelineModel, scored: DataFrame, name: str = "predicted_category") -> DataFrame:
-    """Predicted codes back to category names."""
-    labels = model.stages[0].labels
-    return scored.withColumn(name, F.get(F.array(*[F.lit(x) for x in labels]), F.col("prediction").cast("int")))
+    """Predicted codes back to category names, by a join with the table of labels."""
+    labels = scored.sparkSession.createDataFrame(list(enumerate(model.stages[0].labels)), f"_code int, {name} string")
+    return scored.withColumn("_code", F.col("prediction").cast("int")).join(F.broadcast(labels), "_code", "left").drop("_code")
 
 
 def refit_on_errors(model: Model, estimator: Estimator, train: DataFrame, label: str = "label", repeat: float = 2.0) -> Model:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfsift.functions.text import split_tokens
+from shelfsift.functions.text import like_text, split_tokens
 
 # Canonical column names, reasons and the labels made from them.
 CANONICAL_NAMES = {
@@ -121,8 +121,8 @@ def misclassified(df: DataFrame, truth: str, pred: str) -> DataFrame:
 
 def label_contains(df: DataFrame, label: str, wanted: str, unwanted: str | None = None) -> DataFrame:
     """Case-insensitive contains / does not contain on a predicted label."""
-    kept = df.where(F.col(label).ilike(f"%{wanted}%"))
-    return kept if unwanted is None else kept.where(~F.col(label).ilike(f"%{unwanted}%"))
+    kept = df.where(F.col(label).ilike(like_text(wanted)))
+    return kept if unwanted is None else kept.where(~F.col(label).ilike(like_text(unwanted)))
 
 
 def _first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> list[Column]:

@@ -29,9 +29,9 @@ def _judged(spark: SparkSession, folder: str) -> DataFrame:
     return documents(spark, folder, "doc_id", "text").join(marks, "doc_id")
 
 
-def _vectors(spark: SparkSession, folder: str, size: int = 500) -> DataFrame:
+def _vectors(spark: SparkSession, folder: str) -> DataFrame:
     rows = _judged(spark, folder)
-    pipeline = count_features("text", binary=True, max_features=size, stop_words=True)
+    pipeline = count_features("text", binary=True, stop_words=True)
     return stage(pipeline.fit(rows).transform(rows).select("doc_id", "features", "label"))
 
 
@@ -102,21 +102,21 @@ def neural_net(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def merged_word_and_pair_model(spark: SparkSession, folder: str) -> DataFrame:
     rows = _judged(spark, folder)
-    vectors = stage(ln.merged_features("text", max_features=300).fit(rows).transform(rows).select("doc_id", "features", "label"))
+    vectors = stage(ln.merged_features("text").fit(rows).transform(rows).select("doc_id", "features", "label"))
     return _scored(ln.fit_lr(vectors), vectors)
 
 
 @query()
 def count_and_tfidf_model(spark: SparkSession, folder: str) -> DataFrame:
     rows = _judged(spark, folder)
-    vectors = stage(ln.count_and_tfidf("text", max_features=300).fit(rows).transform(rows).select("doc_id", "features", "label"))
+    vectors = stage(ln.count_and_tfidf("text").fit(rows).transform(rows).select("doc_id", "features", "label"))
     return _scored(ln.fit_lr(vectors), vectors)
 
 
 @query()
 def multiclass_model(spark: SparkSession, folder: str) -> DataFrame:
     named = items(spark, folder).select("p_partkey", "p_name", "p_type")
-    features = count_features("p_name", max_features=200)
+    features = count_features("p_name")
     model = ln.train_multiclass(named, "p_type", features, NaiveBayes(smoothing=1.0))
     return ln.predicted_names(model, model.transform(named)).select("p_partkey", "p_type", "predicted_category")
 
@@ -124,7 +124,7 @@ def multiclass_model(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def multiclass_svm(spark: SparkSession, folder: str) -> DataFrame:
     named = label_encode(items(spark, folder).select("p_partkey", "item", "p_type"), "p_type")
-    rows = count_features("item", max_features=200).fit(named).transform(named).withColumn("label", F.col("code").cast("double"))
+    rows = count_features("item").fit(named).transform(named).withColumn("label", F.col("code").cast("double"))
     kept = stage(rows.select("p_partkey", "p_type", "label", "features"))
     return ln.fit_svm_multiclass(kept, iters=5).transform(kept).select("p_partkey", "p_type", "prediction")
 
@@ -133,7 +133,7 @@ def multiclass_svm(spark: SparkSession, folder: str) -> DataFrame:
 def category_models(spark: SparkSession, folder: str) -> DataFrame:
     """One model per part type, kept and read back, with its training recall."""
     named = items(spark, folder).select("item", "p_type").withColumn("type", F.lit("True Positive"))
-    features = count_features("item", max_features=200)
+    features = count_features("item")
 
     def trainer(rows: DataFrame):
         prepared = features.fit(rows)
@@ -169,7 +169,7 @@ def epoch_history(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def learner_search(spark: SparkSession, folder: str) -> DataFrame:
     """Randomised search over two learners, judged on folds unseen by the search."""
-    rows = _vectors(spark, folder, 200)
+    rows = _vectors(spark, folder)
     chosen = {k: v for k, v in ln.default_learners(rows.count()).items() if k in ("Logistic Regression", "MultinomialNB")}
     trials = ln.search(rows, chosen, "doc_id", folds=2, draws=2)
     best = ln.best_trial(trials)
@@ -187,7 +187,7 @@ def range_search(spark: SparkSession, folder: str) -> DataFrame:
         return {"MultinomialNB": (nb, ln.grid(nb, smoothing=ln.NB_ALPHAS))}
 
     best = ln.search_ranges(
-        _judged(spark, folder), "text", "doc_id", max_features=[200], learners=learners, folds=2, draws=2, nested=False)
+        _judged(spark, folder), "text", "doc_id", learners=learners, folds=2, draws=2, nested=False)
     return spark.createDataFrame(
         [(best.name, str(best.params["ngram_range"]), float(best.score))], "learner string, ngram_range string, recall double")
 
@@ -241,7 +241,7 @@ def kmeans_clusters(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def minibatch_kmeans_clusters(spark: SparkSession, folder: str) -> DataFrame:
     points = _points(spark, folder)
-    return cl.minibatch_kmeans(points, "features", 10, 0.5).transform(points).select("vec_id", "cluster")
+    return cl.minibatch_kmeans(points, "vec_id", "features", 10).transform(points).select("vec_id", "cluster")
 
 
 @query()
@@ -265,7 +265,7 @@ def cluster_representatives(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def document_topics(spark: SparkSession, folder: str) -> DataFrame:
-    model = cl.topics(documents(spark, folder), tx.split_tokens(tx.process_string("text")), 5, 5, 2000)
+    model = cl.topics(documents(spark, folder), tx.split_tokens(tx.process_string("text")), 5, 5)
     return cl.topic_words(model, 8)
 
 

@@ -61,14 +61,14 @@ def snapshot(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    "SELECT p_name AS description_mod1, p_type AS predicted_category, p_retailprice / 3000 AS probability FROM part WHERE p_retailprice / 3000 >= 0.5"
+    "SELECT p_name AS description_mod1, p_type AS predicted_category, p_retailprice / 1000 AS probability FROM part WHERE p_retailprice / 1000 >= 0.91"
 )
 def prediction_table(spark: SparkSession, folder: str) -> DataFrame:
     """Predictions appended category by category."""
     path = scratch_path(spark, "predictions")
     rows = table(spark, folder, "part").select(
         F.col("p_name").alias("description_mod1"), F.col("p_type").alias("predicted_category"),
-        (F.col("p_retailprice") / 3000).alias("probability")).where("probability >= 0.5")
+        (F.col("p_retailprice") / 1000).alias("probability")).where("probability >= 0.91")
     files.write_predictions(rows.where("predicted_category < 'M'"), path)
     files.write_predictions(rows.where("predicted_category >= 'M'"), path)
     return spark.read.schema(rows.schema).parquet(path)

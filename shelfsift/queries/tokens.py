@@ -90,7 +90,7 @@ def hash_subwords(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def count_features(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
-    pipeline = ft.count_features("text", ngram_range=(1, 2), binary=True, max_features=500, stop_words=True)
+    pipeline = ft.count_features("text", ngram_range=(1, 2), binary=True, stop_words=True)
     return pipeline.fit(docs).transform(docs).select("doc_id", "features")
 
 
