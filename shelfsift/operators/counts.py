@@ -75,9 +75,9 @@ def itemsets_all(df: DataFrame, text: str, min_support: float = 0.05) -> DataFra
 
     A set chosen from positions with repeats is met prod(2^m - 1) times when its tokens occur m times
     each, so a row counts for a set with that weight. Sets grow by one token at a time. A set, however it
-    grows, gets no more from a row than its own weight times prod(2^m) over the row's later tokens; where
-    the sum of these bounds over all rows that hold it is below the support, the set is dropped with
-    all that would grow from it. So a row never lists its subsets, only the few that may be frequent.
+    grows, gets no more from a row than its own weight times prod(2^m - 1) over the row's later tokens;
+    where the sum of these bounds over all rows that hold it is below the support, the set is dropped
+    with all that would grow from it. So a row never lists its subsets, only the few that may be frequent.
     """
     rows = df.select(tokens_replace(F.lower(text)).alias("_tokens"))
     total = rows.agg(F.count(F.lit(1)).cast("double")).first()[0]
@@ -85,7 +85,7 @@ def itemsets_all(df: DataFrame, text: str, min_support: float = 0.05) -> DataFra
     # What the tokens behind each place can still multiply a weight by.
     single = stage(counted.select("_row", F.posexplode("_runs").alias("_at", "_t"), F.transform("_runs", lambda r: r["n"]).alias("_ns")).select(
         "_row", "_at", "_t.token", (F.pow(2.0, "_t.n") - 1).alias("_w"),
-        F.pow(2.0, F.aggregate(F.slice("_ns", F.col("_at") + 2, F.size("_ns")), F.lit(0.0), lambda a, n: a + n)).alias("_more")))
+F.aggregate(F.slice("_ns", F.col("_at") + 2, F.size("_ns")), F.lit(1.0), lambda a, n: a * (F.pow(2.0, n) - 1)).alias("_more")))
     least = min_support * total
     grown = single.select("_row", "_at", F.array("token").alias("items"), "_w", "_more")
     found = None

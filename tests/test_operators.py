@@ -318,3 +318,82 @@ def test_spread_leaves_wide_inputs_alone(spark):
     cores = spark.sparkContext.defaultParallelism
     assert spread(spark.range(100).coalesce(1)).rdd.getNumPartitions() == cores
     assert spread(spark.range(0, 100, 1, cores + 3)).rdd.getNumPartitions() == cores + 3
+
+
+def test_fuzzy_pairs_lose_nothing(spark):
+    import random
+
+    rng = random.Random(5)
+    words = ["bluetooth", "speaker", "speakers", "red", "blue", "tooth", "superlongtoken", "a", "b", "x", "y", "z", "5mm", "bolt", "steel"]
+    data = {1: "bluetooth speakers", 2: "blue tooth speaker", 3: "superlongtoken a b", 4: "superlongtoken x y z", 5: "Red-Bolt, 5mm", 6: "5mm red bolt", 7: "---"}
+    for i in range(8, 90):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(1, 5)))
+        if rng.random() < 0.5:
+            at = rng.randrange(len(text))
+            text = text[:at] + rng.choice(["", "q", " "]) + text[at + 1 :]
+        data[i] = text
+    df = spark.createDataFrame(list(data.items()), "id bigint, t string")
+    first = {}
+    for i, t in sorted(data.items()):
+        first.setdefault(t, i)
+    ids = sorted(first.values())
+    for most in (0.1, 0.3):
+        want = {(i, j) for i in ids for j in ids if i < j and distances.fuzzy(data[i], data[j]) <= most}
+        got = {(r["id_a"], r["id_b"]) for r in similarity.fuzzy_pairs(df, "id", "t", most).collect()}
+        assert got == want
+    assert {(1, 2), (3, 4)} <= got
+
+
+def test_self_pairs_of_a_frequent_key(spark):
+    rows = spark.createDataFrame([("hot", i, i % 3) for i in range(1300)] + [("cold", 5, 0), ("cold", 9, 1), ("one", 3, 2)], "k string, no int, v int")
+    got = similarity.self_pairs(rows, ["k"], "no", ["v"]).select("k", "no_a", "no_b").collect()
+    assert len(got) == len(set(got)) == 1300 * 1299 // 2 + 1
+
+
+def test_itemsets_of_a_long_row(spark):
+    rows = spark.createDataFrame([(" ".join(f"t{i}" for i in range(40)),)] + [("t1 t2 t2",)] * 30, "t string")
+    got = {r["items"]: r["hits"] for r in counts.itemsets_all(rows, "t", 0.5).collect()}
+    assert got == {"t1": 31, "t2": 91, "t1 t2": 91}
+
+
+def test_minibatch_uses_every_row(spark):
+    from pyspark.ml.linalg import Vectors
+
+    from shelfsift.operators import clusters
+
+    rows = spark.createDataFrame([(i, Vectors.dense([float(i % 2) * 10 + i / 1000, 0.0])) for i in range(400)], ["id", "v"])
+    centres = clusters.minibatch_kmeans(rows, "id", "v", 2, batches=4, epochs=3, seed=3)
+    found = centres.transform(rows).collect()
+    assert len({(r["id"] % 2, r["cluster"]) for r in found}) == len({r["cluster"] for r in found})
+
+
+def test_depth_is_refused_not_cut():
+    import pytest
+
+    from shelfsift.operators import learners
+
+    with pytest.raises(ValueError):
+        learners._depth(31)
+
+
+def test_sparse_and_dense_fourier_features_agree(spark):
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.linalg import Vectors
+
+    from shelfsift.operators import learners
+
+    rows = spark.createDataFrame([(1, Vectors.sparse(300_000, [1, 299_999], [1.0, 2.0])), (2, Vectors.sparse(300_000, [1, 299_999], [1.0, 2.1]))], ["id", "v"])
+    got = [r["o"] for r in learners.random_fourier(rows, "v", "o", 0.5, 2048).orderBy("id").select(vector_to_array("o").alias("o")).collect()]
+    assert abs(sum(a * b for a, b in zip(*got)) - 2.718281828 ** (-0.5 * 0.01)) < 0.05
+    short = spark.createDataFrame([(1, Vectors.dense([0.0, 3.0])), (2, Vectors.sparse(2, [1], [3.0]))], ["id", "v"])
+    a, b = [r["o"] for r in learners.random_fourier(short, "v", "o", 0.5, 16).orderBy("id").select(vector_to_array("o").alias("o")).collect()]
+    assert max(abs(x - y) for x, y in zip(a, b)) < 1e-12
+
+
+def test_wanted_text_is_taken_literally(spark):
+    from shelfsift.operators import prep
+
+    rows = spark.createDataFrame([("100% wool",), ("100 wool",), ("a_b",), ("axb",), ("c\\d",)], "label string")
+    assert [r[0] for r in prep.label_contains(rows, "label", "100%").collect()] == ["100% wool"]
+    assert [r[0] for r in prep.label_contains(rows, "label", "A_B").collect()] == ["a_b"]
+    assert [r[0] for r in prep.label_contains(rows, "label", "\\").collect()] == ["c\\d"]
