@@ -121,37 +121,56 @@ def _candidate_scores(items: DataFrame, id: str, text: str, packed: DataFrame) -
     return pairs.groupBy(id, "_code").agg(F.max("_len").alias("_len"), F.sum(F.col("n") * F.col("_w")).alias("_sum"))
 
 
+@dataclass(frozen=True)
+class Scorer:
+    """What scoring needs of an index, made once for any number of item tables or micro-batches."""
+
+    packed: DataFrame
+    classes: DataFrame
+    smoothing: str
+    vocabulary: int
+
+    def scores(self, items: DataFrame, id: str, text: str) -> DataFrame:
+        """(id, class, score, probability) for every candidate class of every item, summing to 1 per item."""
+        mine = Window.partitionBy(id)
+        sums = _candidate_scores(items, id, text, self.packed).join(broadcast_small(self.classes), "_code")
+        if self.smoothing == "laplace":
+            score = F.log("prior") - F.col("_len") * F.log(F.col("n_c") + self.vocabulary) + F.col("_sum")
+            raw = sums.select(id, "class", score.alias("score"))
+            shifted = raw.withColumn("_p", F.exp(F.col("score") - F.max("score").over(mine)))
+        else:
+            raw = sums.select(id, "class", (F.col("_sum") + F.col("prior")).alias("score"))
+            shifted = raw.withColumn("_p", F.col("score"))
+        return shifted.select(id, "class", "score", (F.col("_p") / F.sum("_p").over(mine)).alias("probability"))
+
+    def predict(self, items: DataFrame, id: str, text: str) -> DataFrame:
+        """(id, predicted_category, probability), ties to the smallest class name, one row per item."""
+        ranked = F.min(F.struct((-F.round("score", 6)).alias("s"), F.col("class"), F.col("probability")))
+        picked = self.scores(items, id, text).groupBy(id).agg(ranked.alias("_best")).select(id, "_best.class", "_best.probability")
+        return items.select(id).join(picked, id, "left").select(
+            id,
+            F.coalesce("class", F.lit(NO_CLASS)).alias("predicted_category"),
+            F.coalesce("probability", F.lit(NO_CLASS_PROBABILITY[self.smoothing])).alias("probability"),
+        )
+
+
+def scorer(index: TokenIndex, smoothing: str = "laplace", prior: str = "count") -> Scorer:
+    classes = _numbered(class_prior(index, prior))
+    weight = F.log(F.col("n_wc") + 1) if smoothing == "laplace" else F.col("n_wc") / F.col("n_c")
+    kept = classes.select("class", "_code") if smoothing == "laplace" else classes
+    return Scorer(packed_index(index, weight, kept), classes, smoothing, index.vocabulary_size().first()[0])
+
+
 def nb_scores(
     items: DataFrame, id: str, text: str, index: TokenIndex, smoothing: str = "laplace", prior: str = "count"
 ) -> DataFrame:
-    """(id, class, probability) for every candidate class of every item, summing to 1 per item."""
-    classes = _numbered(class_prior(index, prior))
-    mine = Window.partitionBy(id)
-    if smoothing == "laplace":
-        sums = _candidate_scores(items, id, text, packed_index(index, F.log(F.col("n_wc") + 1), classes.select("class", "_code")))
-        vocab = index.vocabulary_size().scalar()
-        score = F.log("prior") - F.col("_len") * F.log(F.col("n_c") + vocab) + F.col("_sum")
-        raw = sums.join(broadcast_small(classes), "_code").select(id, "class", score.alias("score"))
-        shifted = raw.withColumn("_p", F.exp(F.col("score") - F.max("score").over(mine)))
-    else:
-        sums = _candidate_scores(items, id, text, packed_index(index, F.col("n_wc") / F.col("n_c"), classes))
-        raw = sums.join(broadcast_small(classes), "_code").select(id, "class", (F.col("_sum") + F.col("prior")).alias("score"))
-        shifted = raw.withColumn("_p", F.col("score"))
-    return shifted.select(id, "class", "score", (F.col("_p") / F.sum("_p").over(mine)).alias("probability"))
+    return scorer(index, smoothing, prior).scores(items, id, text)
 
 
 def nb_predict(
     items: DataFrame, id: str, text: str, index: TokenIndex, smoothing: str = "laplace", prior: str = "count"
 ) -> DataFrame:
-    """(id, predicted_category, probability), ties to the smallest class name, one row per item."""
-    scores = nb_scores(items, id, text, index, smoothing, prior)
-    ranked = F.min(F.struct((-F.round("score", 6)).alias("s"), F.col("class"), F.col("probability")))
-    picked = scores.groupBy(id).agg(ranked.alias("_best")).select(id, "_best.class", "_best.probability")
-    return items.select(id).join(picked, id, "left").select(
-        id,
-        F.coalesce("class", F.lit(NO_CLASS)).alias("predicted_category"),
-        F.coalesce("probability", F.lit(NO_CLASS_PROBABILITY[smoothing])).alias("probability"),
-    )
+    return scorer(index, smoothing, prior).predict(items, id, text)
 
 
 def nb_explain(items: DataFrame, id: str, text: str, index: TokenIndex) -> DataFrame:

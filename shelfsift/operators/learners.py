@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfsift.operators.features import count_features
-from shelfsift.operators.prep import assign_fold, misclassified, positives_negatives
+from shelfsift.operators.prep import FALSE_POSITIVE, TRUE_POSITIVE, assign_fold, misclassified
 from shelfsift.session import stage
 
 # The parameter ranges that are searched.
@@ -328,19 +328,40 @@ def search_ranges(
 # -- training jobs ---------------------------------------------------------------------------
 
 
+def category_vectors(items: DataFrame, category: str, text: str, features: Pipeline, kind: str = "type") -> tuple[PipelineModel, DataFrame]:
+    """Features fitted once over all texts, and one staged row per text: (features, _in), all its categories with their types."""
+    rows = items.where(F.col(kind).isin(TRUE_POSITIVE, FALSE_POSITIVE)).groupBy(text).agg(
+        F.collect_set(F.struct(F.col(category).alias("category"), (F.col(kind) == TRUE_POSITIVE).alias("true"))).alias("_in"))
+    rows = stage(rows)
+    fitted = features.fit(rows)
+    return fitted, stage(fitted.transform(rows).select("features", "_in"))
+
+
+def labelled_for(vectors: DataFrame, cat: object) -> DataFrame:
+    """(features, label) for one category, as :func:`prep.positives_negatives` labels its texts."""
+    positive = F.exists("_in", lambda x: (x["category"] == cat) & x["true"])
+    negative = F.exists("_in", lambda x: (x["category"] != cat) == x["true"])
+    labels = F.array_compact(F.array(F.when(positive, 1.0), F.when(negative, 0.0)))
+    return vectors.select("features", F.explode(labels).alias("label"))
+
+
 def train_per_category(
-    items: DataFrame, category: str, text: str, trainer: Callable[[DataFrame], Model], kind: str = "type",
+    items: DataFrame, category: str, text: str, trainer: Callable[[DataFrame], Model], features: Pipeline, kind: str = "type",
     categories: Sequence[object] | None = None,
-) -> dict[object, tuple[Model, float]]:
-    """One two-class model per category with its training recall; the loop is over categories, never rows."""
+) -> tuple[PipelineModel, dict[object, tuple[Model, float]]]:
+    """The fitted features, and one two-class model per category with its training recall.
+
+    All categories read the same staged vectors; the loop is over categories, never rows.
+    """
     if categories is None:
         categories = [r[0] for r in items.select(category).distinct().orderBy(category).collect()]
+    fitted, vectors = category_vectors(items, category, text, features, kind)
     models = {}
     for cat in categories:
-        labelled = stage(positives_negatives(items, cat, category, text, kind))
+        labelled = labelled_for(vectors, cat)
         model = trainer(labelled)
         models[cat] = (model, recall_of_positives().evaluate(model.transform(labelled)))
-    return models
+    return fitted, models
 
 
 def train_multiclass(train: DataFrame, category: str, features: Pipeline, estimator: Estimator) -> PipelineModel:

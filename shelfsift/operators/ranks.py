@@ -95,7 +95,7 @@ def first_per_group(
 
 def cap_per_class(df: DataFrame, cls: str, n: int, key: str, seed: int | None = None) -> DataFrame:
     """At most ``n`` rows of each class: the first by ``key``, or by a seeded shuffle of ``key``."""
-    order = [F.col(key)] if seed is None else [F.xxhash64(F.col(key), F.lit(seed)), F.col(key)]
+    order = [F.col(key)] if seed is None else [F.md5(F.concat_ws("/", F.lit(seed), F.col(key).cast("string"))), F.col(key)]
     return first_per_group(df, [cls], order, n, [key])
 
 

@@ -77,6 +77,6 @@ def random_vectors(index: DataFrame, word: str, dim: int, seed: int) -> DataFram
     unit = float(1 << 40)
     draw = F.transform(
         F.sequence(F.lit(1), F.lit(dim)),
-        lambda d: (F.pmod(F.xxhash64(F.col(word), d, F.lit(seed)), F.lit(1 << 40)) / unit - 0.5),
+        lambda d: F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(seed), d.cast("string"), F.col(word))), 1, 10), 16, 10).cast("double") / unit - 0.5,
     )
     return index.withColumn("vector", draw)

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.ml import Model, Pipeline, PipelineModel
+from pyspark.ml.classification import LogisticRegression
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfsift.functions.text import process_string
-from shelfsift.operators import bayes
+from shelfsift.functions.text import prediction_label, process_string
+from shelfsift.operators import bayes, learners
 from shelfsift.operators.counts import category_counts
 from shelfsift.operators.joins import ambiguous_labels, drill_down, join_truth, with_category_path, with_class_rows
 from shelfsift.operators.prep import (
     candidates, computed_once, confident, dedup_unambiguous, drop_categories, drop_small_classes, min_tokens, misclassified,
 )
+from shelfsift.operators.features import count_features
 from shelfsift.operators.ranks import cap_per_class, systematic_sample
+from shelfsift.sources.files import write_predictions
+from shelfsift.sources.models import load_model, save_model
 
 
 def clean_items(items: DataFrame, id: str, text: str, category: str) -> DataFrame:
@@ -77,3 +82,44 @@ def ambiguity_report(
         "wrong": misclassified(df, truth, pred),
         "sizes": category_counts(df, path),
     }
+
+
+def train_node_models(
+    items: DataFrame, category: str, text: str, path: str, kind: str = "type", features: Pipeline | None = None,
+    trainer: Callable[[DataFrame], Model] | None = None, categories: Sequence[object] | None = None,
+) -> DataFrame:
+    """(category, recall, path) of one model per category, saved below ``path`` with the features they share.
+
+    ``items`` is annotated (``kind`` says true or false positive). The features are fitted once.
+    """
+    spark = items.sparkSession
+    trainer = trainer or (lambda rows: LogisticRegression(maxIter=30).fit(rows))
+    fitted, found = learners.train_per_category(
+        items, category, text, trainer, features or count_features(text, binary=True, stop_words=True), kind, categories)
+    fitted.write().overwrite().save(f"{path}/features")
+    rows = []
+    for i, (cat, (model, recall)) in enumerate(found.items()):
+        place = f"{path}/models/{i}"
+        save_model(model, {"category": cat, "recall": recall, "text": text}, place)
+        rows.append((str(cat), float(recall), place))
+    return spark.createDataFrame(rows, "category string, recall double, path string")
+
+
+def score_with_model(
+    spark: SparkSession, path: str, model_path: str, items: DataFrame, text: str, sink: str, cut: float = 0.7,
+) -> DataFrame:
+    """Items scored with a saved category model; the confident ones are appended to ``sink``, which is returned.
+
+    ``path`` holds the features, ``model_path`` the model. A row says the category id, or ``not <id>``,
+    with the probability of what it says.
+    """
+    features = PipelineModel.load(f"{path}/features")
+    model, meta = load_model(spark, model_path)
+    named = items.withColumnRenamed(text, meta["text"])
+    scored = learners.score(model, features.transform(named), meta["text"])
+    inside = F.col("prediction") == 1
+    told = scored.select(
+        F.col(meta["text"]).alias("description_mod1"), prediction_label(inside, F.lit(meta["category"])).alias("predicted_category"),
+        F.when(inside, F.col("probability")).otherwise(1 - F.col("probability")).alias("probability"))
+    write_predictions(confident(told, cut=cut), sink)
+    return spark.read.schema("description_mod1 string, predicted_category string, probability double").parquet(sink)

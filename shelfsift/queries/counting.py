@@ -78,9 +78,15 @@ def itemsets_all(spark: SparkSession, folder: str) -> DataFrame:
     return counts.itemsets_all(items(spark, folder), "item", 0.05)
 
 
-@query()
+@query(
+    f"WITH rows AS (SELECT list_sort(list_distinct({alnum_words('lower(' + ITEM + ')')})) AS w FROM part), "
+    "full_rows AS (SELECT [[t, CAST(i AS VARCHAR)] for t, i in w] AS w FROM rows WHERE len(w) > 0), "
+    "sets AS (SELECT unnest([[t[1] for t in w if (mask >> (CAST(t[2] AS INTEGER) - 1)) & 1 = 1] for mask in range(1, 1 << len(w))]) AS s FROM full_rows) "
+    "SELECT array_to_string(s, ' ') AS items, count(*) AS hits FROM sets GROUP BY 1 HAVING count(*) >= ceil(0.05 * (SELECT count(*) FROM full_rows))"
+)
 def frequent_sets(spark: SparkSession, folder: str) -> DataFrame:
-    return counts.frequent_sets(items(spark, folder), "item", 0.05)
+    found = counts.frequent_sets(items(spark, folder), "item", 0.05)
+    return found.select(F.array_join(F.array_sort("items"), " ").alias("items"), F.col("freq").alias("hits"))
 
 
 _MARKED = "(SELECT CAST(quality AS VARCHAR) AS truth, CAST(toxic AS VARCHAR) AS pred FROM labels)"

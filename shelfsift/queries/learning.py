@@ -17,6 +17,7 @@ from shelfsift.operators.features import count_features
 from shelfsift.operators.neighbours import pooled_vector
 from shelfsift.operators.prep import assign_fold
 from shelfsift.operators.sequences import label_encode
+from shelfsift.plans import jobs
 from shelfsift.queries import query, table
 from shelfsift.queries.fragments import documents, items
 from shelfsift.session import scratch_path, stage
@@ -129,25 +130,53 @@ def multiclass_svm(spark: SparkSession, folder: str) -> DataFrame:
     return ln.fit_svm_multiclass(kept, iters=5).transform(kept).select("p_partkey", "p_type", "prediction")
 
 
+def _annotated(spark: SparkSession, folder: str) -> DataFrame:
+    return items(spark, folder).select("item", "p_type").withColumn("type", F.lit("True Positive"))
+
+
+def _quick(rows: DataFrame):
+    return LogisticRegression(maxIter=5).fit(rows)
+
+
 @query()
 def category_models(spark: SparkSession, folder: str) -> DataFrame:
-    """One model per part type, kept and read back, with its training recall."""
-    named = items(spark, folder).select("item", "p_type").withColumn("type", F.lit("True Positive"))
-    features = count_features("item")
-
-    def trainer(rows: DataFrame):
-        prepared = features.fit(rows)
-        classifier = LogisticRegression(maxIter=5).fit(prepared.transform(rows))
-        return ln.PipelineModel([prepared, classifier])
-
-    found = ln.train_per_category(named, "p_type", "item", trainer)
-    rows = []
-    for category, (model, recall) in found.items():
+    """One model per part type, saved, with its training recall."""
+    path = scratch_path(spark, "models")
+    return jobs.train_node_models(_annotated(spark, folder), "p_type", "item", path, trainer=_quick).drop("path")
+
+
+@query()
+def score_with_model(spark: SparkSession, folder: str) -> DataFrame:
+    """The models of two part types read back; all items scored, the confident ones appended and reported."""
+    path, sink = scratch_path(spark, "models"), scratch_path(spark, "scored")
+    annotated = _annotated(spark, folder)
+    kinds = [r[0] for r in annotated.select("p_type").distinct().orderBy("p_type").limit(2).collect()]
+    saved = jobs.train_node_models(annotated, "p_type", "item", path, trainer=_quick, categories=kinds)
+    for r in saved.collect():
+        found = jobs.score_with_model(spark, path, r["path"], items(spark, folder).select("item"), "item", sink)
+    return found
+
+
+@query()
+def every_model_kind_saved(spark: SparkSession, folder: str) -> DataFrame:
+    """Each kind of model saved and read back: rows on which it then says something else (none), and rows in all."""
+    rows = _vectors(spark, folder)
+    kinds = {
+        "logistic regression": ln.fit_lr(rows, iters=5), "flat prior": ln.fit_nb(rows, 0.1, fit_prior=False), "boosted stumps": ln.fit_ada(rows, rounds=2),
+    }
+    parts = []
+    for name, model in kinds.items():
         path = scratch_path(spark, "model")
-        save_model(model, {"category": category, "recall": recall, "ngram_range": [1, 1]}, path)
-        _, meta = load_model(spark, path)
-        rows.append((meta["category"], float(meta["recall"])))
-    return spark.createDataFrame(rows, "category string, recall double")
+        save_model(model, {"name": name}, path)
+        loaded, meta = load_model(spark, path)
+        again = _scored(loaded, rows).select("doc_id", F.col("prediction").alias("_p"), F.col("probability").alias("_q"))
+        same = (F.col("prediction") == F.col("_p")) & (F.abs(F.col("probability") - F.col("_q")) < 1e-9)
+        parts.append(_scored(model, rows).join(again, "doc_id").agg(
+            F.lit(meta["name"]).alias("model"), F.count(F.lit(1)).alias("rows"), F.count(F.when(~same, 1)).alias("different")))
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
 
 
 @query()

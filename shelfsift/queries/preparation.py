@@ -233,7 +233,11 @@ def build_balanced(spark: SparkSession, folder: str) -> DataFrame:
     return jobs.build_balanced(parts, "p_partkey", "p_type", 100, ["ECO"], ["PROMO"])
 
 
-@query()
+@query(
+    "SELECT p_partkey, p_type, class_rows FROM (SELECT p_partkey, p_type, count(*) OVER (PARTITION BY p_type) AS class_rows, "
+    "row_number() OVER (PARTITION BY p_type ORDER BY md5('7/' || p_partkey), p_partkey) AS r FROM part WHERE NOT contains(p_type, 'ECO') "
+    "AND p_type <> 'PROMO') WHERE r <= 100"
+)
 def build_balanced_shuffled(spark: SparkSession, folder: str) -> DataFrame:
     parts = items(spark, folder).select("p_partkey", "p_type")
     return jobs.build_balanced(parts, "p_partkey", "p_type", 100, ["ECO"], ["PROMO"], seed=7)

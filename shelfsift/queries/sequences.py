@@ -119,7 +119,10 @@ def label_decode(spark: SparkSession, folder: str) -> DataFrame:
     return sq.label_decode(coded, "code", codes, "source", "label").select("doc_id", "label")
 
 
-@query()
+@query(
+    f"WITH {SEEN}, ranked AS ({BY_FREQ}) SELECT token, idx, n, list_transform(range(1, 33), lambda d: "
+    "CAST(CAST('0x' || substr(md5('12345/' || d || '/' || token), 1, 10) AS BIGINT) AS DOUBLE) / 1099511627776 - 0.5) AS vector FROM ranked"
+)
 def random_vectors(spark: SparkSession, folder: str) -> DataFrame:
     index = sq.word_index(documents(spark, folder), "text", "freq", ["doc_id"])
     return sq.random_vectors(index, "token", 32, 12345)

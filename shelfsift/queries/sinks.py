@@ -36,6 +36,41 @@ def items_csv(spark: SparkSession, folder: str) -> DataFrame:
     return files.read_items_csv(spark, path, rows.schema)
 
 
+@query("SELECT doc_id, text, source FROM documents")
+def documents_csv(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts with line breaks and quotes, written as CSV and read back."""
+    path = scratch_path(spark, "documents")
+    rows = documents(spark, folder)
+    rows.write.option("header", True).option("escape", '"').csv(path)
+    return files.read_items_csv(spark, path, rows.schema, multi_line=True)
+
+
+@query("SELECT p_partkey AS category_id, p_name || ' éü' AS description FROM part")
+def items_csv_latin(spark: SparkSession, folder: str) -> DataFrame:
+    """Another encoding and separator, headers with a byte order mark and quotes repaired."""
+    path = scratch_path(spark, "latin")
+    rows = table(spark, folder, "part").select(F.col("p_partkey").alias("category_id"), F.concat("p_name", F.lit(" éü")).alias("description"))
+    rows.write.option("header", True).option("encoding", "ISO-8859-1").option("sep", ";").csv(path)
+    read = files.read_items_csv(spark, path, rows.schema, encoding="ISO-8859-1", sep=";")
+    return files.repair_header(read.toDF('\ufeff"category_id"', '"description"'))
+
+
+@query(
+    "SELECT CAST(n_regionkey AS BIGINT) AS category_id, n_name AS description, 'All > ' || n_regionkey AS category_path, CAST(n_regionkey AS BIGINT) AS file_category_id, "
+    "count(*) OVER (PARTITION BY n_regionkey) AS file_rows FROM nation WHERE n_regionkey <> 3"
+)
+def node_files(spark: SparkSession, folder: str) -> DataFrame:
+    """One file per node, named by id and row count, read as one table but for one file."""
+    path, sizes = scratch_path(spark, "node-files"), {}
+    nodes = table(spark, folder, "nation").select(
+        F.col("n_nationkey").cast("bigint").alias("row_no"), F.col("n_regionkey").cast("bigint").alias("category_id"), F.col("n_name").alias("description"),
+        F.concat(F.lit("All > "), F.col("n_regionkey")).alias("category_path"))
+    for r in nodes.groupBy("category_id").count().collect():
+        sizes[r["category_id"]] = f"{r['category_id']}-{r['count']}.csv"
+        files.write_node_file(nodes.where(F.col("category_id") == r["category_id"]), f"{path}/{sizes[r['category_id']]}")
+    return files.read_node_dir(spark, path, [sizes[3]])
+
+
 @query("SELECT p_partkey AS category_id, p_size * 1000 AS count FROM part")
 def category_counts_csv(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "counts")

@@ -31,13 +31,13 @@ _TALK = "SELECT conv_id * 1000 + turn AS id, text FROM conversations"
     _scored(_DOCS, _TALK) + "SELECT id AS turn_id, predicted_category, round(probability, 6) AS probability FROM every WHERE probability >= 0.7"
 )
 def stream_score(spark: SparkSession, folder: str) -> DataFrame:
-    index = bayes.nb_index(documents(spark, folder), "doc_id", "text", "source")
+    scorer = bayes.scorer(bayes.nb_index(documents(spark, folder), "doc_id", "text", "source"))
     schema = table(spark, folder, "conversations").schema
     stream = tables.read_arriving(spark, folder, schema, "conversations.parquet").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), "text")
     sink = scratch_path(spark, "scored")
     tables.stream_score(
-        stream, lambda batch: bayes.nb_predict(batch, "turn_id", "text", index), sink, scratch_path(spark, "scored-progress")
+        stream, lambda batch: scorer.predict(batch, "turn_id", "text"), sink, scratch_path(spark, "scored-progress")
     ).awaitTermination()
     scored = spark.read.schema("turn_id bigint, predicted_category string, probability double, batch int").parquet(sink)
     return scored.select("turn_id", "predicted_category", F.round("probability", 6).alias("probability"))

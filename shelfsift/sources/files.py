@@ -23,17 +23,18 @@ def _schema(schema: str | T.StructType) -> T.StructType:
 
 def read_items_csv(
     spark: SparkSession, path: str | Sequence[str], schema: str | T.StructType, encoding: str = "UTF-8",
-    sep: str = ",", header: bool = True, limit: int | None = None,
+    sep: str = ",", header: bool = True, limit: int | None = None, multi_line: bool = False,
 ) -> DataFrame:
     """CSV items with an explicit schema, no inference.
 
     Columns go by position, so a byte order mark in front of the first header does no harm.
-    ``limit`` is for a first look at a file.
+    ``limit`` is for a first look at a file. With ``multi_line`` quoted values may hold line breaks; a
+    file is then read by one task, so large tables should come as many files.
     """
     df = (
         spark.read.schema(_schema(schema))
         .option("header", header).option("enforceSchema", True).option("encoding", encoding).option("sep", sep)
-        .option("quote", '"').option("escape", '"').option("multiLine", False)
+        .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
         .csv(path)
     )
     return df if limit is None else df.limit(limit)
@@ -67,6 +68,18 @@ def read_node_dir(spark: SparkSession, path: str, exclude: Sequence[str] = ()) -
     )
 
 
+def write_node_file(df: DataFrame, path: str) -> None:
+    """One node's rows as a single CSV file of that name; a node file is small, as the layout asks for."""
+    spark = df.sparkSession
+    df.coalesce(1).write.option("header", True).option("escape", '"').csv(f"{path}.parts")
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    folder = fs_path(f"{path}.parts")
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    (part,) = [s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-")]
+    fs.rename(part, fs_path(path))
+    fs.delete(folder, True)
+
+
 def read_tsv(spark: SparkSession, path: str, schema: str | T.StructType, header: bool = False) -> DataFrame:
     """Tab-separated text in which quotes mean nothing."""
     return (
