@@ -22,12 +22,15 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import IDF, StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfsift.operators.features import count_features
+from shelfsift.operators.neighbours import knn_classify
 from shelfsift.operators.prep import FALSE_POSITIVE, TRUE_POSITIVE, assign_fold, misclassified
 from shelfsift.session import stage
 
@@ -36,6 +39,8 @@ LR_C = (0.001, 0.01, 0.1, 1, 10, 15, 20, 30, 40, 100, 1000)
 TREE_DEPTHS = (4, 5, 6, 7, 8, 9, 10, 11, 12, 15, 20, 30)
 NB_ALPHAS = (1, 0.1, 0.01, 0.001, 0.0001, 0.00001)
 FOREST_LEAVES = (1, 2, 3, 4, 5, 7, 9)
+BOOST_ROUNDS = range(20, 100)
+NEIGHBOURS = range(2, 10)
 DEEPEST = 30  # Spark trees go no deeper
 
 
@@ -211,6 +216,77 @@ def fit_mlp(train: DataFrame, classes: int, hidden: Sequence[int] = (16,), iters
     return _fitted(train, MultilayerPerceptronClassifier(layers=[size, *hidden, classes], maxIter=iters, seed=1, **cols))
 
 
+# -- learners of this library as estimators, so that one search can try all ------------------
+
+
+class Fitted(Model):
+    """A model of this library where Spark's tuning wants one of its own."""
+
+    def __init__(self, inner: object = None):
+        super().__init__()
+        self.inner = inner
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        return self.inner.transform(df)
+
+
+class _Learner(Estimator, HasFeaturesCol, HasLabelCol):
+    def _fit(self, df: DataFrame) -> Fitted:
+        return Fitted(self.fitted(df, {"featuresCol": self.getFeaturesCol(), "labelCol": self.getLabelCol()}))
+
+
+class AdaBoost(_Learner):
+    rounds = Param(Params._dummy(), "rounds", "most stumps", TypeConverters.toInt)
+    learningRate = Param(Params._dummy(), "learningRate", "weight of each stump's share", TypeConverters.toFloat)
+
+    def __init__(self, rounds: int = 20, learningRate: float = 1.0):
+        super().__init__()
+        self._setDefault(rounds=rounds, learningRate=learningRate)
+
+    def fitted(self, df: DataFrame, cols: dict[str, str]) -> BoostedStumps:
+        return fit_ada(df, self.getOrDefault(self.rounds), self.getOrDefault(self.learningRate), **cols)
+
+
+class MultinomialNB(_Learner):
+    alpha = Param(Params._dummy(), "alpha", "smoothing", TypeConverters.toFloat)
+    fitPrior = Param(Params._dummy(), "fitPrior", "whether classes weigh by their rows", TypeConverters.toBoolean)
+
+    def __init__(self, alpha: float = 1.0, fitPrior: bool = True):
+        super().__init__()
+        self._setDefault(alpha=alpha, fitPrior=fitPrior)
+
+    def fitted(self, df: DataFrame, cols: dict[str, str]) -> PipelineModel | FlatPrior:
+        return fit_nb(df, self.getOrDefault(self.alpha), self.getOrDefault(self.fitPrior), **cols)
+
+
+@dataclass(frozen=True)
+class Neighbours:
+    """Training vectors, staged; every row to score asks them."""
+
+    known: DataFrame
+    features: str
+    k: int
+    weights: str
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        asked = stage(df.withColumn("_no", F.monotonically_increasing_id()))
+        found = knn_classify(self.known, asked.select("_no", vector_to_array(self.features).alias("_point")), "_no", "_point", "_label", self.k, self.weights)
+        return asked.join(found, "_no", "left").drop("_no")
+
+
+class KNearest(_Learner):
+    k = Param(Params._dummy(), "k", "neighbours asked", TypeConverters.toInt)
+    weights = Param(Params._dummy(), "weights", "uniform or distance", TypeConverters.toString)
+
+    def __init__(self, k: int = 5, weights: str = "uniform"):
+        super().__init__()
+        self._setDefault(k=k, weights=weights)
+
+    def fitted(self, df: DataFrame, cols: dict[str, str]) -> Neighbours:
+        known = stage(df.select(F.monotonically_increasing_id().alias("_no"), vector_to_array(cols["featuresCol"]).alias("_point"), F.col(cols["labelCol"]).alias("_label")))
+        return Neighbours(known, cols["featuresCol"], self.getOrDefault(self.k), self.getOrDefault(self.weights))
+
+
 # -- features --------------------------------------------------------------------------------
 
 
@@ -257,13 +333,19 @@ def grid(estimator: Estimator, **values: Sequence[object]) -> list[dict]:
 def default_learners(rows: int) -> dict[str, tuple[Estimator, list[dict]]]:
     """The learners and ranges that the category trainer tries."""
     lr, tree, forest = LogisticRegression(maxIter=30), DecisionTreeClassifier(seed=1), RandomForestClassifier(numTrees=10, seed=1)
-    nb, svm = NaiveBayes(), LinearSVC(maxIter=20)
+    nb, svm, ada, near = MultinomialNB(), LinearSVC(maxIter=20), AdaBoost(), KNearest()
     strengths = [reg_param(c, rows) for c in LR_C]
+    # An exponential distribution by its quantiles.
+    rates = [-math.log(1 - q / 20) for q in range(1, 20)]
     return {
         "Logistic Regression": (lr, grid(lr, regParam=strengths, elasticNetParam=[1.0, 0.0])),
         "Decision Tree": (tree, grid(tree, impurity=["gini", "entropy"], maxDepth=TREE_DEPTHS)),
-        "Random Forest": (forest, grid(forest, maxDepth=[3, 5, 10], minInstancesPerNode=FOREST_LEAVES, bootstrap=[True, False])),
-        "MultinomialNB": (nb, grid(nb, smoothing=NB_ALPHAS)),
+        "Random Forest": (forest, grid(
+            forest, impurity=["gini", "entropy"], maxDepth=[3, 5, 10], minInstancesPerNode=FOREST_LEAVES, bootstrap=[True, False],
+            featureSubsetStrategy=["sqrt", "log2", "onethird"])),
+        "MultinomialNB": (nb, grid(nb, alpha=[float(a) for a in NB_ALPHAS], fitPrior=[True, False])),
+        "AdaBoost": (ada, grid(ada, rounds=BOOST_ROUNDS, learningRate=rates)),
+        "K Nearest": (near, grid(near, k=NEIGHBOURS, weights=["uniform", "distance"])),
         "SVM": (svm, grid(svm, regParam=[reg_param(10.0**e, rows) for e in range(-4, 4)])),
     }
 

@@ -207,6 +207,21 @@ def learner_search(spark: SparkSession, folder: str) -> DataFrame:
         "learner string, params string, recall double, best boolean")
 
 
+@query()
+def search_of_all_learners(spark: SparkSession, folder: str) -> DataFrame:
+    """All seven learners, one draw each, few rounds of boosting."""
+    named = items(spark, folder).select("p_partkey", "p_name", F.col("p_type").startswith("PROMO").cast("double").alias("label"))
+    rows = stage(count_features("p_name").fit(named).transform(named).select("p_partkey", "features", "label"))
+    learners = ln.default_learners(rows.count())
+    ada = ln.AdaBoost()
+    learners["AdaBoost"] = (ada, ln.grid(ada, rounds=[2]))
+    trials = ln.search(rows, learners, "p_partkey", folds=2, draws=1, nested=False)
+    best = ln.best_trial(trials)
+    return spark.createDataFrame(
+        [(t.name, str(sorted(t.params.items())), float(t.score), t.name == best.name) for t in trials],
+        "learner string, params string, recall double, best boolean")
+
+
 @query()
 def range_search(spark: SparkSession, folder: str) -> DataFrame:
     """Best learner over n-gram ranges."""
