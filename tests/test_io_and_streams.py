@@ -113,3 +113,51 @@ def test_streamed_scores(spark, tmp_path):
 
 def test_shared_folder_is_set(spark):
     assert shared_dir(spark) and spark.sparkContext.getCheckpointDir()
+
+
+def test_models_of_categories_are_saved_and_score(spark, tmp_path):
+    from shelfsift.plans import jobs
+
+    rows = [(f"red ring {i}", "rings", "True Positive") for i in range(12)] + [(f"blue bolt {i}", "bolts", "True Positive") for i in range(12)] + [
+        ("red ring box", "rings", "False Positive"), ("blue bolt 1", "rings", "True Positive")]
+    items = spark.createDataFrame(rows, "item string, node string, type string")
+    saved = jobs.train_node_models(items, "node", "item", str(tmp_path / "models"))
+    found = {r["category"]: r for r in saved.collect()}
+    assert set(found) == {"rings", "bolts"} and found["bolts"]["recall"] == 1.0
+    asked = spark.createDataFrame([("red ring 99",), ("blue bolt 77",)], "name string")
+    sink = str(tmp_path / "sink")
+    for name in ("rings", "bolts"):
+        told = jobs.score_with_model(spark, str(tmp_path / "models"), found[name]["path"], asked, "name", sink, cut=0.5)
+    got = {(r["description_mod1"], r["predicted_category"]) for r in told.collect()}
+    assert got == {("red ring 99", "rings"), ("blue bolt 77", "not rings"), ("red ring 99", "not bolts"), ("blue bolt 77", "bolts")}
+
+
+def test_labels_of_shared_vectors_equal_positives_negatives(spark):
+    from pyspark.sql import functions as F
+
+    from shelfsift.operators import learners, prep
+
+    rows = [("a", 1, "True Positive"), ("a", 2, "True Positive"), ("b", 1, "False Positive"), ("b", 2, "True Positive"), ("c", 2, "False Positive"), ("c", 1, "other")]
+    items = spark.createDataFrame(rows, "text string, cat int, type string")
+    gathered = items.where(F.col("type") != "other").groupBy("text").agg(
+        F.collect_set(F.struct(F.col("cat").alias("category"), (F.col("type") == "True Positive").alias("true"))).alias("_in"))
+    for cat in (1, 2, 3):
+        want = sorted((r["text"], r["label"]) for r in prep.positives_negatives(items, cat, "cat", "text").collect())
+        got = learners.labelled_for(gathered.withColumnRenamed("text", "features"), cat)
+        assert sorted((r["features"], r["label"]) for r in got.collect()) == want
+
+
+def test_csv_with_line_breaks(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 'a "quoted"\nline'), (2, "plain"), (3, "x\n\ny,z")], "id int, text string")
+    path = str(tmp_path / "csv")
+    rows.write.option("header", True).option("escape", '"').csv(path)
+    back = files.read_items_csv(spark, path, rows.schema, multi_line=True)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_own_learners_are_estimators(spark):
+    rows = _learnable(spark)
+    for estimator in (learners.AdaBoost(rounds=2), learners.MultinomialNB(0.5, False), learners.KNearest(3, "distance")):
+        model = estimator.fit(rows, {estimator.getParam("featuresCol"): "features"})
+        scored = model.transform(rows).collect()
+        assert len(scored) == 60 and all(r["prediction"] == r["label"] for r in scored)
