@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -24,9 +25,9 @@ from tokenizers import Regex, normalizers, pre_tokenizers
 
 END = "</w>"
 ENDED = b"\xff"  # stands behind the bytes of a fragment that ends its word; no UTF-8 text holds it
-MOST_CACHED = 300_000
+MOST_CACHED = 200_000
 SHORT = 40
-PIECE_ROWS = 512
+PIECE = 2 << 20  # bytes of text, or ids, worked on at once
 
 # The word pattern of this kind of vocabulary file, and Unicode's white space.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
@@ -177,7 +178,7 @@ class Codec:
                 self.inner[a, b] = True
             if ends and len(inside) > 1:
                 self.final[inside[-2], inside[-1]] = True
-        self.runs, self.words = Recent(), Recent()
+        self.runs = Recent()
 
     def encode(self, text: str | None) -> array:
         return self.encode_all([text])[0]
@@ -244,8 +245,7 @@ class Codec:
             [part] if part in self.specials else [w for w, _ in self.split_words.pre_tokenize_str(self.normal.normalize_str(part))])]
 
     def word_ids(self, words: set[str]) -> dict[str, array]:
-        known = self.words.known(words)
-        known.update((s, array("i", [i])) for s, i in self.specials.items())
+        known = {s: array("i", [i]) for s, i in self.specials.items()}
         fresh = [word for word in words if word not in known]
         cut = self.cut_all([word.encode("utf-8", "replace") for word in fresh])
         ids = self.fragment_ids({fragment for fragments in cut for fragment in fragments})
@@ -256,7 +256,6 @@ class Codec:
                 known[word] = whole = array("i")
                 for fragment in fragments:
                     whole.extend(ids[fragment])
-        self.words.add(known)
         return known
 
     def cut_all(self, words: list[bytes]) -> list[list[bytes]]:
@@ -318,15 +317,25 @@ def _run(df: DataFrame, path: str, column: str, made: dict[str, T.DataType], wor
         definition = df.sparkSession.sparkContext.broadcast(f.read())
     kept = [c for c in df.columns if c != column]
 
-    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # the memos are large and nothing here makes cycles: each collection would walk all of them in vain
+    def pieces(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(definition.value)
         for batch in source:
-            for at in range(0, batch.num_rows, PIECE_ROWS):
-                piece = batch.slice(at, PIECE_ROWS)
+            values = batch.column(column)
+            lengths = pc.binary_length(values) if pa.types.is_string(values.type) else pc.list_value_length(values)
+            sizes = np.cumsum(pc.fill_null(lengths, 0).to_numpy().astype(np.int64))
+            edges = np.unique(np.concatenate([[0], np.flatnonzero(np.diff(sizes // PIECE)) + 1, [batch.num_rows]])).tolist()
+            for at, end in neighbours(edges):
+                piece = batch.slice(at, end - at)
                 new = work(codec, piece.column(column).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in kept), *new], [*kept, *made])
 
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # the memos are large and nothing here makes cycles: each collection would walk all of them in vain
+        try:
+            yield from pieces(source)
+        finally:
+            gc.enable()  # the worker goes on to other tasks
+
     schema = T.StructType([*(df.schema[c] for c in kept), *(T.StructField(c, kind) for c, kind in made.items())])
     return df.mapInArrow(batches, schema)
 
