@@ -104,14 +104,14 @@ def neural_net(spark: SparkSession, folder: str) -> DataFrame:
 def merged_word_and_pair_model(spark: SparkSession, folder: str) -> DataFrame:
     rows = _judged(spark, folder)
     vectors = stage(ln.merged_features("text").fit(rows).transform(rows).select("doc_id", "features", "label"))
-    return _scored(ln.fit_lr(vectors), vectors)
+    return _scored(ln.fit_lr(vectors, iters=10), vectors)
 
 
 @query()
 def count_and_tfidf_model(spark: SparkSession, folder: str) -> DataFrame:
     rows = _judged(spark, folder)
     vectors = stage(ln.count_and_tfidf("text").fit(rows).transform(rows).select("doc_id", "features", "label"))
-    return _scored(ln.fit_lr(vectors), vectors)
+    return _scored(ln.fit_lr(vectors, iters=10), vectors)
 
 
 @query()
