@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from shelfsift.functions.text import bind, term_runs, tokens_ws
 from shelfsift.operators.joins import broadcast_small, skew_join
-from shelfsift.session import stage
+from shelfsift.session import spread, stage
 
 # What an item without any known token gets.
 NO_CLASS = "NA"
@@ -46,7 +46,7 @@ def term_table(items: DataFrame, id: str, text: str, *keep: str) -> DataFrame:
     All that is asked of the texts later - frequencies, index counts, terms - is read from here.
     """
     parts = bind(tokens_ws(text), lambda t: F.struct(F.size(t).alias("len"), term_runs(t).alias("runs")))
-    split = items.where(F.col(text).isNotNull()).select(id, *keep, parts.alias("_p"))
+    split = spread(items.where(F.col(text).isNotNull()).select(id, *keep, text)).select(id, *keep, parts.alias("_p"))
     return stage(split.select(id, *keep, F.col("_p.len").alias("_len"), F.col("_p.runs").alias("_runs")).where("_len > 0"))
 
 

@@ -97,7 +97,7 @@ def ada_boost(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def neural_net(spark: SparkSession, folder: str) -> DataFrame:
     rows = _vectors(spark, folder)
-    return _scored(ln.fit_mlp(rows, 2, iters=15), rows)
+    return _scored(ln.fit_mlp(rows, 2, iters=4), rows)
 
 
 @query()
