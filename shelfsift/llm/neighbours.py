@@ -1,4 +1,4 @@
-"""Approximate nearest neighbours: a vantage-point tree per shard, pruned by the triangle inequality."""
+"""Approximate nearest neighbours: vantage-point trees per shard and band of lengths, pruned by the triangle inequality."""
 
 from __future__ import annotations
 
@@ -12,11 +12,15 @@ from pyspark.sql import functions as F
 from shelfsift.session import stage
 
 LEAF = 128
-SHARD = 16_384  # vectors per tree
+SHARD = 16_384  # vectors per shard
 BLOCK = 2_048  # queries searched together
-SLACK = 1e-9  # what rounding may add to a distance between vectors of length 1
+PAIRS = 1 << 16  # products taken exactly at once
+BAND = 1.1  # lengths in one tree differ by this factor at most
+SLACK = 1e-7  # what rounding may add to a distance or product between vectors of length 1
 
-Node = tuple  # ("leaf", places) or (vantage place, radius, inner node, outer node)
+NONE = np.iinfo(np.int64).max
+
+Node = tuple  # ("leaf", places) or (vantage place, radius, inner node, its longest, outer node, its longest)
 
 
 def usable(vector: str):
@@ -27,16 +31,18 @@ def usable(vector: str):
 
 
 class Tree:
-    """Nearest by inner product. Points get one more coordinate that lifts all to the same length, after which
-    the largest inner product is the smallest Euclidean distance, and the triangle inequality holds."""
+    """Nearest by inner product, among the places ``own`` of ``ids`` and ``vectors``, whose lengths differ little.
+
+    Vectors are divided by the longest length. A vector no longer than m whose product with a query of length 1
+    is above s is nearer to it than sqrt(1 + m^2 - 2s), so the triangle inequality rules out whole subtrees.
+    """
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, longest: float):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, lengths: np.ndarray, own: np.ndarray):
         self.ids, self.vectors = ids, vectors
-        lift = np.sqrt(np.maximum(longest**2 - (vectors**2).sum(axis=1), 0))
-        self.points = np.hstack([vectors, lift[:, None]]) / longest
-        self.longest = longest
-        self.rng = np.random.default_rng(len(ids))
-        self.root = self.build(np.arange(len(ids)))
+        self.longest = float(lengths[own].max())
+        self.own, self.points, self.lengths = own, vectors[own] / self.longest, lengths[own] / self.longest
+        self.rng = np.random.default_rng(len(own))
+        self.root = self.build(np.arange(len(own)))
 
     def build(self, places: np.ndarray) -> Node:
         if len(places) <= LEAF:
@@ -50,59 +56,94 @@ class Tree:
             if not inner.any():
                 return ("leaf", places)
             radius = float(distance[inner].max())
-        return (vantage, radius, self.build(places[inner]), self.build(places[~inner]))
+        near, far = places[inner], places[~inner]
+        return (vantage, radius, self.build(near), float(self.lengths[near].max()), self.build(far), float(self.lengths[far].max()))
 
     def distances(self, queries: np.ndarray, places: np.ndarray) -> np.ndarray:
         points = self.points[places]
         square = (queries**2).sum(axis=1)[:, None] + (points**2).sum(axis=1)[None, :] - 2 * (queries @ points.T)
         return np.sqrt(np.maximum(square, 0))
 
-    def search(self, own: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the ``k`` nearest of each query but itself, id -1 where there are fewer."""
-        norms = np.sqrt((queries**2).sum(axis=1))
-        lifted = np.hstack([queries / norms[:, None], np.zeros((len(queries), 1))])
-        best = np.full((len(queries), k), np.inf)  # distances, the farthest last
-        found = np.full((len(queries), k), -1)
-        self.visit(self.root, np.arange(len(queries)), own, lifted, best, found, factor)
-        scores = np.full(found.shape, -np.inf)
-        for i in range(k):  # exactly the measure asked for, on the vectors as they are
-            has = found[:, i] >= 0
-            scores[has, i] = (self.vectors[found[has, i]] * queries[has]).sum(axis=1)
-        ids = np.where(found >= 0, self.ids[found], -1)
-        order = np.lexsort((ids, -scores), axis=1)
-        return np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
-
-    def visit(self, node: Node, active: np.ndarray, own: np.ndarray, queries: np.ndarray, best: np.ndarray, found: np.ndarray, factor: float) -> None:
+    def search(self, asked: Asked, factor: float) -> None:
+        # The lengths alone rule out the whole tree for queries that have k better ones.
+        self.visit(self.root, np.flatnonzero(asked.worst() <= self.longest * (1 + SLACK)), asked, factor)
+
+    def visit(self, node: Node, active: np.ndarray, asked: Asked, factor: float) -> None:
         if not len(active):
             return
         if node[0] == "leaf":
             for at in range(0, len(node[1]), 4 * LEAF):
-                self.take(active, node[1][at : at + 4 * LEAF], own, queries, best, found)
+                self.take(active, node[1][at : at + 4 * LEAF], asked)
             return
-        vantage, radius, inner, outer = node
-        distance = self.distances(queries[active], np.array([vantage]))[:, 0]
+        vantage, radius, inner, inner_longest, outer, outer_longest = node
+        distance = self.distances(asked.units[active], np.array([vantage]))[:, 0]
         near = distance <= radius
-        # The other side is out of reach if it begins farther off than the k-th distance, divided by the factor.
-        for first, second, side in ((inner, outer, near), (outer, inner, ~near)):
+        # The other side is out of reach if it begins farther off than any better vector may be, divided by the factor.
+        for first, second, longest, side in ((inner, outer, outer_longest, near), (outer, inner, inner_longest, ~near)):
             own_side = active[side]
-            self.visit(first, own_side, own, queries, best, found, factor)
-            reach = np.abs(distance[side] - radius) <= best[own_side, -1] / factor + SLACK
-            self.visit(second, own_side[reach], own, queries, best, found, factor)
-
-    def take(self, active: np.ndarray, places: np.ndarray, own: np.ndarray, queries: np.ndarray, best: np.ndarray, found: np.ndarray) -> None:
-        distance = self.distances(queries[active], places)
-        distance[own[active][:, None] == self.ids[places][None, :]] = np.inf
-        # Ties by id have to be seen, so distances count as equal within the rounding.
-        better = (distance <= best[active, -1][:, None] + SLACK).any(axis=1)
-        active, distance = active[better], distance[better]
-        if not len(active):
-            return
-        every = np.hstack([best[active], distance])
-        place = np.hstack([found[active], np.broadcast_to(places, distance.shape)])
-        place = np.where(np.isfinite(every), place, -1)
-        id_ = np.where(place >= 0, self.ids[place], np.iinfo(np.int64).max)
-        order = np.lexsort((id_, np.round(every, 9)), axis=1)[:, : best.shape[1]]
-        best[active], found[active] = np.take_along_axis(every, order, 1), np.take_along_axis(place, order, 1)
+            self.visit(first, own_side, asked, factor)
+            within = np.sqrt(np.maximum(1 + longest**2 - 2 * asked.worst(own_side) / self.longest, 0))
+            reach = np.abs(distance[side] - radius) <= within / factor + SLACK
+            self.visit(second, own_side[reach], asked, factor)
+
+    def take(self, active: np.ndarray, places: np.ndarray, asked: Asked) -> None:
+        product = asked.units[active] @ self.points[places].T
+        # Ties by id have to be seen, so what is equal within the rounding is multiplied exactly.
+        better = product >= (asked.worst(active) / self.longest - SLACK)[:, None]
+        better &= asked.ids[active][:, None] != self.ids[self.own[places]][None, :]
+        step = max(1, PAIRS // len(places))
+        for at in range(0, len(active), step):
+            rows, columns = np.nonzero(better[at : at + step])
+            if len(rows):
+                asked.offer(active[at : at + step], rows, self.own[places[columns]], self.ids, self.vectors)
+
+
+class Asked:
+    """Queries and the ``k`` best found for each so far, the best first, by product and then by id."""
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
+        self.ids, self.queries = ids, queries
+        self.lengths = np.sqrt((queries**2).sum(axis=1))
+        self.units = queries / self.lengths[:, None]
+        self.scores = np.full((len(queries), k), -np.inf)
+        self.found = np.full((len(queries), k), NONE)
+
+    def worst(self, active: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """The k-th score of a query divided by the query's length."""
+        return self.scores[active, -1] / self.lengths[active]
+
+    def offer(self, active: np.ndarray, rows: np.ndarray, places: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
+        """``places`` of ``vectors`` for the queries ``active[rows]``; ``rows`` rise."""
+        score = (vectors[places] * self.queries[active[rows]]).sum(axis=1)  # exactly the measure asked for
+        met, start, n = np.unique(rows, return_index=True, return_counts=True)
+        at = np.repeat(np.arange(len(met)), n), np.arange(len(rows)) - np.repeat(start, n)
+        scores, found = np.full((len(met), n.max()), -np.inf), np.full((len(met), n.max()), NONE)
+        scores[at], found[at] = score, ids[places]
+        active = active[met]
+        scores, found = np.hstack([self.scores[active], scores]), np.hstack([self.found[active], found])
+        order = np.lexsort((found, -scores), axis=1)[:, : self.scores.shape[1]]
+        self.scores[active], self.found[active] = np.take_along_axis(scores, order, 1), np.take_along_axis(found, order, 1)
+
+
+class Shard:
+    """Trees over bands of lengths, the longest vectors first."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        lengths = np.sqrt((vectors**2).sum(axis=1))
+        order = np.argsort(-lengths, kind="stable")
+        falling, self.trees, at = lengths[order], [], 0
+        while at < len(order):
+            # A leaf is looked through as a whole, whatever its lengths.
+            end = max(at + LEAF, int(np.searchsorted(-falling, -falling[at] / BAND, "right")))
+            self.trees.append(Tree(ids, vectors, lengths, order[at:end]))
+            at = end
+
+    def search(self, ids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the ``k`` nearest of each query but itself, score -inf where there are fewer."""
+        asked = Asked(ids, queries, k)
+        for tree in self.trees:
+            tree.search(asked, factor)
+        return asked.found, asked.scores
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -115,8 +156,9 @@ def nearest(
 ) -> DataFrame:
     """(query_id, rank, key, score): the ``k`` rows of ``vectors`` with the largest inner product for each query but itself.
 
-    A subtree is skipped where the triangle inequality puts it beyond the k-th distance divided by
-    ``factor``: 1 gives exact results, more prunes more. Ties go to the smaller key. Vectors that are
+    A subtree is skipped where the triangle inequality puts it beyond the distance within which a vector
+    of its lengths could beat the k-th, divided by ``factor``: 1 gives exact results, more prunes more.
+    Vectors of like lengths share a tree, so one that is far longer than the rest changes nothing for them. Ties go to the smaller key. Vectors that are
     null, empty, zero, or hold null or non-finite components take no part, nor do rows without a key;
     fewer candidates than ``k`` give fewer rows; empty tables give none. All vectors must have one length.
     Rows with the same key are one candidate each, and none of them one for a query of that key.
@@ -126,12 +168,9 @@ def nearest(
     ``k`` rows per query.
     """
     rows = stage(vectors.where(usable(vector) & F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("_id"), F.col(vector).cast("array<double>").alias("_v")))
-    length = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda total, x: total + x * x))
-    about = rows.agg(F.count(F.lit(1)).alias("n"), F.max(length).alias("longest")).first()
     wanted = stage(queries.where(usable(vector) & F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("_id"), F.col(vector).cast("array<double>").alias("_v")))
-    shards = max(1, -(-about["n"] // SHARD))
+    shards = max(1, -(-rows.count() // SHARD))
     blocks = max(1, -(-wanted.count() // BLOCK))
-    longest = float(about["longest"] or 1.0) * (1 + 1e-12)
 
     def packed(df: DataFrame, into: str, n: int, names: tuple[str, str]) -> DataFrame:
         dealt = df.withColumn(into, F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(n)).cast("int"))
@@ -142,18 +181,18 @@ def nearest(
     asked = packed(wanted, "_block", blocks, ("_queries", "_asked")).withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, tree = None, None
+        shard, trees_of = None, None
         for batch in source:
             for at in range(batch.num_rows):
                 row = batch.slice(at, 1)
                 if row.column("_shard")[0].as_py() != shard:
                     shard = row.column("_shard")[0].as_py()
-                    tree = Tree(row.column("_ids").flatten().to_numpy(), _matrix(row.column("_vectors").flatten()), longest)
+                    trees_of = Shard(row.column("_ids").flatten().to_numpy(), _matrix(row.column("_vectors").flatten()))
                 own = row.column("_queries").flatten().to_numpy()
-                ids, scores = tree.search(own, _matrix(row.column("_asked").flatten()), k, factor)
-                has = ids >= 0
+                ids, scores = trees_of.search(own, _matrix(row.column("_asked").flatten()), k, factor)
+                has = scores > -np.inf
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(own, k).reshape(ids.shape)[has]), pa.array(ids[has].astype(np.int64)), pa.array(scores[has])], ["query_id", "_found", "score"])
+                    [pa.array(np.repeat(own, k).reshape(ids.shape)[has]), pa.array(ids[has]), pa.array(scores[has])], ["query_id", "_found", "score"])
 
     met = trees.join(asked, "_shard").select("_shard", "_ids", "_vectors", "_queries", "_asked").repartition(F.col("_shard"), F.xxhash64("_queries")).sortWithinPartitions("_shard")
     found = met.mapInArrow(batches, "query_id long, _found long, score double")

@@ -58,3 +58,24 @@ def test_edges(spark):
     assert [found[1, n] for n in (1, 2, 3)] == [(2, 2.0), (9, 1.0), (20, -1.0)] and len(found) == 12
     assert neighbours.nearest(rows.limit(0), rows, 20).collect() == []
     assert neighbours.nearest(rows, rows.limit(0), 20).collect() == []
+
+
+@pytest.mark.parametrize("lengths", ["tenfold", "outlier", "both"])
+def test_recall_and_order_where_lengths_differ(spark, lengths):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 64))
+    v = centres[rng.integers(40, size=6000)] + rng.normal(scale=0.6, size=(6000, 64))
+    v /= np.sqrt((v**2).sum(axis=1))[:, None]
+    if lengths != "outlier":
+        v *= 10 ** rng.uniform(-0.5, 0.5, (6000, 1))
+    if lengths != "tenfold":
+        v[17] *= 1e6
+    rows = list(enumerate(v))
+    vectors = table(spark, rows)
+    wanted = vectors.where("vec_id % 100 = 0")
+    want = brute(rows, range(0, 6000, 100), 20)
+    assert got(neighbours.nearest(vectors, wanted, 20, 1.0)) == want
+    found = got(neighbours.nearest(vectors, wanted, 20, FACTOR))
+    assert found.keys() == want.keys()
+    pairs = {(q, i) for (q, _), (i, _) in want.items()}
+    assert len(pairs & {(q, i) for (q, _), (i, _) in found.items()}) / len(pairs) >= 0.95
