@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
+from shelfsift.llm.rows import numbered, positional
 from shelfsift.operators.components import connected_components
 from shelfsift.session import stage
 
@@ -130,17 +131,23 @@ def links(distinct: DataFrame, radius: int) -> DataFrame:
     return pairs.mapInArrow(batches, "a long, b long").distinct()
 
 
+def _rooted(placed: DataFrame, least: Column, radius: int) -> DataFrame:
+    """(fingerprint, component, _least) per fingerprint: its component's smallest fingerprint, and ``least`` over its rows."""
+    distinct = stage(placed.groupBy("fingerprint").agg(least.alias("_least")))
+    groups = connected_components(distinct, links(distinct, radius), "fingerprint", "a", "b")
+    return groups.join(distinct, "fingerprint")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
     """(key, fingerprint long, component_id): rows whose fingerprints are linked, directly or over others, share a component.
 
     A component is named by its smallest key. Rows without words have fingerprint 0 and are linked
     like any other; equal texts meet as one fingerprint, so copies cost no pairs. Null keys are kept
-    in their component but never name it, unless all its keys are null. An empty table gives no rows.
+    in their component but never name it, unless all its keys are null. So components of unrelated
+    texts share a name where keys are null or repeated. An empty table gives no rows.
     """
     placed = stage(fingerprints(docs, key, text, shingle).withColumnRenamed(key, "_key"))
-    distinct = stage(placed.groupBy("fingerprint").agg(F.min("_key").alias("_least")))
-    groups = connected_components(distinct, links(distinct, radius), "fingerprint", "a", "b")
-    named = groups.join(distinct, "fingerprint")
+    named = _rooted(placed, F.min("_key"), radius)
     names = named.groupBy("component").agg(F.min("_least").alias("component_id"))
     # Fingerprints alone in their component keep their own smallest key.
     of = stage(named.join(names, "component").select("fingerprint", "component_id"))
@@ -155,11 +162,14 @@ def _bounded(staged: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
     """The row with the smallest key of each component, with all its columns.
 
-    Of rows with the same key one stays; rows with a null key stay only if all keys of their component
-    are null, then one of them.
+    Exactly one row of each component stays, whatever rows of other components have the same key; of
+    rows with the smallest key that which ``numbered`` puts first, and a row with a null key only if all
+    keys of its component are null.
     """
-    found = stage(near_duplicates(docs.select(key, text), key, text, shingle, radius))
-    firsts = stage(found.groupBy("component_id").agg(F.count(F.when(F.col(key).eqNullSafe(F.col("component_id")), 1)).alias("_n")))
-    names = firsts.select(F.col("component_id").alias("_name"))
-    kept = docs.join(_bounded(names), F.col(key).eqNullSafe(F.col("_name")), "left_semi")
-    return kept.dropDuplicates([key]) if firsts.where("_n > 1").head(1) else kept
+    plain, names = positional(docs)
+    rows, _ = numbered(plain, names[docs.columns.index(key)], names[docs.columns.index(text)], names)
+    # Numbers follow the order of the keys, nulls last.
+    placed = stage(fingerprints(rows, "_id", "_text", shingle))
+    firsts = _rooted(placed, F.min("_id"), radius).groupBy("component").agg(F.min("_least").alias("_id"))
+    kept = rows.join(_bounded(stage(firsts.select("_id"))), "_id", "left_semi")
+    return kept.select(*names).toDF(*docs.columns)

@@ -88,3 +88,23 @@ def test_edges_and_first_rows(spark):
     assert simhash.near_duplicates(docs.limit(0)).collect() == []
     assert simhash.keep_first(docs.limit(0)).collect() == []
     assert simhash.near_duplicates(docs.where(F.col("doc_id") == 5)).collect()[0]["component_id"] == 5
+
+
+def test_one_row_of_each_component_whatever_the_keys(spark):
+    texts = {name: " ".join(f"{name}{i}" for i in range(300)) for name in "abcdef"}
+    docs = [
+        (None, texts["a"], "a1"), (None, texts["b"], "b1"), (None, texts["b"].upper(), "b2"),  # components without any key
+        (3, texts["c"], "c1"), (None, texts["c"], "c2"), (4, texts["c"], "c3"),
+        (3, texts["d"], "d1"),  # another text of the same key
+        (5, texts["e"], "e1"), (5, texts["f"], "f2"), (1, texts["f"], "f1"),  # the copy in f is not brought back by e
+    ]
+    kept = simhash.keep_first(spark.createDataFrame(docs, "doc_id long, text string, name string"))
+    found = sorted(r["name"] for r in kept.collect())
+    assert [n for n in found if n[0] != "b"] == ["a1", "c1", "d1", "e1", "f1"] and len(found) == 6
+
+
+def test_text_keys_and_other_columns(spark):
+    docs = spark.createDataFrame([("y", "p q r s", {"m": 1}), ("x", "p q r s", {"m": 2}), (None, "t u v w", None)], "doc_id string, text string, more map<string,int>")
+    kept = simhash.keep_first(docs)
+    assert kept.schema == docs.schema
+    assert sorted((r["doc_id"] or "", r["more"]) for r in kept.collect()) == [("", None), ("x", {"m": 2})]
