@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfsift.operators.joins import skew_join
 from shelfsift.session import stage
 
 #: (host, path, verdict), a rule for the host and its subdomains where the path starts so.
@@ -33,7 +34,7 @@ def rule_for(host_: Column, path_: Column, rules: Sequence[Rule]) -> Column:
     return found
 
 
-MOST_BRANCHES = 12  # literal branches below a node; more are one variable segment
+MOST_BRANCHES = float("inf")  # every frequent segment is a branch of its own
 LEAST_ROWS = 20  # a segment seen less often is variable
 SAME = 1.96  # branches whose purities differ by fewer standard errors are merged
 STRENGTH = 5.0  # pseudo-labels at the overall purity
@@ -41,23 +42,22 @@ LEAST_PURITY = 0.5
 
 
 def _generalised(rows: DataFrame) -> DataFrame:
-    """``rows`` (_host, _segments, ...) with ``_template``: the path with its variable segments as ``*``.
+    """``rows`` (_host, _path, ...) with ``_template``: the path with its variable segments as ``*``.
 
     Paths of one host and one length form a tree. On each of its levels a segment stays a literal where
-    it is frequent and the level has few such segments. Segments are counted with partial sums per
-    (host, length, level, segment), and what is left of a host's tree is a short list of literals, so a
-    host that holds most rows costs no task more than others.
+    it is frequent, however many such segments there are. Every path is taken apart once, its segments
+    are counted with partial sums per (host, length, level, segment) and meet those that are frequent in
+    a salted join, so neither a host that holds most rows nor one with very many sections is one task.
     """
-    length = F.size("_segments").alias("_length")
-    single = rows.select("_host", length, F.posexplode("_segments").alias("_level", "_segment"))
-    frequent = single.groupBy("_host", "_length", "_level", "_segment").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= LEAST_ROWS)
-    level = frequent.groupBy("_host", "_length", "_level").agg(F.count(F.lit(1)).alias("_branches")).where(F.col("_branches") <= MOST_BRANCHES)
-    literal = frequent.join(level, ["_host", "_length", "_level"]).groupBy("_host", "_length").agg(
-        F.collect_list(F.struct("_level", "_segment")).alias("_literals"))
-    known = rows.withColumn("_length", length).join(stage(literal), ["_host", "_length"], "left")
-    kept = F.transform("_segments", lambda s, i: F.when(
-        F.coalesce(F.array_contains("_literals", F.struct(i.alias("_level"), s.alias("_segment"))), F.lit(False)), s).otherwise("*"))
-    return known.withColumn("_template", F.when(F.col("_length") == 0, "").otherwise(F.concat(F.lit("/"), F.array_join(kept, "/")))).drop("_literals", "_length")
+    at = ["_host", "_length", "_level", "_segment"]
+    paths = stage(rows.groupBy("_host", "_path").agg(F.count(F.lit(1)).alias("_n")))
+    segments = F.split(F.substring("_path", 2, 1 << 30), "/")
+    single = paths.where("_path != ''").select("_host", "_path", "_n", F.size(segments).alias("_length"), F.posexplode(segments).alias("_level", "_segment"))
+    frequent = stage(single.groupBy(*at).agg(F.sum("_n").alias("_n")).where(F.col("_n") >= LEAST_ROWS))
+    known = skew_join(single.drop("_n"), frequent.select(*at, F.lit(True).alias("_literal")), at, frequent, rows="_n", how="left")
+    kept = F.struct("_level", F.when(F.col("_literal"), F.col("_segment")).otherwise("*").alias("kept"))
+    templates = known.groupBy("_host", "_path").agg(F.concat(F.lit("/"), F.array_join(F.sort_array(F.collect_list(kept))["kept"], "/")).alias("_template"))
+    return skew_join(rows, stage(templates), ["_host", "_path"], paths, rows="_n", how="left").withColumn("_template", F.coalesce("_template", F.lit("")))
 
 
 def _merged(templates: DataFrame) -> DataFrame:
@@ -95,7 +95,7 @@ def judge(
     """
     link = F.col(url).alias("_url")
     rows = pages.select(F.col(key).alias("_key"), link).select("_key", host(F.col("_url")).alias("_host"), path(F.col("_url")).alias("_path"))
-    rows = stage(rows.withColumn("_segments", F.when(F.col("_path") == "", F.array().cast("array<string>")).otherwise(F.split(F.substring("_path", 2, 1 << 30), "/"))))
+    rows = stage(rows)
     marked = labels.select(F.col(label_key).alias("_key"), F.col(good).cast("double").alias("_good")).where("_key IS NOT NULL AND _good IS NOT NULL")
     marked = marked.groupBy("_key").agg(F.avg("_good").alias("_good"))
 

@@ -94,3 +94,13 @@ def test_edges(spark):
     rows = templates.judge(pages, labels).collect()
     assert len(rows) == 4 and all(r["verdict"] == "allow" and r["rule"] is None for r in rows)
     assert templates.judge(pages.limit(0), labels.limit(0)).collect() == []
+
+
+def test_many_sections_keep_their_branches(spark):
+    for rows in (25, 60):  # of each section: the blocked one stays blocked in a larger crawl
+        sections = ["casino", *(f"section{i}" for i in range(40))]
+        pages = {n * rows + i: f"http://big.example.com/{s}/{i}.html" for n, s in enumerate(sections) for i in range(rows)}
+        labels = {p: int("/casino/" not in u) for p, u in pages.items()}
+        got = found(templates.judge(spark.createDataFrame(list(pages.items()), "page_id long, url string"), spark.createDataFrame(list(labels.items()), "page_id long, good int")))
+        assert {p: v[-1] for p, v in got.items()} == {p: "allow" if good else "block" for p, good in labels.items()}
+        assert {v[3] for v in got.values()} == {f"/{s}/~" for s in sections}
