@@ -58,8 +58,8 @@ RULES = (
     ("LicenseRef-all-rights-reserved", ("arr-notice",)),
 )
 
-#: Every known sentence holds one of these, so a text without any needs no look at its sentences.
-HINTS = r"(?i)licen[sc]e|permi|redistribut|rights reserved|warrant|above copyright|copyright holder"
+#: Every known sentence holds one of these, whatever stands between its words, so a text without any needs no look at its sentences.
+HINTS = r"(?i)licen[sc]e|permi|redistribut|rights[^a-z0-9+]+reserved|warrant|above[^a-z0-9+]+copyright|copyright[^a-z0-9+]+holder"
 ENDS = r"([.!?;:])[ \t\r\n]+"
 BLANK = r"\n[ \t\r]*\n"
 OTHER = r"[^a-z0-9+]+"

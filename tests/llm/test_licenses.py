@@ -50,3 +50,10 @@ def test_edges(spark):
     docs = spark.createDataFrame([(None, "All rights reserved."), (1, None), (1, None)], "doc_id long, text string")
     assert sorted((r["doc_id"] or 0, r["licenses"]) for r in licenses.scan(docs).collect()) == [(0, ["LicenseRef-all-rights-reserved"]), (1, []), (1, [])]
     assert licenses.scan(docs.limit(0)).collect() == []
+
+
+def test_sentences_over_line_ends_tabs_and_comment_marks(spark):
+    cases = [(name, s.replace(" ", gap)) for name, forms in licenses.SENTENCES.items() for s in forms for gap in ("\n", "\t", "  ", "\n# ", "\r\n * ") if not re.search(licenses.ENDS, s)]
+    docs = spark.createDataFrame([(i, f"# {text}.") for i, (_, text) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r["sentences"] for r in licenses.scan(docs).collect()}
+    assert got == {i: [name] for i, (name, _) in enumerate(cases)}
