@@ -57,3 +57,32 @@ def test_sentences_over_line_ends_tabs_and_comment_marks(spark):
     docs = spark.createDataFrame([(i, f"# {text}.") for i, (_, text) in enumerate(cases)], "doc_id long, text string")
     got = {r["doc_id"]: r["sentences"] for r in licenses.scan(docs).collect()}
     assert got == {i: [name] for i, (name, _) in enumerate(cases)}
+
+
+GNU = "This {0} is free software{1} you can redistribute it and/or modify\n it under the terms of the GNU {2} License as published by\n the Free Software Foundation{3} either version {4} of the License, or\n (at your option) any later version.\n\nThis {0} is distributed in the hope that it will be useful,"
+HEADERS = [
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law"),
+    ("GPL-3.0-or-later", GNU.format("program", ":", "General Public", ",", 3)), ("GPL-2.0-or-later", GNU.format("program", ";", "General Public", ";", 2)),
+    ("LGPL-2.1-or-later", GNU.format("library", ";", "Lesser General Public", ";", 2.1)), ("LGPL-3.0-or-later", GNU.format("program", ":", "Lesser General Public", ",", 3)),
+    ("AGPL-3.0-or-later", GNU.format("program", ":", "Affero General Public", ",", 3)),
+    ("MPL-2.0", "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain.\n\nAnyone is free"), ("CC-BY-SA-4.0", "This work is licensed under CC BY-SA 4.0."),
+    ("CC0-1.0", "This work is licensed under CC0 1.0 Universal."), ("GPL-2.0-only", "// SPDX-License-Identifier: GPL-2.0\n#include"), ("MIT", "/* SPDX-License-Identifier: MIT */\nint x;"),
+    ("Zlib", "Permission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:\n\n1. The origin"),
+]
+
+
+def test_headers_as_the_licenses_have_them(spark):
+    docs = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(HEADERS)], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
+    assert [rows[i]["licenses"] for i in range(len(HEADERS))] == [[name] for name, _ in HEADERS]
+    assert rows[0]["sentences"] == ["apache2-notice", "apache2-comply", "apache2-copy"]
+
+
+def test_own_sentences_and_rules(spark):
+    assert {x for _, names in licenses.ALL_RULES for x in names} <= set(licenses.ALL_SENTENCES)
+    assert all(re.search(licenses.HINTS.removeprefix("(?i)"), s) for s in licenses._known(licenses.ALL_SENTENCES))
+    docs = spark.createDataFrame([(1, "Mine alone. All rights reserved.")], "doc_id long, text string")
+    row = licenses.scan(docs, sentences={"own": ("Mine alone",)}, rules=[("LicenseRef-own", ("own",))]).first()
+    assert (row["sentences"], row["licenses"]) == (["own"], ["LicenseRef-own"])
