@@ -147,11 +147,9 @@ def category_models(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def score_with_model(spark: SparkSession, folder: str) -> DataFrame:
-    """The models of two part types read back; all items scored, the confident ones appended and reported."""
+    """The models of all part types read back; all items scored, the confident ones appended and reported."""
     path, sink = scratch_path(spark, "models"), scratch_path(spark, "scored")
-    annotated = _annotated(spark, folder)
-    kinds = [r[0] for r in annotated.select("p_type").distinct().orderBy("p_type").limit(2).collect()]
-    saved = jobs.train_node_models(annotated, "p_type", "item", path, trainer=_quick, categories=kinds)
+    saved = jobs.train_node_models(_annotated(spark, folder), "p_type", "item", path, trainer=_quick)
     for r in saved.collect():
         found = jobs.score_with_model(spark, path, r["path"], items(spark, folder).select("item"), "item", sink)
     return found
@@ -197,10 +195,9 @@ def epoch_history(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def learner_search(spark: SparkSession, folder: str) -> DataFrame:
-    """Randomised search over two learners, judged on folds unseen by the search."""
+    """Randomised search over all learners, judged on folds unseen by the search."""
     rows = _vectors(spark, folder)
-    chosen = {k: v for k, v in ln.default_learners(rows.count()).items() if k in ("Logistic Regression", "MultinomialNB")}
-    trials = ln.search(rows, chosen, "doc_id", folds=2, draws=2)
+    trials = ln.search(rows, ln.default_learners(rows.count()), "doc_id", folds=2, draws=2)
     best = ln.best_trial(trials)
     return spark.createDataFrame(
         [(t.name, str(sorted(t.params.items())), float(t.score), t.name == best.name) for t in trials],
@@ -209,13 +206,9 @@ def learner_search(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def search_of_all_learners(spark: SparkSession, folder: str) -> DataFrame:
-    """All seven learners, one draw each, few rounds of boosting."""
-    named = items(spark, folder).select("p_partkey", "p_name", F.col("p_type").startswith("PROMO").cast("double").alias("label"))
-    rows = stage(count_features("p_name").fit(named).transform(named).select("p_partkey", "features", "label"))
-    learners = ln.default_learners(rows.count())
-    ada = ln.AdaBoost()
-    learners["AdaBoost"] = (ada, ln.grid(ada, rounds=[2]))
-    trials = ln.search(rows, learners, "p_partkey", folds=2, draws=1, nested=False)
+    """All seven learners over their whole ranges, on the texts."""
+    rows = _vectors(spark, folder)
+    trials = ln.search(rows, ln.default_learners(rows.count()), "doc_id", folds=2, nested=False)
     best = ln.best_trial(trials)
     return spark.createDataFrame(
         [(t.name, str(sorted(t.params.items())), float(t.score), t.name == best.name) for t in trials],
