@@ -6,9 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfsift.llm import bpe, chat, licenses, mixing, neighbours, passages, quality, simhash, suffixes, templates
+from shelfsift.llm import (
+    bpe, chat, decontamination, licenses, mixing, neighbours, passages, quality, ranking, simhash, spelling, suffixes, templates,
+)
 from shelfsift.llm.words import n_words
 from shelfsift.queries import Query, table
+from shelfsift.session import stage
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -136,3 +139,31 @@ def op10_remove_repeats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 query(op10_remove_repeats)
+
+
+def op11_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents with the number of words inside windows of benchmark items, and those items."""
+    found = decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"), window=10, shingle=5)
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+query(op11_decontaminate, decontamination.CONTAMINATION_SQL)
+
+
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """All words of the documents with the more frequent word one edit away, and where such steps end."""
+    words = stage(spelling.word_counts(table(spark, folder, "documents")))
+    return spelling.with_roots(stage(spelling.variants(words))).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+query(op12_spelling_variants)
+
+
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 50 highest-scoring documents of every benchmark item."""
+    return ranking.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=50)
+
+
+query(op13_ranked_search, ranking.RANKED_SQL)
