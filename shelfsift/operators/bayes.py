@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfsift.functions.text import bind, term_runs, tokens_ws
+from shelfsift.functions.text import bind, has_token, term_runs, tokens_ws
 from shelfsift.operators.joins import broadcast_small, skew_join
 from shelfsift.session import spread, stage
 
@@ -47,7 +47,8 @@ def term_table(items: DataFrame, id: str, text: str, *keep: str) -> DataFrame:
     """
     parts = bind(tokens_ws(text), lambda t: F.struct(F.size(t).alias("len"), term_runs(t).alias("runs")))
     split = spread(items.where(F.col(text).isNotNull()).select(id, *keep, text)).select(id, *keep, parts.alias("_p"))
-    return stage(split.select(id, *keep, F.col("_p.len").alias("_len"), F.col("_p.runs").alias("_runs")).where("_len > 0"))
+    # Rows without tokens go once the table is written: a filter before would take every text apart a second time.
+    return stage(split.select(id, *keep, F.col("_p.len").alias("_len"), F.col("_p.runs").alias("_runs"))).where("_len > 0")
 
 
 def term_frequency(terms: DataFrame) -> DataFrame:
@@ -61,12 +62,11 @@ def nb_index(df: DataFrame, id: str, text: str, cls: str) -> TokenIndex:
     Both tables are written to the shared folder, as every later step reads them several times.
     """
     items = df.select(F.col(id).alias("_id"), F.col(cls).alias("class"), F.col(text).alias("_text"))
-    terms = term_table(items, "_id", "_text", "class")
+    known = spread(items.where(has_token("_text")))
     counts = stage(
-        terms.select("class", F.explode("_runs").alias("_t"))
-        .groupBy(F.col("_t.token").alias("token"), "class").agg(F.sum("_t.n").alias("n_wc")))
+        known.select("class", F.explode(tokens_ws("_text")).alias("token")).groupBy("token", "class").agg(F.count(F.lit(1)).alias("n_wc")))
     sizes = counts.groupBy("class").agg(F.sum("n_wc").alias("n_c"))
-    ids = terms.groupBy("class").agg(
+    ids = known.groupBy("class").agg(
         F.count(F.lit(1)).alias("docs"), F.min("_id").alias("first_id"), F.max("_id").alias("last_id"))
     return TokenIndex(counts, stage(sizes.join(ids, "class")))
 
