@@ -10,6 +10,7 @@ import itertools
 import math
 import random
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,14 +25,18 @@ from pyspark.ml.feature import IDF, StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfsift.operators import boosting
+from shelfsift.operators.boosting import BoostedStumps
 from shelfsift.operators.features import count_features
-from shelfsift.operators.neighbours import knn_classify
 from shelfsift.operators.prep import FALSE_POSITIVE, TRUE_POSITIVE, assign_fold, misclassified
+from shelfsift.operators.saved import OwnModel
+from shelfsift.operators.sparse import sparse_rows
+from shelfsift.operators.sparse_neighbours import Neighbours, sparse_nearest, votes
 from shelfsift.session import stage
 
 # The parameter ranges that are searched.
@@ -39,9 +44,11 @@ LR_C = (0.001, 0.01, 0.1, 1, 10, 15, 20, 30, 40, 100, 1000)
 TREE_DEPTHS = (4, 5, 6, 7, 8, 9, 10, 11, 12, 15, 20, 30)
 NB_ALPHAS = (1, 0.1, 0.01, 0.001, 0.0001, 0.00001)
 FOREST_LEAVES = (1, 2, 3, 4, 5, 7, 9)
+FOREST_FEATURES = ("1", "2", "3", "4", "5", "7", "9")
 BOOST_ROUNDS = range(20, 100)
 NEIGHBOURS = range(2, 10)
 DEEPEST = 30  # Spark trees go no deeper
+FOREST_DEPTHS = (3, 5, DEEPEST)
 
 
 def _fitted(train: DataFrame, *stages: Estimator) -> PipelineModel:
@@ -145,13 +152,17 @@ def fit_nb(train: DataFrame, alpha: float = 1.0, fit_prior: bool = True, **cols:
     return FlatPrior(fitted)
 
 
-@dataclass(frozen=True)
-class FlatPrior:
+class FlatPrior(OwnModel):
     """A fitted Naive Bayes with the class prior taken out of its probabilities."""
 
-    fitted: Model
+    def __init__(self, fitted: Model):
+        super().__init__()
+        self.fitted = fitted
+
+    def parts(self) -> dict[str, Model]:
+        return {"fitted": self.fitted}
 
-    def transform(self, df: DataFrame) -> DataFrame:
+    def _transform(self, df: DataFrame) -> DataFrame:
         # From the log scores: the probabilities of long texts are 0 or 1 already.
         prior = F.array(*[F.lit(float(p)) for p in self.fitted.pi.toArray()])
         logs = F.zip_with(vector_to_array("_log_scores"), prior, lambda score, p: score - p)
@@ -162,53 +173,23 @@ class FlatPrior:
             (F.array_position("_logs", F.array_max("_logs")) - 1).cast("double").alias("prediction"))
 
 
-@dataclass(frozen=True)
-class BoostedStumps:
-    """Weighted votes of two-class stumps; save the stumps as a PipelineModel with the shares beside them."""
-
-    stumps: list[Model]
-    shares: list[float]
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        voted = PipelineModel(self.stumps).transform(df)
-        total = F.lit(0.0)
-        for stump, share in zip(self.stumps, self.shares):
-            total = total + F.lit(share) * (2 * F.col(stump.getPredictionCol()) - 1)
-        positive = 1 / (1 + F.exp(-F.col("_total")))
-        return voted.withColumn("_total", total).select(
-            *df.columns, array_to_vector(F.array(1 - positive, positive)).alias("probability"),
-            (F.col("_total") > 0).cast("double").alias("prediction"))
-
-
 def fit_ada(
     train: DataFrame, rounds: int = 20, learning_rate: float = 1.0, featuresCol: str = "features", labelCol: str = "label"
 ) -> BoostedStumps:
     """Boosted stumps for two classes, each fitted on rows reweighted by the errors so far.
 
-    The features are staged once; each round stages the row weights alone, beside the row's number.
+    Every value of a feature is a possible threshold, so this is for counts and other features of few values.
     """
-    rows = stage(train.select(featuresCol, labelCol).withColumn("_row", F.monotonically_increasing_id()))
-    weights = None
-    stumps, shares = [], []
-    for i in range(rounds):
-        weighted = rows.withColumn("_w", F.lit(1.0)) if weights is None else rows.join(weights, "_row")
-        stump = DecisionTreeClassifier(
-            maxDepth=1, weightCol="_w", featuresCol=featuresCol, labelCol=labelCol, seed=1,
-            predictionCol=f"_vote{i}", rawPredictionCol="", probabilityCol="").fit(weighted)
-        wrong = F.col(f"_vote{i}") != F.col(labelCol)
-        voted = stump.transform(weighted)
-        error = voted.agg(F.sum(F.when(wrong, F.col("_w")).otherwise(0.0)) / F.sum("_w")).first()[0]
-        if error >= 0.5:
-            break
-        share = learning_rate * math.log((1 - error) / max(error, 1e-12))
-        stumps.append(stump)
-        shares.append(share)
-        if error < 1e-12:
-            break
-        weights = stage(voted.select("_row", (F.col("_w") * F.when(wrong, math.exp(share)).otherwise(1.0)).alias("_w")))
-    if not stumps:
+    setting = boosting.Setting(learning_rate)
+    boosting.boost(stage(sparse_rows(train, featuresCol, F.col(labelCol))), [setting], rounds, vector_size(train, featuresCol))
+    if not setting.stumps:
         raise ValueError("no stump is better than chance")
-    return BoostedStumps(stumps, shares)
+    return BoostedStumps(setting.stumps, featuresCol)
+
+
+def vector_size(df: DataFrame, features: str) -> int:
+    first = df.select(features).first()
+    return 0 if first is None else first[0].size
 
 
 def fit_mlp(train: DataFrame, classes: int, hidden: Sequence[int] = (16,), iters: int = 30, **cols: str) -> PipelineModel:
@@ -219,20 +200,11 @@ def fit_mlp(train: DataFrame, classes: int, hidden: Sequence[int] = (16,), iters
 # -- learners of this library as estimators, so that one search can try all ------------------
 
 
-class Fitted(Model):
-    """A model of this library where Spark's tuning wants one of its own."""
-
-    def __init__(self, inner: object = None):
-        super().__init__()
-        self.inner = inner
-
-    def _transform(self, df: DataFrame) -> DataFrame:
-        return self.inner.transform(df)
-
-
 class _Learner(Estimator, HasFeaturesCol, HasLabelCol):
-    def _fit(self, df: DataFrame) -> Fitted:
-        return Fitted(self.fitted(df, {"featuresCol": self.getFeaturesCol(), "labelCol": self.getLabelCol()}))
+    """An estimator whose ``rivals`` judge many parameters on many splits of the rows together."""
+
+    def _fit(self, df: DataFrame) -> Model:
+        return self.fitted(df, {"featuresCol": self.getFeaturesCol(), "labelCol": self.getLabelCol()})
 
 
 class AdaBoost(_Learner):
@@ -246,6 +218,30 @@ class AdaBoost(_Learner):
     def fitted(self, df: DataFrame, cols: dict[str, str]) -> BoostedStumps:
         return fit_ada(df, self.getOrDefault(self.rounds), self.getOrDefault(self.learningRate), **cols)
 
+    def rivals(self, rows: DataFrame, maps: list[dict], splits: Sequence[Split], label: str) -> Rivals:
+        """All learning rates on all splits are settings of one pass, every number of rounds a prefix of one run."""
+        features = self.getFeaturesCol()
+        tried = [(self.copy(m).getOrDefault("rounds"), self.copy(m).getOrDefault("learningRate")) for m in maps]
+        asked = [(rate, split) for rate in sorted({r for _, r in tried}) for split in splits]
+        settings = [boosting.Setting(rate, split.train) for rate, split in asked]
+        kept = stage(sparse_rows(rows, features, F.col(label), F.col("_cell")))
+        boosting.boost(kept, settings, max(n for n, _ in tried), vector_size(rows, features))
+        found = dict(zip(asked, boosting.recalls(kept, settings, [split.test for _, split in asked])))
+        stumps = {key: setting.stumps for key, setting in zip(asked, settings)}
+
+        def recall(i: int, split: Split) -> float:
+            n, rate = tried[i]
+            hits, there = found[rate, split]
+            return float(hits[min(n, len(hits)) - 1]) / there if there and len(hits) else 0.0
+
+        def model(i: int) -> Model:
+            mine = stumps[tried[i][1], splits[0]][: tried[i][0]]
+            if not mine:
+                raise ValueError("no stump is better than chance")
+            return BoostedStumps(mine, features)
+
+        return Rivals(recall, model)
+
 
 class MultinomialNB(_Learner):
     alpha = Param(Params._dummy(), "alpha", "smoothing", TypeConverters.toFloat)
@@ -259,21 +255,6 @@ class MultinomialNB(_Learner):
         return fit_nb(df, self.getOrDefault(self.alpha), self.getOrDefault(self.fitPrior), **cols)
 
 
-@dataclass(frozen=True)
-class Neighbours:
-    """Training vectors, staged; every row to score asks them."""
-
-    known: DataFrame
-    features: str
-    k: int
-    weights: str
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        asked = stage(df.withColumn("_no", F.monotonically_increasing_id()))
-        found = knn_classify(self.known, asked.select("_no", vector_to_array(self.features).alias("_point")), "_no", "_point", "_label", self.k, self.weights)
-        return asked.join(found, "_no", "left").drop("_no")
-
-
 class KNearest(_Learner):
     k = Param(Params._dummy(), "k", "neighbours asked", TypeConverters.toInt)
     weights = Param(Params._dummy(), "weights", "uniform or distance", TypeConverters.toString)
@@ -283,9 +264,31 @@ class KNearest(_Learner):
         self._setDefault(k=k, weights=weights)
 
     def fitted(self, df: DataFrame, cols: dict[str, str]) -> Neighbours:
-        known = stage(df.select(F.monotonically_increasing_id().alias("_no"), vector_to_array(cols["featuresCol"]).alias("_point"), F.col(cols["labelCol"]).alias("_label")))
+        known = stage(sparse_rows(df.withColumn("_no", F.monotonically_increasing_id()), cols["featuresCol"], F.col(cols["labelCol"]), None, "_no"))
         return Neighbours(known, cols["featuresCol"], self.getOrDefault(self.k), self.getOrDefault(self.weights))
 
+    def rivals(self, rows: DataFrame, maps: list[dict], splits: Sequence[Split], label: str) -> Rivals:
+        """One search with the largest k answers every k, both ways of voting and all splits."""
+        tried = [(self.copy(m).getOrDefault("k"), self.copy(m).getOrDefault("weights")) for m in maps]
+        known = stage(sparse_rows(rows.withColumn("_no", F.monotonically_increasing_id()), self.getFeaturesCol(), F.col(label), F.col("_cell"), "_no"))
+        judged = [(c, split) for c, split in enumerate(splits) if split.test]
+        asks = F.array_compact(F.array(*[F.when(F.col("_cell").isin(sorted(split.test)), F.lit(c)) for c, split in judged]))
+        asked = known.where(F.col("_label") == 1).withColumn("_contexts", asks).where(F.size("_contexts") > 0)
+        near = stage(sparse_nearest(known, asked, max(k for k, _ in tried), {c: split.train for c, split in judged}))
+        hits = None
+        for k, weights in sorted(set(tried)):
+            mine = votes(near, k, weights).groupBy("context").agg(F.count(F.when(F.col("prediction") == 1, 1)).alias("n"), F.lit(f"{k}/{weights}").alias("voting"))
+            hits = mine if hits is None else hits.unionByName(mine)
+        found = {(r["voting"], r["context"]): r["n"] for r in hits.collect()}
+        there = {r[0]: r[1] for r in asked.select(F.explode("_contexts").alias("c")).groupBy("c").count().collect()}
+        number = {split: c for c, split in judged}
+
+        def recall(i: int, split: Split) -> float:
+            c, (k, weights) = number[split], tried[i]
+            return found.get((f"{k}/{weights}", c), 0) / there[c] if there.get(c) else 0.0
+
+        return Rivals(recall, lambda i: self.copy(maps[i]).fit(rows))
+
 
 # -- features --------------------------------------------------------------------------------
 
@@ -330,10 +333,18 @@ def grid(estimator: Estimator, **values: Sequence[object]) -> list[dict]:
     return builder.build()
 
 
+def probable_svm(iters: int = 20) -> tuple[Pipeline, LinearSVC]:
+    """A linear support vector machine whose prediction and probability are a logistic fit on its margin, and its first stage."""
+    svc = LinearSVC(maxIter=iters, rawPredictionCol="_margins", predictionCol="_side")
+    margin = VectorSlicer(inputCol="_margins", outputCol="_margin", indices=[1])
+    return Pipeline(stages=[svc, margin, LogisticRegression(featuresCol="_margin")]), svc
+
+
 def default_learners(rows: int) -> dict[str, tuple[Estimator, list[dict]]]:
     """The learners and ranges that the category trainer tries."""
     lr, tree, forest = LogisticRegression(maxIter=30), DecisionTreeClassifier(seed=1), RandomForestClassifier(numTrees=10, seed=1)
-    nb, svm, ada, near = MultinomialNB(), LinearSVC(maxIter=20), AdaBoost(), KNearest()
+    nb, ada, near = MultinomialNB(), AdaBoost(), KNearest()
+    svm, svc = probable_svm()
     strengths = [reg_param(c, rows) for c in LR_C]
     # An exponential distribution by its quantiles.
     rates = [-math.log(1 - q / 20) for q in range(1, 20)]
@@ -341,48 +352,98 @@ def default_learners(rows: int) -> dict[str, tuple[Estimator, list[dict]]]:
         "Logistic Regression": (lr, grid(lr, regParam=strengths, elasticNetParam=[1.0, 0.0])),
         "Decision Tree": (tree, grid(tree, impurity=["gini", "entropy"], maxDepth=TREE_DEPTHS)),
         "Random Forest": (forest, grid(
-            forest, impurity=["gini", "entropy"], maxDepth=[3, 5, 10], minInstancesPerNode=FOREST_LEAVES, bootstrap=[True, False],
-            featureSubsetStrategy=["sqrt", "log2", "onethird"])),
+            forest, impurity=["gini", "entropy"], maxDepth=FOREST_DEPTHS, minInstancesPerNode=FOREST_LEAVES, bootstrap=[True, False],
+            featureSubsetStrategy=FOREST_FEATURES)),
         "MultinomialNB": (nb, grid(nb, alpha=[float(a) for a in NB_ALPHAS], fitPrior=[True, False])),
         "AdaBoost": (ada, grid(ada, rounds=BOOST_ROUNDS, learningRate=rates)),
         "K Nearest": (near, grid(near, k=NEIGHBOURS, weights=["uniform", "distance"])),
-        "SVM": (svm, grid(svm, regParam=[reg_param(10.0**e, rows) for e in range(-4, 4)])),
+        "SVM": (svm, grid(svc, regParam=[reg_param(10.0**e, rows) for e in range(-4, 4)])),
     }
 
 
-def cross_validate(
-    train: DataFrame, estimator: Estimator, maps: list[dict], key: str, folds: int = 5, label: str = "label", parallelism: int = 4
-) -> tuple[Model, dict, float]:
-    """Best model over a grid by mean recall across repeatable folds."""
-    folded = assign_fold(train, key, folds).withColumn("fold", F.col("fold").cast("int"))
-    found = CrossValidator(
-        estimator=estimator, estimatorParamMaps=maps, evaluator=recall_of_positives(label), numFolds=folds,
-        foldCol="fold", parallelism=parallelism).fit(folded)
-    best = max(range(len(maps)), key=lambda i: found.avgMetrics[i])
-    return found.bestModel, {p.name: v for p, v in maps[best].items()}, found.avgMetrics[best]
+@dataclass(frozen=True)
+class Split:
+    """Cells (numbers of rows that always go together) to learn from and to be judged on; without ``test`` only a model is wanted."""
+
+    train: frozenset[int]
+    test: frozenset[int] = frozenset()
+
+
+@dataclass(frozen=True)
+class Rivals:
+    """``recall`` of the i-th parameters on a split, and their ``model`` over all rows."""
+
+    recall: Callable[[int, Split], float]
+    model: Callable[[int], Model]
+
+
+def _recall(model: Model, rows: DataFrame, label: str) -> float:
+    """The share of the rows with label 1 that are found; 0 if there are none."""
+    hit = F.count(F.when(F.col("prediction") == 1, 1))
+    found, there = model.transform(rows.where(F.col(label) == 1)).agg(hit, F.count(F.lit(1))).first()
+    return found / there if there else 0.0
+
+
+def _one_by_one(estimator: Estimator, rows: DataFrame, maps: list[dict], label: str) -> Rivals:
+    """Rivals of a learner that Spark fits: one fit for each parameters and split."""
+    def recall(i: int, split: Split) -> float:
+        model = estimator.fit(rows.where(F.col("_cell").isin(sorted(split.train))), maps[i])
+        return _recall(model, rows.where(F.col("_cell").isin(sorted(split.test))), label)
+
+    return Rivals(recall, lambda i: estimator.fit(rows, maps[i]))
 
 
 def search(
     train: DataFrame, learners: Mapping[str, tuple[Estimator, list[dict]]], key: str, folds: int = 5, draws: int = 10,
-    seed: int = 1, nested: bool = True, label: str = "label",
+    seed: int = 1, nested: bool = True, label: str = "label", parallelism: int = 4,
 ) -> list[Trial]:
-    """Randomised search per learner; the score is the recall on folds that the search has not seen."""
+    """Randomised search per learner; the score is the recall on folds that the search has not seen.
+
+    The best parameters have the highest mean recall over the inner folds. ``nested`` repeats the
+    search without each of the outer folds and scores its winner there. Rows are in one cell for each
+    pair of an inner and an outer fold, so all these splits are sets of cells of the same staged rows.
+    """
     rng = random.Random(seed)
+    keyed = assign_fold(assign_fold(train, key, folds, "_inner").withColumn("_outer_key", F.concat_ws("/", F.lit("outer"), F.col(key))), "_outer_key", folds, "_outer")
+    rows = stage(keyed.withColumn("_cell", F.col("_outer") * folds + F.col("_inner")).drop("_inner", "_outer", "_outer_key"))
+    whole = frozenset(range(folds * folds))
+    outside = {f: frozenset(range(f * folds, (f + 1) * folds)) for f in range(folds)}
+    inside = {f: frozenset(range(f, folds * folds, folds)) for f in range(folds)}
+
+    def inner(seen: frozenset[int]) -> list[Split]:
+        return [Split(seen - inside[f], seen & inside[f]) for f in range(folds)]
+
+    tuned = [whole, *(whole - outside[f] for f in range(folds) if nested)]
+    last = {whole - outside[f]: Split(whole - outside[f], outside[f]) for f in range(folds) if nested}
     trials = []
-    for name, (estimator, maps) in learners.items():
-        drawn = rng.sample(maps, min(draws, len(maps)))
-        model, params, score = cross_validate(train, estimator, drawn, key, folds, label)
-        if nested:
-            outer = assign_fold(train.withColumn("_outer_key", F.concat_ws("/", F.lit("outer"), F.col(key))), "_outer_key", folds, "_outer")
-            held = []
-            for f in range(folds):
-                tuned, _, _ = cross_validate(outer.where(F.col("_outer") != f).drop("_outer"), estimator, drawn, key, folds, label)
-                held.append(recall_of_positives(label).evaluate(tuned.transform(outer.where(F.col("_outer") == f))))
-            score = sum(held) / folds
-        trials.append(Trial(name, params, score, model))
+    with ThreadPoolExecutor(parallelism) as pool:
+        for name, (estimator, maps) in learners.items():
+            drawn = rng.sample(maps, min(draws, len(maps)))
+            splits = [Split(whole), *(s for seen in tuned for s in inner(seen)), *last.values()]
+            rivals = estimator.rivals(rows, drawn, splits, label) if hasattr(estimator, "rivals") else _one_by_one(estimator, rows, drawn, label)
+            asked = [(i, s) for seen in tuned for i in range(len(drawn)) for s in inner(seen)]
+            found = dict(zip(asked, pool.map(lambda a: rivals.recall(*a), asked)))
+
+            def winner(seen: frozenset[int]) -> tuple[float, int]:
+                means = [sum(found[i, s] for s in inner(seen)) / folds for i in range(len(drawn))]
+                return max(means), means.index(max(means))
+
+            score, best = winner(whole)
+            if nested:
+                score = sum(pool.map(lambda seen: rivals.recall(winner(seen)[1], last[seen]), tuned[1:])) / folds
+            params = {p.name: v for p, v in drawn[best].items()}
+            trials.append(Trial(name, params, score, rivals.model(best)))
     return trials
 
 
+def cross_validate(
+    train: DataFrame, estimator: Estimator, maps: list[dict], key: str, folds: int = 5, label: str = "label", parallelism: int = 4
+) -> tuple[Model, dict, float]:
+    """Best model over a whole grid by mean recall across repeatable folds."""
+    best, = search(train, {"": (estimator, maps)}, key, folds, len(maps), nested=False, label=label, parallelism=parallelism)
+    return best.model, best.params, best.score
+
+
 def best_trial(trials: Sequence[Trial], prefer: str = "first") -> Trial:
     """Highest score; among equals the first, or the newest across n-gram ranges."""
     order = list(trials) if prefer == "first" else list(reversed(trials))

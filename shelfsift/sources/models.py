@@ -8,32 +8,15 @@ from collections.abc import Mapping
 from pyspark.ml import Model, PipelineModel
 from pyspark.sql import SparkSession
 
-from shelfsift.operators.learners import BoostedStumps, FlatPrior
 
-
-def save_model(model: Model | FlatPrior | BoostedStumps, meta: Mapping[str, object], path: str) -> None:
-    """Write a model to ``path``/model and its description (parameters, score, labels) to ``path``/meta.
-
-    What a model consists of besides Spark's own parts is kept in the description.
-    """
+def save_model(model: Model, meta: Mapping[str, object], path: str) -> None:
+    """Write a model to ``path``/model and its description (parameters, score, labels) to ``path``/meta."""
     spark = SparkSession.getActiveSession()
-    kind: dict[str, object] = {"kind": "pipeline"}
-    if isinstance(model, FlatPrior):
-        kind, stages = {"kind": "flat prior"}, PipelineModel([model.fitted])
-    elif isinstance(model, BoostedStumps):
-        kind, stages = {"kind": "boosted stumps", "shares": model.shares}, PipelineModel(model.stumps)
-    else:
-        stages = model if isinstance(model, PipelineModel) else PipelineModel([model])
+    stages = model if isinstance(model, PipelineModel) else PipelineModel([model])
     stages.write().overwrite().save(f"{path}/model")
-    described = json.dumps({"meta": dict(meta), **kind}, default=str, sort_keys=True)
+    described = json.dumps(dict(meta), default=str, sort_keys=True)
     spark.createDataFrame([(described,)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
 
-def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel | FlatPrior | BoostedStumps, dict[str, object]]:
-    described = json.loads(spark.read.text(f"{path}/meta").first()["value"])
-    stages = PipelineModel.load(f"{path}/model")
-    if described["kind"] == "flat prior":
-        return FlatPrior(stages.stages[0]), described["meta"]
-    if described["kind"] == "boosted stumps":
-        return BoostedStumps(stages.stages, described["shares"]), described["meta"]
-    return stages, described["meta"]
+def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, dict[str, object]]:
+    return PipelineModel.load(f"{path}/model"), json.loads(spark.read.text(f"{path}/meta").first()["value"])
