@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 
 from shelfsift.operators import boosting
 from shelfsift.operators.boosting import BoostedStumps
+from shelfsift.operators.category_models import CategoryModels, fit_categories
 from shelfsift.operators.features import count_features
 from shelfsift.operators.prep import FALSE_POSITIVE, TRUE_POSITIVE, assign_fold, misclassified
 from shelfsift.operators.saved import OwnModel
@@ -507,6 +508,17 @@ def train_per_category(
     return fitted, models
 
 
+def train_categories_together(
+    items: DataFrame, category: str, text: str, features: Pipeline, kind: str = "type", categories: Sequence[object] | None = None, c: float = 1.0,
+) -> tuple[PipelineModel, CategoryModels, dict[object, float]]:
+    """The fitted features, the logistic models of all categories, and their training recalls; as many jobs for all as for one."""
+    if categories is None:
+        categories = [r[0] for r in items.select(category).distinct().orderBy(category).collect()]
+    fitted, vectors = category_vectors(items, category, text, features, kind)
+    models, recalls = fit_categories(vectors, categories, vector_size(vectors, "features"), c)
+    return fitted, models, recalls
+
+
 def train_multiclass(train: DataFrame, category: str, features: Pipeline, estimator: Estimator) -> PipelineModel:
     """One model over all categories, labels in alphabetical order."""
     index = StringIndexer(inputCol=category, outputCol="label", stringOrderType="alphabetAsc", handleInvalid="skip")

@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.ml import Model, Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfsift.functions.text import prediction_label, process_string
@@ -86,16 +85,22 @@ def ambiguity_report(
 
 def train_node_models(
     items: DataFrame, category: str, text: str, path: str, kind: str = "type", features: Pipeline | None = None,
-    trainer: Callable[[DataFrame], Model] | None = None, categories: Sequence[object] | None = None,
+    trainer: Callable[[DataFrame], Model] | None = None, categories: Sequence[object] | None = None, c: float = 1.0,
 ) -> DataFrame:
     """(category, recall, path) of one model per category, saved below ``path`` with the features they share.
 
-    ``items`` is annotated (``kind`` says true or false positive). The features are fitted once.
+    ``items`` is annotated (``kind`` says true or false positive). The features are fitted once. Without
+    a ``trainer`` all categories get a logistic model of strength ``c``, fitted together and saved as one;
+    a trainer fits them one by one.
     """
     spark = items.sparkSession
-    trainer = trainer or (lambda rows: LogisticRegression(maxIter=30).fit(rows))
-    fitted, found = learners.train_per_category(
-        items, category, text, trainer, features or count_features(text, binary=True, stop_words=True), kind, categories)
+    features = features or count_features(text, binary=True, stop_words=True)
+    if trainer is None:
+        fitted, models, recalls = learners.train_categories_together(items, category, text, features, kind, categories, c)
+        fitted.write().overwrite().save(f"{path}/features")
+        save_model(models, {"category": category, "text": text}, f"{path}/models")
+        return spark.createDataFrame([(str(cat), float(recall), f"{path}/models") for cat, recall in recalls.items()], "category string, recall double, path string")
+    fitted, found = learners.train_per_category(items, category, text, trainer, features, kind, categories)
     fitted.write().overwrite().save(f"{path}/features")
     rows = []
     for i, (cat, (model, recall)) in enumerate(found.items()):
@@ -105,21 +110,36 @@ def train_node_models(
     return spark.createDataFrame(rows, "category string, recall double, path string")
 
 
+TOLD = "description_mod1 string, predicted_category string, probability double"
+
+
+def _told(scored: DataFrame, text: str, category: Column, cut: float) -> DataFrame:
+    """What a row with the probability of class 1 says: the category id, or ``not <id>``, with the probability of that."""
+    inside = F.col("probability") > 0.5
+    told = scored.select(
+        F.col(text).alias("description_mod1"), prediction_label(inside, category).alias("predicted_category"),
+        F.when(inside, F.col("probability")).otherwise(1 - F.col("probability")).alias("probability"))
+    return confident(told, cut=cut)
+
+
+def score_with_models(spark: SparkSession, path: str, items: DataFrame, text: str, sink: str, cut: float = 0.7) -> DataFrame:
+    """Items scored with all category models that :func:`train_node_models` has fitted together, in one pass; the confident rows are appended to ``sink``, which is returned."""
+    features = PipelineModel.load(f"{path}/features")
+    models, meta = load_model(spark, f"{path}/models")
+    scored = models.transform(features.transform(items.withColumnRenamed(text, meta["text"])).select(meta["text"], "features"))
+    write_predictions(_told(scored, meta["text"], F.col("category"), cut), sink)
+    return spark.read.schema(TOLD).parquet(sink)
+
+
 def score_with_model(
     spark: SparkSession, path: str, model_path: str, items: DataFrame, text: str, sink: str, cut: float = 0.7,
 ) -> DataFrame:
-    """Items scored with a saved category model; the confident ones are appended to ``sink``, which is returned.
+    """Items scored with one saved category model; the confident ones are appended to ``sink``, which is returned.
 
-    ``path`` holds the features, ``model_path`` the model. A row says the category id, or ``not <id>``,
-    with the probability of what it says.
+    ``path`` holds the features, ``model_path`` the model.
     """
     features = PipelineModel.load(f"{path}/features")
     model, meta = load_model(spark, model_path)
     named = items.withColumnRenamed(text, meta["text"])
-    scored = learners.score(model, features.transform(named), meta["text"])
-    inside = F.col("prediction") == 1
-    told = scored.select(
-        F.col(meta["text"]).alias("description_mod1"), prediction_label(inside, F.lit(meta["category"])).alias("predicted_category"),
-        F.when(inside, F.col("probability")).otherwise(1 - F.col("probability")).alias("probability"))
-    write_predictions(confident(told, cut=cut), sink)
-    return spark.read.schema("description_mod1 string, predicted_category string, probability double").parquet(sink)
+    write_predictions(_told(learners.score(model, features.transform(named), meta["text"]), meta["text"], F.lit(meta["category"]), cut), sink)
+    return spark.read.schema(TOLD).parquet(sink)

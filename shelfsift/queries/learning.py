@@ -9,17 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfsift.functions import text as tx
+from shelfsift.operators import category_models as cm
 from shelfsift.operators import clusters as cl
 from shelfsift.operators import embeddings as em
 from shelfsift.operators import learners as ln
 from shelfsift.operators.counts import confusion, scores
-from shelfsift.operators.features import count_features
+from shelfsift.operators.features import class_log_odds, count_features, term_counts
 from shelfsift.operators.neighbours import pooled_vector
 from shelfsift.operators.prep import assign_fold
 from shelfsift.operators.sequences import label_encode
+from shelfsift.operators.sparse import sparse_rows
+from shelfsift.operators.sparse_neighbours import sparse_nearest
 from shelfsift.plans import jobs
 from shelfsift.queries import query, table
-from shelfsift.queries.fragments import documents, items
+from shelfsift.queries.fragments import documents, items, long_words, words
 from shelfsift.session import scratch_path, stage
 from shelfsift.sources.models import load_model, save_model
 
@@ -134,25 +137,47 @@ def _annotated(spark: SparkSession, folder: str) -> DataFrame:
     return items(spark, folder).select("item", "p_type").withColumn("type", F.lit("True Positive"))
 
 
-def _quick(rows: DataFrame):
-    return LogisticRegression(maxIter=5).fit(rows)
-
-
 @query()
 def category_models(spark: SparkSession, folder: str) -> DataFrame:
-    """One model per part type, saved, with its training recall."""
+    """One model per part type, all fitted together and saved, with its training recall."""
     path = scratch_path(spark, "models")
-    return jobs.train_node_models(_annotated(spark, folder), "p_type", "item", path, trainer=_quick).drop("path")
+    return jobs.train_node_models(_annotated(spark, folder), "p_type", "item", path).drop("path")
 
 
 @query()
 def score_with_model(spark: SparkSession, folder: str) -> DataFrame:
-    """The models of all part types read back; all items scored, the confident ones appended and reported."""
+    """The models of all part types read back; all items scored once for all of them, the confident rows appended and reported."""
     path, sink = scratch_path(spark, "models"), scratch_path(spark, "scored")
-    saved = jobs.train_node_models(_annotated(spark, folder), "p_type", "item", path, trainer=_quick)
-    for r in saved.collect():
-        found = jobs.score_with_model(spark, path, r["path"], items(spark, folder).select("item"), "item", sink)
-    return found
+    jobs.train_node_models(_annotated(spark, folder), "p_type", "item", path)
+    return jobs.score_with_models(spark, path, items(spark, folder).select("item"), "item", sink)
+
+
+@query(
+    f"""WITH w AS (SELECT p_partkey, p_type, {words('p_name')} AS w FROM part),
+tokens AS (SELECT p_partkey, p_type AS class, unnest(w) AS token FROM w),
+cell AS (SELECT class, token, count(*) AS n_wc FROM tokens GROUP BY class, token),
+tok AS (SELECT token, sum(n_wc) AS n_w FROM cell GROUP BY token),
+cls AS (SELECT class, sum(n_wc) AS n_c FROM cell GROUP BY class),
+tot AS (SELECT sum(n_wc) AS n, count(DISTINCT token) AS v FROM cell),
+weight AS (SELECT class, token, ln(((n_wc + 1) / (n_c + v)) / ((n_w - n_wc + 1) / (n - n_c + v))) AS w
+  FROM cell JOIN tok USING (token) JOIN cls USING (class), tot),
+bias AS (SELECT p_type AS category, ln(count(*) / (any_value(rows) - count(*))) AS b FROM part, (SELECT count(*) AS rows FROM part) GROUP BY p_type),
+entry AS (SELECT p_partkey, token, count(*) AS x FROM tokens GROUP BY p_partkey, token),
+met AS (SELECT p_partkey, class AS category, sum(x * w) AS m FROM entry JOIN weight USING (token) GROUP BY p_partkey, class),
+margin AS (SELECT p_partkey, category, b + coalesce(m, 0) AS margin FROM part CROSS JOIN bias LEFT JOIN met USING (p_partkey, category))
+SELECT p_partkey, category, round(margin, 6) AS margin, round(1 / (1 + exp(-margin)), 6) AS probability FROM margin"""
+)
+def all_category_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Every item's probability for every part type from given coefficients, here the log odds of its words, in one pass."""
+    named = items(spark, folder).select("p_partkey", "p_type", "p_name")
+    tokens = tx.tokens_ws("p_name")
+    odds = stage(class_log_odds(named, tokens, "p_type").select(F.col("token").alias("place"), F.col("class").alias("code"), F.col("log_odds").alias("w")))
+    sizes = named.groupBy("p_type").agg(F.count(F.lit(1)).alias("n"))
+    bias = sizes.select(F.lit("").alias("place"), F.col("p_type").alias("code"), F.log(F.col("n") / (sizes.agg(F.sum("n")).scalar() - F.col("n"))).alias("w"))
+    weights = cm.packed_weights(odds.unionByName(bias), "place", "code", "w")
+    entries = term_counts(named, "p_partkey", tokens).select("p_partkey", F.col("token").alias("place"), F.col("n").cast("double").alias("x"))
+    scored = cm.margins(named.select("p_partkey"), entries, "p_partkey", weights, F.lit(""))
+    return scored.select("p_partkey", F.col("code").alias("category"), F.round("margin", 6).alias("margin"), F.round(1 / (1 + F.exp(-F.col("margin"))), 6).alias("probability"))
 
 
 @query()
@@ -229,6 +254,24 @@ def range_search(spark: SparkSession, folder: str) -> DataFrame:
         [(best.name, str(best.params["ngram_range"]), float(best.score))], "learner string, ngram_range string, recall double")
 
 
+@query(
+    f"""WITH entry AS (SELECT p_partkey, token, count(*) AS x FROM (SELECT p_partkey, unnest({long_words('p_name')}) AS token FROM part) GROUP BY p_partkey, token),
+size AS (SELECT p_partkey, coalesce(sum(x * x), 0) AS s FROM part LEFT JOIN entry USING (p_partkey) GROUP BY p_partkey),
+dot AS (SELECT a.p_partkey AS a, b.p_partkey AS b, sum(a.x * b.x) AS d FROM entry a JOIN entry b USING (token) GROUP BY 1, 2),
+pair AS (SELECT a.p_partkey AS test_id, b.p_partkey AS train_id, sqrt(a.s + b.s - 2 * coalesce(d, 0)) AS distance
+  FROM size a JOIN size b ON a.p_partkey <> b.p_partkey LEFT JOIN dot ON dot.a = a.p_partkey AND dot.b = b.p_partkey)
+SELECT test_id, train_id, round(distance, 9) AS distance,
+  CAST(row_number() OVER (PARTITION BY test_id ORDER BY distance, train_id) AS INTEGER) AS rank
+FROM pair QUALIFY rank <= 3"""
+)
+def nearest_names(spark: SparkSession, folder: str) -> DataFrame:
+    """Each part's three nearest others by the counts of the words of its name, as sparse vectors."""
+    named = items(spark, folder).select(F.col("p_partkey").alias("_no"), "p_name")
+    rows = stage(sparse_rows(ln.count_features("p_name").fit(named).transform(named), "features", None, None, "_no"))
+    near = sparse_nearest(rows, rows, 3, skip_same=True)
+    return near.select("test_id", "train_id", F.round("distance", 9).alias("distance"), "rank")
+
+
 @query()
 def random_split(spark: SparkSession, folder: str) -> DataFrame:
     train, held = documents(spark, folder, "doc_id", "source").randomSplit([0.7, 0.3], seed=1)

@@ -24,29 +24,3 @@ def test_iterations(monkeypatch, name, fit, iters):
     monkeypatch.setattr(learning.ln, fit, fitted)
     inspect.unwrap(getattr(learning, name))(None, "")
     assert asked == [iters]
-
-
-def test_models_of_all_types_are_scored(monkeypatch):
-    jobs = MagicMock()
-    jobs.train_node_models.return_value.collect.return_value = [{"path": str(i)} for i in range(5)]
-    for helper in ("_annotated", "items", "scratch_path"):
-        monkeypatch.setattr(learning, helper, MagicMock())
-    monkeypatch.setattr(learning, "jobs", jobs)
-    inspect.unwrap(learning.score_with_model)(None, "")
-    assert jobs.train_node_models.call_args.kwargs.get("categories") is None
-    assert [c.args[2] for c in jobs.score_with_model.call_args_list] == list("01234")
-
-
-@pytest.mark.parametrize("name", ["learner_search", "search_of_all_learners"])
-def test_searches_take_all_learners_on_the_texts(monkeypatch, name):
-    rows, search = MagicMock(), MagicMock(return_value=[])
-    rows.count.return_value = 100
-    learners = {f"learner {i}": (None, [i]) for i in range(7)}
-    for helper in ("stage", "items", "count_features", "F"):
-        monkeypatch.setattr(learning, helper, MagicMock())
-    monkeypatch.setattr(learning, "_vectors", lambda *_: rows)
-    for of, fake in (("search", search), ("best_trial", MagicMock()), ("default_learners", lambda _: dict(learners)), ("AdaBoost", MagicMock()), ("grid", MagicMock())):
-        monkeypatch.setattr(learning.ln, of, fake)
-    inspect.unwrap(getattr(learning, name))(MagicMock(), "")
-    assert search.call_args.args[:2] == (rows, learners)
-    assert search.call_args.kwargs.get("draws", 10) > 1
