@@ -14,6 +14,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from xxhash import xxh64_intdigest
 
 from shelfsift.llm import naming
 from shelfsift.llm.phrases import Kind, covered, repeated_windows
@@ -22,6 +23,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 FIRST_SURROGATE, SURROGATES, CODE_POINTS = 0xD800, 0x800, 0x110000
 PIECE = 1 << 20  # bytes whose words are hashed at once
+LONG = 32
 
 
 def _powers() -> tuple[np.ndarray, np.ndarray]:
@@ -41,33 +43,28 @@ def _word_edges(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_numbers(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word: the polynomial of its bytes, as a difference of prefix sums, and its length."""
+    """A 64-bit hash of each word: the polynomial of its bytes, as a difference of prefix sums, and its length.
+
+    Modulo a power of two the polynomials of long words can agree by their structure alone, whatever the
+    factor; so words longer than ``LONG`` bytes are hashed by XXH64.
+    """
     units = np.frombuffer(text, np.uint8)
     starts, ends = _word_edges(units)
     out, low = np.zeros(len(starts), np.uint64), 0
     while low < len(starts):
         high = max(low + 1, int(np.searchsorted(ends, starts[low] + PIECE, "right")))
         base, stop = int(starts[low]), int(ends[high - 1])
-        if stop - base > PIECE:  # one word longer than a piece
-            out[low] = _long_word(units[base:stop])
-        else:
+        if stop - base <= PIECE:  # else: one word longer than a piece
             sums = np.zeros(stop - base + 1, np.uint64)
             np.cumsum(naming.SYMBOLS[units[base:stop]] * DOWN[: stop - base], out=sums[1:])
             a, b = starts[low:high] - base, ends[low:high] - base
             out[low:high] = (sums[b] - sums[a]) * UP[a]
         low = high
+    for i in np.flatnonzero(ends - starts > LONG):
+        out[i] = xxh64_intdigest(units[starts[i] : ends[i]].data)
     return naming.joined(out, (ends - starts).astype(np.uint64))
 
 
-def _long_word(units: np.ndarray) -> np.uint64:
-    total, scale = 0, 1
-    for at in range(0, len(units), PIECE):
-        part = naming.SYMBOLS[units[at : at + PIECE]]
-        total += int((part * DOWN[: len(part)]).sum(dtype=np.uint64)) * scale
-        scale = scale * int(DOWN[PIECE]) % 2**64
-    return np.uint64(total % 2**64)
-
-
 def _letters(numbers: np.ndarray, known: np.ndarray) -> str:
     """Words as one code point each: their rank among ``known``, past the surrogates."""
     ranks = np.searchsorted(known, numbers) + 1

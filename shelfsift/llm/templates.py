@@ -34,13 +34,17 @@ def rule_for(host_: Column, path_: Column, rules: Sequence[Rule]) -> Column:
     return found
 
 
-MOST_BRANCHES = float("inf")  # every frequent segment is a branch of its own
 LEAST_ROWS = 20  # a segment seen less often is variable
 SAME = 1.96  # branches whose purities differ by fewer standard errors are merged
 STRENGTH = 5.0  # pseudo-labels at the overall purity
 LEAST_PURITY = 0.5
 
 
+def _literal(segment: Column) -> Column:
+    """A segment as it stands in templates: never the marks ``*`` (variable) or ``~`` (merged), which stay apart from segments of that name."""
+    return F.when(segment.rlike(r"^[*~\\]"), F.concat(F.lit("\\"), segment)).otherwise(segment)
+
+
 def _generalised(rows: DataFrame) -> DataFrame:
     """``rows`` (_host, _path, ...) with ``_template``: the path with its variable segments as ``*``.
 
@@ -55,7 +59,7 @@ def _generalised(rows: DataFrame) -> DataFrame:
     single = paths.where("_path != ''").select("_host", "_path", "_n", F.size(segments).alias("_length"), F.posexplode(segments).alias("_level", "_segment"))
     frequent = stage(single.groupBy(*at).agg(F.sum("_n").alias("_n")).where(F.col("_n") >= LEAST_ROWS))
     known = skew_join(single.drop("_n"), frequent.select(*at, F.lit(True).alias("_literal")), at, frequent, rows="_n", how="left")
-    kept = F.struct("_level", F.when(F.col("_literal"), F.col("_segment")).otherwise("*").alias("kept"))
+    kept = F.struct("_level", F.when(F.col("_literal"), _literal(F.col("_segment"))).otherwise("*").alias("kept"))
     templates = known.groupBy("_host", "_path").agg(F.concat(F.lit("/"), F.array_join(F.sort_array(F.collect_list(kept))["kept"], "/")).alias("_template"))
     return skew_join(rows, stage(templates), ["_host", "_path"], paths, rows="_n", how="left").withColumn("_template", F.coalesce("_template", F.lit("")))
 
@@ -88,7 +92,8 @@ def judge(
     The longest fitting rule decides. Other rows go by their path template: per host the segments are
     generalised into a tree, similar branches are merged, and a template is blocked where its purity -
     the share of good rows of ``labels`` (label_key, good 0/1), smoothed towards the overall share - is
-    below LEAST_PURITY. Empty segments count as segments. Urls without ``://`` and null urls have an empty host and
+    below LEAST_PURITY. In templates ``*`` is a variable segment, a last ``~`` stands for branches merged,
+    and a segment that begins with one of these or a backslash has a backslash before it. Empty segments count as segments. Urls without ``://`` and null urls have an empty host and
     path and form one template. Rows with null labels or keys count as unlabelled; repeated labels of one
     key count by their mean; without labels all is allowed. Equal rows get equal verdicts; an empty table
     gives no rows; other columns are not read.

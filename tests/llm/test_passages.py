@@ -88,3 +88,16 @@ def test_edges(spark):
     got = sorted((r["doc_id"] or 0, r["n_removed"]) for r in passages.remove_passages(docs).collect())
     assert got == [(0, 0), (0, 60), (1, 0), (1, 60), (2, 60)]
     assert passages.remove_passages(docs.limit(0)).collect() == []
+
+
+def test_long_words_of_like_structure_are_told_apart(spark):
+    """Letters a and b in the Thue-Morse order and its opposite: their polynomials agree modulo 2 ** 64."""
+    for letters in (64, 1024, 2048, 4096):
+        one = "".join("ab"[i.bit_count() % 2] for i in range(letters))
+        other = one.translate(str.maketrans("ab", "ba"))
+        numbers = passages.word_numbers(f"{one} {other} {one}".encode())
+        assert numbers[0] == numbers[2] != numbers[1]
+        around = [f"w{i}" for i in range(60)]
+        docs = [(1, " ".join([*around[:30], one, *around[30:]])), (2, " ".join([*around[:30], other, *around[30:]]))]
+        got = passages.remove_passages(spark.createDataFrame(docs, "doc_id long, text string"), window=50).collect()
+        assert all(r["n_removed"] == 0 for r in got)

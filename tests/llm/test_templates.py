@@ -24,11 +24,9 @@ def brute(pages, labels, rules):
     split = {p: parts(u) for p, u in pages.items()}
     segments = {p: (path[1:].split("/") if path else []) for p, (_, path) in split.items()}
     seen = Counter((split[p][0], len(s), i, x) for p, s in segments.items() for i, x in enumerate(s))
-    frequent = {k for k, n in seen.items() if n >= templates.LEAST_ROWS}
-    branches = Counter(k[:3] for k in frequent)
-    literal = {k for k in frequent if branches[k[:3]] <= templates.MOST_BRANCHES}
+    literal = {k for k, n in seen.items() if n >= templates.LEAST_ROWS}
     template = {
-        p: "".join("/" + (x if (split[p][0], len(s), i, x) in literal else "*") for i, x in enumerate(s)) for p, s in segments.items()}
+        p: "".join("/" + ("\\" * x.startswith(("*", "~", "\\")) + x if (split[p][0], len(s), i, x) in literal else "*") for i, x in enumerate(s)) for p, s in segments.items()}
     good, count = defaultdict(float), defaultdict(int)
     for p in pages:
         if labels.get(p) is not None:
@@ -104,3 +102,14 @@ def test_many_sections_keep_their_branches(spark):
         got = found(templates.judge(spark.createDataFrame(list(pages.items()), "page_id long, url string"), spark.createDataFrame(list(labels.items()), "page_id long, good int")))
         assert {p: v[-1] for p, v in got.items()} == {p: "allow" if good else "block" for p, good in labels.items()}
         assert {v[3] for v in got.values()} == {f"/{s}/~" for s in sections}
+
+
+def test_marks_are_no_segments(spark):
+    """Bad pages below a section ``~``, ``*`` or ``\\~`` are blocked as below any other name, while many good sections are merged."""
+    for bad in ("~", "zz", "*", "\\~"):
+        urls = [f"http://h.example.com/{bad}/{i}" for i in range(40)] + [f"http://h.example.com/s{n}/{i}" for n in range(20) for i in range(40)] + [f"http://h.example.com/~{i}" for i in range(30)]
+        pages = dict(enumerate(urls))
+        labels = {p: int(p >= 40) for p in pages}
+        got = found(templates.judge(spark.createDataFrame(list(pages.items()), "page_id long, url string"), spark.createDataFrame(list(labels.items()), "page_id long, good int")))
+        assert got == brute(pages, labels, ())
+        assert {p: v[-1] for p, v in got.items()} == {p: "allow" if good else "block" for p, good in labels.items()}
