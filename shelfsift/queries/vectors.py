@@ -203,3 +203,11 @@ def threshold_clusters(spark: SparkSession, folder: str) -> DataFrame:
     named = items(spark, folder)
     pairs = sm.jaro_pairs(named, "p_partkey", "item", 0.15, "p_type")
     return sm.threshold_clusters(named, "p_partkey", "item", pairs, 0.15, "p_type")
+
+
+@query()
+def complete_linkage_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Part descriptions of one type in clusters whose members are all close to each other."""
+    named = items(spark, folder)
+    pairs = sm.jaro_pairs(named, "p_partkey", "item", 0.15, "p_type")
+    return sm.threshold_clusters(named, "p_partkey", "item", pairs, 0.15, "p_type", linkage="complete")
