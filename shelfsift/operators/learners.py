@@ -9,7 +9,7 @@ from __future__ import annotations
 import itertools
 import math
 import random
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -22,13 +22,12 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import IDF, StringIndexer, VectorAssembler, VectorSlicer
-from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from shelfsift.operators import boosting
 from shelfsift.operators.boosting import BoostedStumps
@@ -36,7 +35,7 @@ from shelfsift.operators.category_models import CategoryModels, fit_categories
 from shelfsift.operators.features import count_features
 from shelfsift.operators.prep import FALSE_POSITIVE, TRUE_POSITIVE, assign_fold, misclassified
 from shelfsift.operators.saved import OwnModel
-from shelfsift.operators.sparse import sparse_rows
+from shelfsift.operators.sparse import filled, sparse_rows
 from shelfsift.operators.sparse_neighbours import Neighbours, sparse_nearest, votes
 from shelfsift.session import stage
 
@@ -566,10 +565,27 @@ def score(model: Model, df: DataFrame, *keep: str) -> DataFrame:
         *keep, "prediction", F.get(vector_to_array("probability"), F.lit(1)).alias("probability"))
 
 
-def score_batches(
-    df: DataFrame, features: str, make_predict: Callable[[], Callable[[np.ndarray], np.ndarray]], batch: int = 1024,
-    name: str = "probability",
-) -> DataFrame:
-    """Score with a model from outside Spark: loaded once per task, called on batches of vectors."""
-    predict = predict_batch_udf(make_predict, return_type=T.DoubleType(), batch_size=batch, input_tensor_shapes=[[df.select(features).first()[0].size]])
-    return df.withColumn(name, predict(vector_to_array(features)))
+#: What an outside model is called with: the rows' places and values one row after another, where each row begins, and the vectors' length.
+SparsePredict = Callable[[np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]
+
+
+def score_batches(df: DataFrame, features: str, make_predict: Callable[[], SparsePredict], batch: int = 1024, name: str = "probability") -> DataFrame:
+    """Score with a model from outside Spark: loaded once per task, called on batches of sparse rows.
+
+    ``predict(places, values, first, size)`` returns a number per row; row i has the entries ``first[i]`` to
+    ``first[i + 1]``. A worker holds the entries of ``batch`` rows at a time, never a filled vector.
+    """
+    @F.pandas_udf("double")
+    def predicted(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        predict = make_predict()
+        for places, values, sizes in batches:
+            out = [np.empty(0)]
+            for i in range(0, len(places), batch):
+                at, x = places.iloc[i : i + batch], values.iloc[i : i + batch]
+                first = np.concatenate([[0], np.cumsum(at.map(len))]).astype(np.int64)
+                out.append(predict(np.concatenate([*at, []]).astype(np.int64), np.concatenate([*x, []]).astype(np.float64), first, int(sizes.iloc[i])))
+            yield pd.Series(np.concatenate(out))
+
+    at, x = filled(features)
+    parts = F.unwrap_udt(features)
+    return df.withColumn(name, predicted(at, x, F.coalesce(parts["size"], F.size(parts["values"]))))

@@ -298,8 +298,9 @@ def external_model_scores(spark: SparkSession, folder: str) -> DataFrame:
     weights, bias = fitted.coefficients.toArray(), float(fitted.intercept)
 
     def make_predict():
-        def predict(batch: np.ndarray) -> np.ndarray:
-            return 1.0 / (1.0 + np.exp(-(batch @ weights + bias)))
+        def predict(places: np.ndarray, values: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
+            sums = np.concatenate([[0.0], np.cumsum(values * weights[places])])
+            return 1.0 / (1.0 + np.exp(-(sums[first[1:]] - sums[first[:-1]] + bias)))
         return predict
 
     return ln.score_batches(rows, "features", make_predict).select("doc_id", "label", "probability")

@@ -79,3 +79,18 @@ def test_category_without_rows(spark):
     _, rows = vectors(spark, n=20)
     models, recalls = cm.fit_categories(rows.limit(0), ["bolts"], ln.vector_size(rows, "features"))
     assert recalls == {"bolts": 0.0} and [r["coefficients"] for r in models.weights.collect()] == [[0.0]]
+
+
+def test_outside_models_get_sparse_batches(spark):
+    _, rows = vectors(spark)
+    seen = "places, values, first, size"
+
+    def make_predict():
+        def predict(places, values, first, size):
+            assert len(first) <= 8 and len(places) == len(values) == first[-1] and (places < size).all(), seen
+            return np.array([(values[a:b] * (places[a:b] + 1)).sum() for a, b in zip(first[:-1], first[1:])])
+        return predict
+
+    scored = ln.score_batches(rows, "features", make_predict, batch=7, name="sum").collect()
+    assert len(scored) == rows.count() and all(r["sum"] == sum(x * (i + 1) for i, x in zip(r["features"].indices, r["features"].values)) for r in scored)
+    assert ln.score_batches(rows.limit(0), "features", make_predict).collect() == []
