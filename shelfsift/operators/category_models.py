@@ -192,6 +192,12 @@ class CategoryModels(OwnModel):
     def parts(self) -> dict[str, DataFrame]:
         return {"weights": self.weights}
 
+    def only(self, code: int) -> CategoryModels:
+        """The model of one category alone."""
+        mine = F.filter(F.arrays_zip("codes", "coefficients"), lambda p: p["codes"] == code)
+        one = self.weights.select("place", F.transform(mine, lambda p: p["codes"]).alias("codes"), F.transform(mine, lambda p: p["coefficients"]).alias("coefficients"))
+        return CategoryModels(one.where(F.size("codes") > 0), self.categories, self.features)
+
     def _transform(self, df: DataFrame) -> DataFrame:
         """One row per row and category: the row's columns, ``category``, ``margin`` and ``probability``."""
         rows = stage(df.withColumn("_no", F.monotonically_increasing_id()))

@@ -99,7 +99,8 @@ def train_node_models(
         fitted, models, recalls = learners.train_categories_together(items, category, text, features, kind, categories, c)
         fitted.write().overwrite().save(f"{path}/features")
         save_model(models, {"category": category, "text": text}, f"{path}/models")
-        return spark.createDataFrame([(str(cat), float(recall), f"{path}/models") for cat, recall in recalls.items()], "category string, recall double, path string")
+        told = [(str(cat), float(recalls[cat]), f"{path}/models#{code}") for code, cat in enumerate(recalls)]
+        return spark.createDataFrame(told, "category string, recall double, path string")
     fitted, found = learners.train_per_category(items, category, text, trainer, features, kind, categories)
     fitted.write().overwrite().save(f"{path}/features")
     rows = []
@@ -136,10 +137,15 @@ def score_with_model(
 ) -> DataFrame:
     """Items scored with one saved category model; the confident ones are appended to ``sink``, which is returned.
 
-    ``path`` holds the features, ``model_path`` the model.
+    ``path`` holds the features, ``model_path`` is what :func:`train_node_models` says: of models fitted
+    together the number of the category comes after a ``#``.
     """
-    features = PipelineModel.load(f"{path}/features")
-    model, meta = load_model(spark, model_path)
-    named = items.withColumnRenamed(text, meta["text"])
-    write_predictions(_told(learners.score(model, features.transform(named), meta["text"]), meta["text"], F.lit(meta["category"]), cut), sink)
+    place, _, code = model_path.partition("#")
+    model, meta = load_model(spark, place)
+    vectors = PipelineModel.load(f"{path}/features").transform(items.withColumnRenamed(text, meta["text"]))
+    if code:
+        told = _told(model.stages[-1].only(int(code)).transform(vectors), meta["text"], F.col("category"), cut)
+    else:
+        told = _told(learners.score(model, vectors, meta["text"]), meta["text"], F.lit(meta["category"]), cut)
+    write_predictions(told, sink)
     return spark.read.schema(TOLD).parquet(sink)
