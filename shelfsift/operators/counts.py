@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfsift.functions.text import term_runs, tokens_replace
+from shelfsift.operators.joins import broadcast_small
 from shelfsift.session import stage
 
 
@@ -26,26 +28,21 @@ def token_frequencies(df: DataFrame, text: str) -> DataFrame:
     )
 
 
-def _subsets(tokens: Column, size: int) -> Column:
-    """The token sets of all ``size``-element position choices of one row, sorted, without repeats."""
+def _choices(n: Column, k: int) -> Column:
+    """Ways to choose ``k`` of ``n`` places."""
+    ways = F.lit(1.0)
+    for i in range(k):
+        ways = ways * F.greatest(n - i, F.lit(0)) / (i + 1)
+    return ways
 
-    def grow(chosen: list[Column], left: int, start: Column) -> Column:
-        last = F.size(tokens) - (left - 1)
-        span = F.slice(
-            F.transform(
-                F.sequence(start, F.greatest(last, start)),
-                lambda i: (
-                    F.array(F.array_sort(F.array_distinct(F.array(*chosen, F.element_at(tokens, i)))))
-                    if left == 1
-                    else grow([*chosen, F.element_at(tokens, i)], left - 1, i + 1)
-                ),
-            ),
-            F.lit(1),
-            F.greatest(last - start + 1, F.lit(0)),
-        )
-        return F.flatten(span)
 
-    return F.when(F.size(tokens) >= size, grow([], size, F.lit(1)))
+def _covering(k: int) -> float:
+    """The greatest part of all n^k that choosing ``k`` places from tokens of n places each, some of every token, can be.
+
+    For d tokens it is at most the number of ways to deal k things to d heaps, none empty, divided by k!.
+    """
+    heaps = lambda d: sum((-1) ** i * math.comb(d, i) * (d - i) ** k for i in range(d + 1))
+    return max(heaps(d) for d in range(k + 1)) / math.factorial(k)
 
 
 def itemsets(
@@ -54,19 +51,57 @@ def itemsets(
     """Support of token sets met when choosing ``sizes`` positions of each row.
 
     Repeated tokens count as often as they are chosen. The denominator is the number of all rows,
-    also of those too short to be counted.
+    also of those too short to be counted. Rows without a token of their own (null, empty) only count there;
+    an empty table has no sets.
+
+    No row lists its choices. What a row gives a set of tokens that occur m1, m2, ... times in it is a
+    coefficient of ((1 + x)^m1 - 1) ((1 + x)^m2 - 1) ..., kept up to the largest size. A set can grow into nothing that gets
+    more from a row than its own coefficients times those of the fittest further tokens, each as frequent as the row's
+    most frequent one. Where the sum of these bounds stays below the support, the set and all that hold it are
+    dropped; the others meet, two of a row that differ in their last token alone, to make the next level.
+    Counts are exact up to 2^53.
     """
-    tokens = F.col("_tokens")
+    largest = max(sizes)
     rows = df.select(tokens_replace(F.lower(text)).alias("_tokens"))
-    kept = rows.where(F.size(tokens) >= max(min_row_tokens, min(sizes)))
-    empty = F.array().cast("array<array<string>>")
-    chosen = F.concat(*[F.coalesce(_subsets(tokens, k), empty) for k in sizes])
-    counts = kept.select(F.explode(chosen).alias("items")).groupBy("items").agg(F.count(F.lit(1)).alias("hits"))
-    total = rows.agg(F.count(F.lit(1)).cast("double")).scalar()
+    total = rows.agg(F.count(F.lit(1)).cast("double")).first()[0]
+    least = min_support * total * (1 - 1e-9)
+    kept = rows.where(F.size("_tokens") >= max(min_row_tokens, min(sizes))).select(
+        F.monotonically_increasing_id().alias("_row"), term_runs("_tokens").alias("_runs"))
+    # What one way to choose j places may still become. Further tokens that occur once each can only be taken whole.
+    often = F.col("_m")
+    more = F.when(often == 1, F.array(*[F.lit(1.0) for _ in range(1, largest + 1)])).otherwise(
+        F.array(*[sum((_covering(k - j) * F.pow(often, F.lit(k - j)) for k in sizes if k >= j), F.lit(0.0)) for j in range(1, largest + 1)]))
+    single = kept.select("_row", F.array_max(F.transform("_runs", lambda r: r["n"])).alias("_m"), F.explode("_runs").alias("_t")).select(
+        "_row", F.array(F.col("_t.token")).alias("items"), F.array(*[_choices(F.col("_t.n"), j) for j in range(1, largest + 1)]).alias("_p"),
+        more.alias("_more"))
+    # Coefficient j is at place j - 1.
+    at = lambda values, j: F.element_at(values, j)
+    grown = single.withColumn("_c", F.col("_p"))
+    found = None
+    for level in range(1, largest + 1):
+        grown = stage(grown)
+        sums = stage(
+            grown.groupBy("items").agg(
+                F.sum(sum(at("_p", k) for k in sizes)).alias("_hits"),
+                F.sum(sum(at("_p", j) * at("_more", j) for j in range(level, largest + 1))).alias("_most"))
+            .where(F.col("_most") >= least))
+        here = sums.where(F.col("_hits") > 0).select("items", "_hits")
+        found = here if found is None else found.unionByName(here)
+        if level == largest or sums.isEmpty():
+            break
+        names = broadcast_small(sums.select("items", F.array_join("items", " ").alias("_name"))).drop("_name")
+        open_ = grown.join(names, "items", "left_semi")
+        first = open_.select("_row", "_more", "items", "_p", F.slice("items", 1, level - 1).alias("_head"))
+        second = open_.select("_row", F.slice("items", 1, level - 1).alias("_head"), F.element_at("items", -1).alias("_last"), "_c")
+        grown = first.join(second, ["_row", "_head"]).where(F.element_at("items", -1) < F.col("_last")).select(
+            "_row", F.array_append("items", F.col("_last")).alias("items"),
+            F.array(*[
+                sum((at("_p", i) * at("_c", j - i) for i in range(1, j)), F.lit(0.0)) for j in range(1, largest + 1)]).alias("_p"),
+            "_more", "_c")
     return (
-        counts.withColumn("support", F.col("hits") / total)
+        found.withColumn("support", F.col("_hits") / total)
         .where(F.col("support").between(min_support, max_support))
-        .select(F.array_join("items", " ").alias("items"), "hits", "support")
+        .select(F.array_join("items", " ").alias("items"), F.col("_hits").cast("bigint").alias("hits"), "support")
     )
 
 

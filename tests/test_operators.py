@@ -152,6 +152,32 @@ def test_itemsets(spark):
     assert {r["items"]: r["hits"] for r in counts.itemsets_all(every, "t", 0.0).collect()} == expected
 
 
+@pytest.mark.parametrize("sizes, support, shortest", [((3, 4), 0.0, 0), ((1, 2), 0.1, 0), ((2, 4), 0.3, 3), ((3,), 0.5, 5)])
+def test_itemsets_equal_listing(spark, sizes, support, shortest):
+    rng = random.Random(len(sizes) + shortest)
+    texts = [" ".join(rng.choice("aabbbcdefg") for _ in range(rng.randint(0, 9))) for _ in range(40)] + [None]
+    expected = {}
+    for t in texts:
+        words = (t or "").split()
+        if len(words) < max(shortest, min(sizes)):
+            continue
+        for size in sizes:
+            for chosen in itertools.combinations(words, size):
+                key = " ".join(sorted(set(chosen)))
+                expected[key] = expected.get(key, 0) + 1
+    expected = {k: n for k, n in expected.items() if n / len(texts) >= support}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r["items"]: r["hits"] for r in counts.itemsets(rows, "t", sizes, support, 1e9, shortest).collect()} == expected
+    assert counts.itemsets(rows.limit(0), "t", sizes, support, 1e9, shortest).collect() == []
+
+
+def test_itemsets_of_a_row_of_200_tokens(spark):
+    """Its 64,684,950 choices of four are never listed."""
+    rows = spark.createDataFrame([(" ".join(f"t{i}" for i in range(200)),)] + [("t1 t2 t2 t3",)] * 30, "t string")
+    got = {r["items"]: r["hits"] for r in counts.itemsets(rows, "t", (3, 4), 0.5, 100.0).collect()}
+    assert got == {"t1 t2": 30, "t2 t3": 30, "t1 t2 t3": 2 * 30 + 30 + 1}
+
+
 def test_truncated_items_example(spark):
     df = spark.createDataFrame([(1, "c", "red bolt"), (2, "c", "red bolt 5mm"), (3, "c", "red bolt"), (4, "d", "red")], "id int, c string, t string")
     assert [r["id"] for r in truncation.truncated_items(df, "c", "t", "id").orderBy("id").collect()] == [1, 3]
