@@ -1,5 +1,9 @@
 """Files, models, warehouse options and streams."""
 
+import os
+
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
@@ -102,6 +106,63 @@ def test_streamed_counts_equal_batch_counts(spark, tmp_path):
     assert found == {("x", "a"): 3, ("x", "b"): 1, ("x", "c"): 1, ("y", "b"): 1}
 
 
+def _arrive(spark, folder, numbers):
+    """One small file per number; its texts hold a token of their own and common ones."""
+    os.makedirs(folder)
+    for i in numbers:
+        pq.write_table(pa.table({"t": [f"a t{i} a", "b", None], "c": ["x", "y", "y"]}), f"{folder}/{i}.parquet")
+
+
+def _counted(spark, sink):
+    return {(r["class"], r["token"]): r["n_wc"] for r in tables.token_counts(spark, sink).collect()}
+
+
+def _expected(n):
+    return {("x", "a"): 2 * n, ("y", "b"): n, **{("x", f"t{i}"): 1 for i in range(n)}}
+
+
+def test_lost_batches_and_progress_count_once_in_few_folders(spark, tmp_path, monkeypatch):
+    arriving, sink, progress = (str(tmp_path / n) for n in ("in", "sink", "progress"))
+    _arrive(spark, arriving, range(50))
+    swap, calls = tables.CountFolders.swap, []
+
+    def crash(self, version, folders):
+        calls.append(version)
+        if len(calls) in (4, 20):  # the first of them between a merge and its swap
+            raise RuntimeError("lost")
+        swap(self, version, folders)
+
+    monkeypatch.setattr(tables.CountFolders, "swap", crash)
+    for attempt in range(3):
+        # The third run has lost its progress, and reads all files again under other batch numbers.
+        stream = tables.read_arriving(spark, arriving, spark.read.parquet(arriving).schema, files=2 if attempt < 2 else 7)
+        started = tables.stream_token_counts(stream, "t", "c", sink, progress if attempt < 2 else f"{progress}-new", fan=3)
+        if attempt < 2:
+            with pytest.raises(Exception, match="lost"):
+                started.awaitTermination()
+        else:
+            started.awaitTermination()
+    folders = tables.CountFolders(spark, sink)
+    assert len(calls) > 20 and len(folders.in_use()) <= 3 * 2
+    assert _counted(spark, sink) == _expected(50)
+    assert sorted(r["n"] for r in folders.read(folders.in_use(), "files", tables.FILES).groupBy("file").count().toDF("f", "n").collect()) == [1] * 50
+    retired = [f for f, n in folders.manifest()[1] if n == tables.RETIRED]
+    assert len(retired) in (0, 3)
+
+
+def test_a_broken_manifest_leaves_the_one_before(spark, tmp_path):
+    arriving, sink = str(tmp_path / "in"), str(tmp_path / "sink")
+    assert _counted(spark, sink) == {}
+    _arrive(spark, arriving, range(3))
+    stream = tables.read_arriving(spark, arriving, spark.read.parquet(arriving).schema, files=1)
+    tables.stream_token_counts(stream, "t", "c", sink, str(tmp_path / "p")).awaitTermination()
+    folders = tables.CountFolders(spark, sink)
+    version, listed = folders.manifest()
+    # A crash while the next one is written leaves its place without rows.
+    spark.createDataFrame([], tables.MANIFEST).write.mode("overwrite").parquet(f"{sink}/manifest-{(version + 1) % 2}")
+    assert folders.manifest() == (version, listed) and _counted(spark, sink) == _expected(3)
+
+
 def test_streamed_scores(spark, tmp_path):
     arriving, sink = str(tmp_path / "in"), str(tmp_path / "sink")
     rows = spark.range(10).withColumn("probability", F.col("id") / 10)
