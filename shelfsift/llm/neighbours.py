@@ -1,19 +1,26 @@
-"""Approximate nearest neighbours: vantage-point trees per shard and band of lengths, pruned by the triangle inequality."""
+"""Approximate nearest neighbours: vantage-point trees per shard and band of lengths, pruned by the triangle inequality.
+
+Shards are cells of vectors around pivots. A first search in one shard bounds the rest: cells beyond the bound are skipped whole.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfsift.operators.joins import broadcast_small
 from shelfsift.session import stage
 
 LEAF = 128
-SHARD = 16_384  # vectors per shard
+SHARD = 4_096  # vectors per shard, on average
+MOST_PIVOTS = 16_384  # vectors picked as pivots; cells of more than SHARD vectors are cut into shards
 BLOCK = 2_048  # queries searched together
+ASKED = 16_384  # queries for which a shard's trees are built once
 PAIRS = 1 << 16  # products taken exactly at once
 BAND = 1.1  # lengths in one tree differ by this factor at most
 SLACK = 1e-7  # what rounding may add to a distance or product between vectors of length 1
@@ -101,16 +108,16 @@ class Tree:
 class Asked:
     """Queries and the ``k`` best found for each so far, the best first, by product and then by id."""
 
-    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
-        self.ids, self.queries = ids, queries
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int, floors: np.ndarray):
+        self.ids, self.queries, self.floors = ids, queries, floors
         self.lengths = np.sqrt((queries**2).sum(axis=1))
         self.units = queries / self.lengths[:, None]
         self.scores = np.full((len(queries), k), -np.inf)
         self.found = np.full((len(queries), k), NONE)
 
     def worst(self, active: np.ndarray | slice = slice(None)) -> np.ndarray:
-        """The k-th score of a query divided by the query's length."""
-        return self.scores[active, -1] / self.lengths[active]
+        """The k-th score of a query, at least its floor, divided by the query's length."""
+        return np.maximum(self.scores[active, -1], self.floors[active]) / self.lengths[active]
 
     def offer(self, active: np.ndarray, rows: np.ndarray, places: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
         """``places`` of ``vectors`` for the queries ``active[rows]``; ``rows`` rise."""
@@ -138,64 +145,155 @@ class Shard:
             self.trees.append(Tree(ids, vectors, lengths, order[at:end]))
             at = end
 
-    def search(self, ids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the ``k`` nearest of each query but itself, score -inf where there are fewer."""
-        asked = Asked(ids, queries, k)
+    def search(self, ids: np.ndarray, queries: np.ndarray, k: int, factor: float, floors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the ``k`` nearest of each query but itself, score -inf where there are fewer; those below the floor may be left out."""
+        asked = Asked(ids, queries, k, floors)
         for tree in self.trees:
             tree.search(asked, factor)
         return asked.found, asked.scores
 
 
+class Cells:
+    """Pivots of length 1 with the farthest direction, the longest vector and the number of shards of each cell."""
+
+    def __init__(self, pivots: np.ndarray):
+        self.pivots = pivots
+        self.radius, self.longest, self.shards = (np.zeros(len(pivots)) for _ in range(3))
+
+    def distances(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(distances of the directions to all pivots, lengths)."""
+        lengths = np.sqrt((vectors**2).sum(axis=1))
+        return np.sqrt(np.maximum(2 - 2 * ((vectors / lengths[:, None]) @ self.pivots.T), 0)), lengths
+
+    def home(self, distance: np.ndarray) -> np.ndarray:
+        return np.where(self.shards > 0, distance, np.inf).argmin(axis=1)
+
+    def reached(self, vectors: np.ndarray, floors: np.ndarray, factor: float) -> list[list[int]]:
+        """The cells that may hold a vector better than the floor, and the home cell."""
+        distance, lengths = self.distances(vectors)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cosine = np.where(self.shards > 0, (floors / lengths)[:, None] / self.longest, np.inf)
+        # A better vector's direction is nearer than this; below a floor of 0 short vectors may be anywhere.
+        within = np.where(cosine >= 0, np.sqrt(np.maximum(2 - 2 * cosine, 0)), 2.0)
+        hit = (cosine <= 1 + SLACK) & (distance - self.radius <= within / factor + 4 * np.sqrt(SLACK))
+        hit[np.arange(len(hit)), self.home(distance)] = True
+        return [np.flatnonzero(row).tolist() for row in hit & (self.shards > 0)]
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     rows = column.to_pylist()
     return np.array(rows, np.float64).reshape(len(rows), -1)
 
 
+def _vectors(column: pd.Series) -> np.ndarray:
+    return np.array(column.tolist(), np.float64).reshape(len(column), -1)
+
+
+def _search(trees: DataFrame, shards: int, visits: DataFrame, k: int, factor: float, floors_only: bool) -> DataFrame:
+    """The k best in the shard of each visit; or just the k-th score.
+
+    A shard goes out once for every ASKED queries that visit it (and often enough to give all cores work); its queries follow it, sorted,
+    through one task, which holds one shard and one Arrow batch of queries at a time.
+    """
+    shard = ["_cell", "_tile"]
+    least = -(-2 * trees.sparkSession.sparkContext.defaultParallelism // shards)
+    parts = stage(visits.groupBy(*shard).agg(F.greatest(F.ceil(F.count(F.lit(1)) / ASKED), F.lit(least)).cast("int").alias("_parts")))
+    groups = parts.agg(F.sum("_parts")).first()[0] or 1
+    parts = broadcast_small(parts)
+    have = trees.join(parts, shard).select(
+        *shard, F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), F.lit(0).alias("_kind"), "_ids", "_vectors")
+    ask = visits.join(parts, shard).select(
+        *shard, F.pmod(F.xxhash64("_row"), F.col("_parts")).cast("int").alias("_part"), F.lit(1).alias("_kind"), "_row", "_id", "_v", "_floor")
+    keys = [*shard, "_part"]
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees_of = None
+        for batch in source:
+            kind = batch.column("_kind").to_numpy()
+            heads = np.flatnonzero(kind == 0)
+            for start, end in zip(np.r_[0, heads], np.r_[heads, len(kind)]):
+                if start < end and kind[start] == 0:
+                    row = batch.slice(int(start), 1)
+                    trees_of = Shard(row.column("_ids").flatten().to_numpy(), _matrix(row.column("_vectors").flatten()))
+                    start += 1
+                for at in range(int(start), int(end), BLOCK):
+                    some = batch.slice(at, min(BLOCK, int(end) - at))
+                    own, rows = some.column("_id").to_numpy(), some.column("_row").to_numpy()
+                    ids, scores = trees_of.search(own, _matrix(some.column("_v")), k, factor, some.column("_floor").to_numpy())
+                    if floors_only:
+                        yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(scores[:, -1])], ["_row", "_floor"])
+                        continue
+                    has = scores > -np.inf
+                    wide = [np.repeat(x, k).reshape(ids.shape)[has] for x in (rows, own)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*wide, ids[has], scores[has])], ["_row", "query_id", "_found", "score"])
+
+    met = have.unionByName(ask, allowMissingColumns=True).repartition(int(groups), *keys).sortWithinPartitions(*keys, "_kind")
+    return met.mapInArrow(batches, "_row long, _floor double" if floors_only else "_row long, query_id long, _found long, score double")
+
+
 def nearest(
     vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float = 1.0, key: str = "vec_id", vector: str = "embedding",
 ) -> DataFrame:
     """(query_id, rank, key, score): the ``k`` rows of ``vectors`` with the largest inner product for each query but itself.
 
-    A subtree is skipped where the triangle inequality puts it beyond the distance within which a vector
+    A cell or a subtree is skipped where the triangle inequality puts it beyond the distance within which a vector
     of its lengths could beat the k-th, divided by ``factor``: 1 gives exact results, more prunes more.
     Vectors of like lengths share a tree, so one that is far longer than the rest changes nothing for them. Ties go to the smaller key. Vectors that are
     null, empty, zero, or hold null or non-finite components take no part, nor do rows without a key;
     fewer candidates than ``k`` give fewer rows; empty tables give none. All vectors must have one length.
-    Rows with the same key are one candidate each, and none of them one for a query of that key.
+    Rows with the same key are one candidate each, and none of them one for a query of that key; each query row gets its own results.
 
-    Shards of about SHARD vectors are dealt by a hash of the key, so a cluster of any size spreads over
-    all of them. Every block of queries meets every shard once; each pair is one row of work, and leaves
-    ``k`` rows per query.
+    Every vector belongs to the cell of its nearest pivot by direction; pivots are a sample by hash, one in SHARD and
+    MOST_PIVOTS at most. A cell of any size, a cluster of a third of all rows among them, is dealt into shards by a hash of the key. Each query
+    searches one shard of its own cell first; the k-th product there is a floor for the second search, which it takes to the shards of
+    all cells within reach. Queries travel, trees stay.
     """
-    rows = stage(vectors.where(usable(vector) & F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("_id"), F.col(vector).cast("array<double>").alias("_v")))
-    wanted = stage(queries.where(usable(vector) & F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("_id"), F.col(vector).cast("array<double>").alias("_v")))
-    shards = max(1, -(-rows.count() // SHARD))
-    blocks = max(1, -(-wanted.count() // BLOCK))
-
-    def packed(df: DataFrame, into: str, n: int, names: tuple[str, str]) -> DataFrame:
-        dealt = df.withColumn(into, F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(n)).cast("int"))
-        return dealt.groupBy(into).agg(F.sort_array(F.collect_list(F.struct("_id", "_v"))).alias("_rows")).select(
-            into, F.col("_rows._id").alias(names[0]), F.col("_rows._v").alias(names[1]))
-
-    trees = stage(packed(rows, "_shard", shards, ("_ids", "_vectors")))
-    asked = packed(wanted, "_block", blocks, ("_queries", "_asked")).withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-
-    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, trees_of = None, None
-        for batch in source:
-            for at in range(batch.num_rows):
-                row = batch.slice(at, 1)
-                if row.column("_shard")[0].as_py() != shard:
-                    shard = row.column("_shard")[0].as_py()
-                    trees_of = Shard(row.column("_ids").flatten().to_numpy(), _matrix(row.column("_vectors").flatten()))
-                own = row.column("_queries").flatten().to_numpy()
-                ids, scores = trees_of.search(own, _matrix(row.column("_asked").flatten()), k, factor)
-                has = scores > -np.inf
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(own, k).reshape(ids.shape)[has]), pa.array(ids[has]), pa.array(scores[has])], ["query_id", "_found", "score"])
-
-    met = trees.join(asked, "_shard").select("_shard", "_ids", "_vectors", "_queries", "_asked").repartition(F.col("_shard"), F.xxhash64("_queries")).sortWithinPartitions("_shard")
-    found = met.mapInArrow(batches, "query_id long, _found long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "_found")
+    def taken(df: DataFrame) -> DataFrame:
+        return df.where(usable(vector) & F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("_id"), F.col(vector).cast("array<double>").alias("_v"))
+
+    rows = stage(taken(vectors))
+    wanted = stage(taken(queries).withColumn("_row", F.monotonically_increasing_id()))
+    count = min(MOST_PIVOTS, -(-rows.count() // SHARD))
+    if count == 0:
+        return wanted.limit(0).select(F.col("_id").alias("query_id"), F.lit(0).alias("rank"), F.col("_id").alias(key), F.lit(0.0).alias("score"))
+    picked = np.array([r["_v"] for r in rows.orderBy(F.xxhash64("_id", F.lit(11)), "_id").limit(count).collect()], np.float64)
+    cells = Cells(picked / np.sqrt((picked**2).sum(axis=1))[:, None])
+
+    @F.pandas_udf("struct<_cell:int,_away:double,_length:double>")
+    def place(v: pd.Series) -> pd.DataFrame:
+        distance, lengths = cells.distances(_vectors(v))
+        cell = distance.argmin(axis=1)
+        return pd.DataFrame({"_cell": cell.astype("int32"), "_away": distance[np.arange(len(cell)), cell], "_length": lengths})
+
+    placed = stage(rows.select("_id", "_v", place("_v").alias("_p")).select("_id", "_v", "_p.*"))
+    for r in placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_away").alias("far"), F.max("_length").alias("long")).collect():
+        at = r["_cell"]
+        cells.shards[at], cells.radius[at], cells.longest[at] = -(-r["n"] // SHARD), r["far"], r["long"]
+    tiles = F.broadcast(rows.sparkSession.createDataFrame([(c, int(n)) for c, n in enumerate(cells.shards) if n], "_cell int, _tiles int"))
+
+    def tile(id: str) -> Column:
+        return F.pmod(F.xxhash64(id, F.lit(7)), F.col("_tiles")).cast("int").alias("_tile")
+
+    trees = placed.join(tiles, "_cell").select("_cell", tile("_id"), "_id", "_v").groupBy("_cell", "_tile").agg(
+        F.sort_array(F.collect_list(F.struct("_id", "_v"))).alias("_rows"))
+    trees = stage(trees.select("_cell", "_tile", F.col("_rows._id").alias("_ids"), F.col("_rows._v").alias("_vectors")))
+    shards = int(cells.shards.sum())
+
+    @F.pandas_udf("int")
+    def home(v: pd.Series) -> pd.Series:
+        return pd.Series(cells.home(cells.distances(_vectors(v))[0]).astype("int32"))
+
+    @F.pandas_udf("array<int>")
+    def reached(v: pd.Series, floors: pd.Series) -> pd.Series:
+        return pd.Series(cells.reached(_vectors(v), floors.to_numpy(), factor))
+
+    lowest = F.lit(float("-inf"))
+    first = wanted.withColumn("_cell", home("_v")).join(tiles, "_cell").select("_cell", tile("_row"), "_row", "_id", "_v", lowest.alias("_floor"))
+    floors = _search(trees, shards, first, k, factor, True)
+    bounded = stage(wanted.join(floors, "_row"))
+    visits = bounded.withColumn("_cell", F.explode(reached("_v", "_floor"))).join(tiles, "_cell").select(
+        "_cell", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)).alias("_tile"), "_row", "_id", "_v", "_floor")
+    found = _search(trees, shards, visits, k, factor, False)
+    order = Window.partitionBy("_row").orderBy(F.desc("score"), "_found")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
         "query_id", "rank", F.col("_found").alias(key), "score")
