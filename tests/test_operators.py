@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from shelfsift.functions import distances
-from shelfsift.operators import bayes, components, counts, neighbours, prep, ranks, similarity, truncation
+from shelfsift.operators import bayes, components, counts, neighbours, pivots, prep, ranks, similarity, truncation
 from shelfsift.operators import sequences as sq
 from shelfsift.operators.joins import skew_join
 from shelfsift.plans import jobs
@@ -283,6 +283,7 @@ def _points(n, seed, clustered):
 @pytest.mark.parametrize("clustered", [True, False])
 def test_vector_pairs_equal_brute_force(spark, monkeypatch, clustered):
     monkeypatch.setattr(neighbours, "TILE", 40)
+    monkeypatch.setattr(pivots, "CELL", 100)
     data = _points(300, 1, clustered)
     df = spark.createDataFrame(data, "id bigint, v array<double>")
     m = np.array([v for _, v in data])
@@ -296,6 +297,7 @@ def test_vector_pairs_equal_brute_force(spark, monkeypatch, clustered):
 @pytest.mark.parametrize("clustered", [True, False])
 def test_nearest_equals_brute_force(spark, monkeypatch, clustered):
     monkeypatch.setattr(neighbours, "TILE", 40)
+    monkeypatch.setattr(pivots, "CELL", 100)
     train, test = _points(300, 2, clustered), _points(50, 3, clustered)
     schema = "id bigint, v array<double>"
     got = {}
