@@ -78,20 +78,3 @@ def test_fewer_rows_than_asked_and_empty_tables(spark, monkeypatch):
     assert neighbours.nearest(none, some, "id", "v", 3).count() == 0
     assert neighbours.nearest(some, none, "id", "v", 3).count() == 0
     assert neighbours.vector_pairs(none, "id", "v", 0.5).count() == 0
-
-
-def test_share_of_leaves_visited_falls_with_the_rows(spark, monkeypatch):
-    small(monkeypatch, cell=40, fan=32, piece=2000)
-    shares = []
-    for n in (300, 1200):
-        placed, levels, leaves = pivots.grown(frame(spark, clusters(n, 5, centres=n // 20, spread=0.01)))
-        seen = pivots.visits(placed.selectExpr("_id", "_vec", "0.1D AS _r"), levels).count()
-        shares.append(seen / (n * leaves.count()))
-    assert shares[1] < shares[0] / 2
-
-
-def test_recall_of_the_approximate_form(spark):
-    df = frame(spark, clusters(600, 6), "id bigint, v array<double>")
-    exact = {(r["id_a"], r["id_b"]) for r in neighbours.vector_pairs(df, "id", "v", 0.95).collect()}
-    found = {(r["id_a"], r["id_b"]) for r in neighbours.vector_pairs_lsh(df, "id", "v", 0.95).collect()}
-    assert found <= exact and len(found) >= 0.9 * len(exact)
