@@ -39,5 +39,5 @@ def stream_score(spark: SparkSession, folder: str) -> DataFrame:
     tables.stream_score(
         stream, lambda batch: scorer.predict(batch, "turn_id", "text"), sink, scratch_path(spark, "scored-progress")
     ).awaitTermination()
-    scored = spark.read.schema("turn_id bigint, predicted_category string, probability double, batch int").parquet(sink)
+    scored = tables.scored_rows(spark, sink, "turn_id bigint, predicted_category string, probability double")
     return scored.select("turn_id", "predicted_category", F.round("probability", 6).alias("probability"))

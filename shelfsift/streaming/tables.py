@@ -28,10 +28,15 @@ MANIFEST = "version bigint, folder string, level int"
 
 
 def read_arriving(spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*.parquet", files: int = 1000) -> DataFrame:
-    """Parquet files as they appear in a folder, at most ``files`` per micro-batch."""
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files).parquet(folder)
-    )
+    """Parquet files as they appear in a folder, at most ``files`` per micro-batch.
+
+    A plain name in place of a pattern is one table there: a file, or the files of a folder of that name. The braces
+    make it a pattern of paths, which may match nothing at first.
+    """
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
+    if any(c in pattern for c in "*?[{"):
+        return reader.option("pathGlobFilter", pattern).parquet(folder)
+    return reader.parquet(f"{folder.rstrip('/')}/{{{pattern}}}")
 
 
 def _each_batch(stream: DataFrame, work: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, once: bool) -> StreamingQuery:
@@ -174,3 +179,13 @@ def stream_score(
 ) -> StreamingQuery:
     """Score arriving rows and append the confident ones."""
     return _each_batch(stream, lambda batch: confident(scorer(batch), prob, cut), sink, checkpoint, once)
+
+
+def scored_rows(spark: SparkSession, sink: str, schema: str) -> DataFrame:
+    """The rows of all batches so far; none where no batch has come."""
+    try:
+        return spark.read.schema(f"{schema}, batch int").parquet(sink)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], f"{schema}, batch int")

@@ -172,6 +172,23 @@ def test_streamed_scores(spark, tmp_path):
     assert sorted(r["id"] for r in spark.read.parquet(sink).collect()) == [7, 8, 9]
 
 
+@pytest.mark.parametrize("kind", ["file", "folder", "missing"])
+def test_a_table_arrives_as_a_file_or_as_a_folder(spark, tmp_path, kind):
+    os.makedirs(tmp_path / "in")
+    at = tmp_path / "in" / "rows.parquet"
+    if kind == "folder":
+        _arrive(spark, str(at), range(3))
+    elif kind == "file":
+        pq.write_table(pa.table({"t": ["a t0 a", "b", None], "c": ["x", "y", "y"]}), at)
+    _arrive(spark, str(tmp_path / "in" / "other.parquet"), range(5))
+    n = {"file": 1, "folder": 3, "missing": 0}[kind]
+    stream = tables.read_arriving(spark, str(tmp_path / "in"), "t string, c string", "rows.parquet")
+    tables.stream_token_counts(stream, "t", "c", str(tmp_path / "counts"), str(tmp_path / "p")).awaitTermination()
+    assert _counted(spark, str(tmp_path / "counts")) == (_expected(n) if n else {})
+    tables.stream_score(stream.withColumn("probability", F.lit(1.0)), lambda b: b, str(tmp_path / "scored"), str(tmp_path / "q")).awaitTermination()
+    assert tables.scored_rows(spark, str(tmp_path / "scored"), "t string, c string, probability double").count() == 3 * n
+
+
 def test_shared_folder_is_set(spark):
     assert shared_dir(spark) and spark.sparkContext.getCheckpointDir()
 
