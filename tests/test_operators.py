@@ -342,6 +342,23 @@ def test_similar_texts_equal_brute_force(spark):
         if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.5}
 
 
+def test_short_texts_meet_by_several_tokens(spark, monkeypatch):
+    data = [f"b{i} s{j} c{k} d{m} t" for i in range(6) for j in range(6) for k in range(6) for m in range(6)]
+    df = spark.createDataFrame(list(enumerate([*data, "b1 s1", " ".join(f"b{i % 6} x{i}" for i in range(40))])), "id bigint, t string")
+    met, pairs = [], similarity.self_pairs
+
+    def counted(*args):
+        met.append(pairs(*args))
+        return met[-1]
+
+    monkeypatch.setattr(similarity, "self_pairs", counted)
+    got = [(r["id_a"], r["id_b"]) for r in similarity.jaccard_pairs(df, "id", F.split("_text", " "), "t", 0.6).collect()]
+    n = len(data)
+    # Texts that differ in one token, 20 for each.
+    assert len(got) == len(set(got)) == n * 20 // 2 and all(len(set(data[a].split()) & set(data[b].split())) == 4 for a, b in got)
+    assert sum(m.count() for m in met) <= 3 * len(got)
+
+
 def test_spread_leaves_wide_inputs_alone(spark):
     cores = spark.sparkContext.defaultParallelism
     assert spread(spark.range(100).coalesce(1)).rdd.getNumPartitions() == cores
