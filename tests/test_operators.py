@@ -442,3 +442,28 @@ def test_wanted_text_is_taken_literally(spark):
     assert [r[0] for r in prep.label_contains(rows, "label", "100%").collect()] == ["100% wool"]
     assert [r[0] for r in prep.label_contains(rows, "label", "A_B").collect()] == ["a_b"]
     assert [r[0] for r in prep.label_contains(rows, "label", "\\").collect()] == ["c\\d"]
+
+
+@pytest.mark.parametrize("block, pooled", [(1 << 16, 1 << 14), (2, 3)])
+def test_pooled_vectors_in_blocks(spark, monkeypatch, block, pooled):
+    monkeypatch.setattr(neighbours, "BLOCK", block)
+    monkeypatch.setattr(neighbours, "POOLED", pooled)
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(12)]
+    texts = [(i % 25 or None, [rng.choice(words) for _ in range(rng.randint(0, 9))]) for i in range(40)] + [(99, ["unknown"]), (98, None)]
+    vectors = [(w, [rng.gauss(0, 1), -1.0 - i]) for i, w in enumerate([*words[:8], "w1", "w1"])]  # one word has three
+    df = spark.createDataFrame(texts, "id bigint, t array<string>")
+    vecs = spark.createDataFrame([*vectors, ("w2", None)], "w string, v array<float>")
+    known = {r["w"]: [] for r in vecs.collect()}
+    for r in vecs.where("v IS NOT NULL").collect():
+        known[r["w"]].append(r["v"])
+    met = {}
+    for i, t in texts:
+        for w in t or []:
+            met.setdefault(i, []).extend(known.get(w, []))
+    want = {"mean": lambda x: sum(x) / len(x), "max": max}
+    for how, by in want.items():
+        got = {r["id"]: r["vector"] for r in neighbours.pooled_vector(df, "id", F.col("t"), vecs, "w", "v", how).collect()}
+        assert set(got) == {i for i, vs in met.items() if vs}
+        for i, v in got.items():
+            assert v == pytest.approx([by(x) for x in zip(*met[i])])
