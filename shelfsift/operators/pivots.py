@@ -1,6 +1,6 @@
 """A tree of pivots over dense vectors: cells of bounded size, however many rows there are.
 
-A cell of more than CELL rows gets up to FAN of its own vectors as pivots, and each of its rows goes to
+A cell of more than CELL rows (more in large tables, see ``cell_rows``) gets up to FAN of its own vectors as pivots, and each of its rows goes to
 the nearest; cells that are still too large are split again. So the depth grows with the logarithm of
 the rows, and a table holds the pivots of a level: one row per split cell, never all of them in the
 driver. Rows and pivots meet in units of some PIECE rows, so a cell that holds most rows is many tasks.
@@ -23,6 +23,8 @@ from shelfsift.operators.joins import broadcast_small, skew_join
 from shelfsift.session import stage
 
 CELL = 2048
+CELLS = 16  # cells of equal size beyond which larger tables get larger cells, as vectors that nothing prunes visit every cell
+LARGEST = 1 << 16  # rows of a cell at most, so that a task's memory is bounded
 FAN = 256
 PIECE = 8192
 SHRUNK = 0.75  # share of its parent's rows beyond which a cell is not split again
@@ -37,6 +39,11 @@ def _squares(m: np.ndarray, p: np.ndarray) -> np.ndarray:
     return np.maximum((m * m).sum(1)[:, None] - 2 * m @ p.T + (p * p).sum(1)[None, :], 0)
 
 
+def cell_rows(n: int) -> int:
+    """Rows of a cell of a table of ``n``: visits grow with the rows alone up to CELLS * LARGEST of them."""
+    return max(CELL, min(-(-n // CELLS), LARGEST))
+
+
 def _census(*more):
     return [F.count(F.lit(1)).alias("_n"), F.approx_count_distinct(F.xxhash64("_vec")).alias("_kinds"), *more]
 
@@ -58,9 +65,9 @@ def _dealt(rows: DataFrame, sizes: DataFrame, level: DataFrame, work: Callable,
         lambda l, r: work(l, r.iloc[0]) if len(l) and len(r) else pd.DataFrame(columns=names), schema)
 
 
-def _chosen(rows: DataFrame, split: DataFrame) -> DataFrame:
+def _chosen(rows: DataFrame, split: DataFrame, cell: int) -> DataFrame:
     """(_cell, _pivots): up to FAN different vectors of each cell to split, spread by hash; at least two of them."""
-    wanted = F.least(F.lit(FAN), F.ceil(2 * F.col("_n") / CELL))
+    wanted = F.least(F.lit(FAN), F.ceil(2 * F.col("_n") / cell))
     # Twice as many as wanted are drawn, so that only a slim part of a cell is made distinct and ranked.
     drawn = F.shiftrightunsigned(F.xxhash64("_vec"), 11) * 2.0**-53 < 2 * wanted / F.col("_kinds")
     sample = skew_join(rows, split.select("_cell", "_n", "_kinds"), ["_cell"], split, "_n").where(drawn)
@@ -91,10 +98,11 @@ def grown(rows: DataFrame) -> tuple[DataFrame, list[DataFrame], DataFrame]:
     kind = rows.schema["_id"].dataType.simpleString()
     now = rows.select("_id", "_vec", F.lit("").alias("_cell"))
     sizes = stage(now.groupBy("_cell").agg(*_census(F.lit(None).cast("long").alias("_of"))))
+    cell = cell_rows(sizes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0])
     placed, levels, leaves = [], [], []
     while True:
-        split = sizes.where((F.col("_n") > CELL) & (F.col("_kinds") > 1) & (F.col("_of").isNull() | (F.col("_n") <= SHRUNK * F.col("_of"))))
-        pivots = stage(_chosen(now, split))
+        split = sizes.where((F.col("_n") > cell) & (F.col("_kinds") > 1) & (F.col("_of").isNull() | (F.col("_n") <= SHRUNK * F.col("_of"))))
+        pivots = stage(_chosen(now, split, cell))
         rest = sizes.join(pivots.select("_cell"), "_cell", "left_anti").select("_cell", "_n")
         placed.append(skew_join(now, rest, ["_cell"], sizes, "_n").select("_id", "_vec", "_cell"))
         leaves.append(rest)

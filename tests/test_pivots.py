@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shelfsift.operators import neighbours, pivots
 from shelfsift.session import stage
@@ -78,3 +79,14 @@ def test_fewer_rows_than_asked_and_empty_tables(spark, monkeypatch):
     assert neighbours.nearest(none, some, "id", "v", 3).count() == 0
     assert neighbours.nearest(some, none, "id", "v", 3).count() == 0
     assert neighbours.vector_pairs(none, "id", "v", 0.5).count() == 0
+
+
+def test_a_larger_table_has_larger_cells(spark, monkeypatch):
+    monkeypatch.setattr(pivots, "CELL", 8)
+    rng = np.random.default_rng(6)
+    vectors = rng.normal(size=(800, 16))
+    _, levels, leaves = pivots.grown(frame(spark, vectors))
+    placed = frame(spark, vectors).withColumn("_r", F.lit(100.0))
+    # Where nothing is pruned, each row visits every cell: as many visits a row in any larger table.
+    assert pivots.visits(placed, levels).count() <= 4 * pivots.CELLS * 800
+    assert [pivots.cell_rows(n) for n in (0, 100, 1600, 1 << 40)] == [8, 8, 100, pivots.LARGEST]
