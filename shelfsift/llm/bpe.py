@@ -23,11 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Regex, normalizers, pre_tokenizers
 
+from shelfsift.llm.rows import thrifty
+
 END = "</w>"
 ENDED = b"\xff"  # stands behind the bytes of a fragment that ends its word; no UTF-8 text holds it
-MOST_CACHED = 200_000
+MOST_CACHED = 100_000
 SHORT = 40
-PIECE = 2 << 20  # bytes of text, or ids, worked on at once
+PIECE = 512 << 10  # bytes of text, or ids, worked on at once
 
 # The word pattern of this kind of vocabulary file, and Unicode's white space.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
@@ -337,7 +339,7 @@ def _run(df: DataFrame, path: str, column: str, made: dict[str, T.DataType], wor
             gc.enable()  # the worker goes on to other tasks
 
     schema = T.StructType([*(df.schema[c] for c in kept), *(T.StructField(c, kind) for c, kind in made.items())])
-    return df.mapInArrow(batches, schema)
+    return df.mapInArrow(thrifty(batches), schema)
 
 
 def _encoded(codec: Codec, texts: list[str | None]) -> tuple[pa.Array, list[array]]:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfsift.llm import naming
-from shelfsift.llm.rows import numbered, settled, with_slim
+from shelfsift.llm.rows import numbered, settled, thrifty, with_slim
 
 SLICE = 128 << 10  # units hashed at once, for the processor's caches
 BATCH = 8 << 20  # bytes whose entries are combined before they are shipped
@@ -224,7 +224,7 @@ def _phrases(texts: DataFrame, kind: Kind, buckets: int) -> DataFrame:
         return naming.per_id(np.concatenate([known["ids"], e["ids"][said]]), np.concatenate([known["places"], codes[said]]))
 
     packed = "bucket int, names binary, contexts binary, ids binary, places binary, several binary"
-    return texts.mapInArrow(parse, packed).groupBy("bucket").applyInArrow(settle, naming.PER_ID)
+    return texts.mapInArrow(thrifty(parse), packed).groupBy("bucket").applyInArrow(settle, naming.PER_ID)
 
 
 def _split(codes: DataFrame, kind: Kind) -> DataFrame:
@@ -295,7 +295,7 @@ def _repeats(open_: DataFrame, kind: Kind, buckets: int) -> DataFrame:
         return naming.per_id(np.concatenate([known["ids"], e["ids"][later]]), np.concatenate([known["places"], e["places"][later]]))
 
     packed = "bucket int, names binary, ids binary, places binary"
-    return open_.mapInArrow(order, packed).groupBy("bucket").applyInArrow(settle, naming.PER_ID)
+    return open_.mapInArrow(thrifty(order), packed).groupBy("bucket").applyInArrow(settle, naming.PER_ID)
 
 
 def _merged(spans: DataFrame, starts: DataFrame) -> DataFrame:

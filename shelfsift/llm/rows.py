@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import ctypes
+import gc
+from collections.abc import Callable, Iterator, Sequence
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +19,31 @@ WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 MOST_BROADCAST_BYTES = 48 << 20
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def give_back() -> None:
+    """Return what this process has freed to the system: a Python worker lives on and would keep it while other stages run."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):
+        pass  # another C library
+
+
+def thrifty(work: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``work`` on the batches of a task, that gives its memory back at the end of it."""
+    @wraps(work)
+    def run(source: Batches) -> Batches:
+        try:
+            yield from work(source)
+        finally:
+            give_back()
+
+    return run
+
+
 def positional(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     """``docs`` with columns _c0, _c1, ..., whatever they were called, and these names."""
     names = [f"_c{i}" for i in range(len(docs.columns))]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from shelfsift.llm.rows import numbered, positional
+from shelfsift.llm.rows import numbered, positional, thrifty
 from shelfsift.operators.components import connected_components
 from shelfsift.session import stage
 
@@ -47,7 +47,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
             yield pa.RecordBatch.from_arrays([batch.column("key"), found], ["key", "fingerprint"])
 
     schema = T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("fingerprint", T.LongType())])
-    return slim.mapInArrow(batches, schema).select(F.col("key").alias(key), "fingerprint")
+    return slim.mapInArrow(thrifty(batches), schema).select(F.col("key").alias(key), "fingerprint")
 
 
 def _parts(radius: int) -> int:

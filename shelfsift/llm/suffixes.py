@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 
 from shelfsift.llm import naming
 from shelfsift.llm.phrases import Kind, covered, repeated_windows
-from shelfsift.llm.rows import positional
+from shelfsift.llm.rows import positional, thrifty
 
 
 def _bytes(text: bytes) -> np.ndarray:
@@ -53,7 +53,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
     rows = repeated_windows(docs, key, text, Kind(length, _bytes, True, _as_parsed)).select("_key", "_text", "repeats")
     kind = docs.schema[key].dataType.simpleString()
-    found = rows.mapInArrow(batches, f"_key {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    found = rows.mapInArrow(thrifty(batches), f"_key {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
     return found.withColumnRenamed("_key", key)
 
 
@@ -75,4 +75,4 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
 
     others = [n for n in names if n != own]
     rows = repeated_windows(plain, names[docs.columns.index(key)], own, Kind(length, _bytes, True, _as_parsed), others).select("_text", "repeats", *others)
-    return rows.mapInArrow(batches, plain.schema).toDF(*docs.columns)
+    return rows.mapInArrow(thrifty(batches), plain.schema).toDF(*docs.columns)

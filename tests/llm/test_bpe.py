@@ -1,12 +1,13 @@
 import hashlib
 
+import pyarrow as pa
 import pytest
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from shelfsift.llm import bpe
+from shelfsift.llm import bpe, rows
 from shelfsift.llm.queries import token_digests
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -81,3 +82,22 @@ def test_edges(spark):
     again = bpe.decode(bpe.encode(docs, PATH), PATH).collect()
     assert sorted((r["doc_id"] or 0, r["decoded"]) for r in again) == sorted((r["doc_id"] or 0, r["decoded"]) for r in whole)
     assert bpe.round_trip(docs.limit(0), PATH).collect() == []
+
+
+def test_a_task_gives_its_memory_back():
+    """What a task has freed does not stay with its Python worker while later stages run."""
+    def resident() -> int:
+        with open("/proc/self/status") as f:
+            return int(next(line for line in f if line.startswith("VmRSS")).split()[1]) >> 10
+
+    top = []
+
+    def work(source):
+        texts = [bytes(1000) for _ in range(200_000)]
+        top.append(bytes(1000))  # lies above the others, so that the heap cannot shrink
+        yield from source
+        del texts
+
+    before = resident()
+    list(rows.thrifty(work)(iter([pa.record_batch({"x": [1]})])))
+    assert resident() - before < 60
