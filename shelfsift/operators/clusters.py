@@ -9,13 +9,12 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import LDA, BisectingKMeans, KMeans, KMeansModel
-from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfsift.operators.features import NO_LIMIT
+from shelfsift.operators.features import CountTokens
 from shelfsift.operators.ranks import systematic_sample
 from shelfsift.session import stage
 
@@ -76,9 +75,9 @@ def cluster_sample(df: DataFrame, cluster: str, order: Sequence[str], k: int) ->
 
 def topics(df: DataFrame, tokens: Column, k: int, iters: int = 10, vocab: int | None = None, seed: int = 1) -> PipelineModel:
     """Topic model over the counts of all tokens, unless ``vocab`` limits them, fitted online."""
-    bags = df.withColumn("_tokens", tokens)
+    bags = df.select(tokens.alias("_tokens"))
     return Pipeline(stages=[
-        CountVectorizer(inputCol="_tokens", outputCol="_bag", vocabSize=vocab or NO_LIMIT),
+        CountTokens([], ["_tokens"], "_bag", limit=vocab),
         LDA(k=k, maxIter=iters, optimizer="online", seed=seed, featuresCol="_bag", topicDistributionCol="topics"),
     ]).fit(bags)
 
@@ -89,8 +88,6 @@ def topic_words(model: PipelineModel, n: int = 10) -> DataFrame:
     described = lda.describeTopics(n)
     heaviest = described.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "t")).select(
         "topic", "rank", F.col("t.termIndices").alias("_at"), F.col("t.termWeights").alias("weight"))
-    # Only the words that are listed are looked up, k * n at most.
-    wanted = sorted({r["_at"] for r in heaviest.select("_at").distinct().collect()})
-    vocabulary = counter.vocabulary
-    words = described.sparkSession.createDataFrame([(at, vocabulary[at]) for at in wanted], "_at int, word string")
-    return heaviest.join(F.broadcast(words), "_at").select("topic", "rank", "word", "weight")
+    # k * n rows at most meet the vocabulary.
+    words = counter.vocabulary.select(F.col("place").alias("_at"), F.col("token").alias("word"))
+    return words.join(F.broadcast(heaviest), "_at").select("topic", "rank", "word", "weight")
