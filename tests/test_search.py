@@ -132,6 +132,22 @@ def test_sparse_neighbours_equal_brute_force(spark, monkeypatch, signed, cells,
     assert found(sn.sparse_nearest(known, known, k, skip_same=True)) == brute(rows, rows, k, skip_same=True)
 
 
+@pytest.mark.parametrize("skip_same", [False, True])
+def test_copies_are_searched_once(spark, monkeypatch, skip_same):
+    """Equal vectors search, and are searched, once; repeated numbers are rows of their own, as before."""
+    searched, whole = [], sn._searched
+    monkeypatch.setattr(sn, "_searched", lambda known, asked, *more: searched.append((known.count(), asked.count())) or whole(known, asked, *more))
+    few = points(spark, 11, 6)[0]
+    rows = [(i, few[i * i % 6][1], 0.0, 0) for i in range(40)]
+    known = stage(sparse_rows(spark.createDataFrame(rows, ["_no", "features", "label", "cell"]), "features", F.col("label"), F.col("cell"), "_no"))
+    different = len({r[1] for r in rows})
+    assert found(sn.sparse_nearest(known, known, 4, skip_same=skip_same)) == brute(rows, rows, 4, skip_same=skip_same)
+    assert searched == [(different, different)]
+    twice = stage(known.unionByName(known))
+    assert sn.sparse_nearest(twice, twice, 4, skip_same=skip_same).count() == 160
+    assert searched[1] == (80, 80)
+
+
 def test_contexts_are_searches_of_their_own(spark, monkeypatch):
     monkeypatch.setattr(sn, "CELLS", 50)
     rows, known = points(spark, 7, 60)
