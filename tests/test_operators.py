@@ -435,6 +435,23 @@ def test_sparse_and_dense_fourier_features_agree(spark):
     assert max(abs(x - y) for x, y in zip(a, b)) < 1e-12
 
 
+def test_rows_of_the_projection_are_made_once(monkeypatch):
+    import numpy as np
+
+    from shelfsift.operators import learners
+
+    made, plain = [], learners._fourier_rows
+    monkeypatch.setattr(learners, "_fourier_rows", lambda at, size, seed: made.extend(at.tolist()) or plain(at, size, seed))
+    monkeypatch.setattr(learners, "FOURIER_BYTES", 30 * 8 * 16)
+    texts = [np.unique(np.arange(i, i + 200, 7) % 45) for i in range(60)]
+    rows = learners._FourierRows(16, 1)
+    rows.learn(texts)
+    assert len(made) == 30
+    for t in texts:
+        assert (rows.rows(t) == plain(t, 16, 1)).all()
+    assert len(made) < 0.5 * sum(map(len, texts))
+
+
 def test_wanted_text_is_taken_literally(spark):
     from shelfsift.operators import prep
 
