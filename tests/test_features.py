@@ -44,6 +44,14 @@ def test_counts_equal_brute_force(monkeypatch, rows, most, binary, limit):
     assert not model.transform(rows).schema["features"].metadata  # Spark would list every feature there
 
 
+def test_other_columns_stay(spark):
+    """Whatever they are called."""
+    df = spark.createDataFrame([(i + 50, i + 60, t or "") for i, t in enumerate(TEXTS)], "_no int, _vector int, t string")
+    got = count_features("t").fit(df).transform(df)
+    assert got.columns == [*df.columns, "features"]
+    assert sorted((r["_no"], r["_vector"], r["t"]) for r in got.collect()) == sorted(tuple(r) for r in df.collect())
+
+
 def test_side_by_side(rows, tmp_path):
     pairs = [[f"{a} {b}" for a, b in zip(words(t), words(t)[1:])] for t in TEXTS]
     at, then = places([words(t) for t in TEXTS]), places(pairs)
