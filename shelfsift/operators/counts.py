@@ -140,11 +140,28 @@ F.aggregate(F.slice("_ns", F.col("_at") + 2, F.size("_ns")), F.lit(1.0), lambda
 
 
 def frequent_sets(df: DataFrame, text: str, min_support: float) -> DataFrame:
-    """Token sets by the share of rows that contain them (each row counted once per set)."""
-    from pyspark.ml.fpm import FPGrowth
+    """Token sets by the share of rows that contain them (each row counted once per set).
 
+    A row keeps its frequent tokens, rows with the same ones are folded into one that weighs as many. A set
+    grows inside its row by each later token, as long as it is frequent itself: only sums are shuffled.
+    """
     baskets = df.select(F.array_distinct(tokens_replace(F.lower(text))).alias("items")).where(F.size("items") > 0)
-    return FPGrowth(itemsCol="items", minSupport=min_support).fit(baskets).freqItemsets
+    numbered = baskets.select(F.monotonically_increasing_id().alias("_row"), "items")
+    rows = stage(numbered.select("_row", F.explode("items").alias("_token")))
+    least = math.ceil(min_support * rows.agg(F.count_distinct("_row")).first()[0])
+    often = stage(rows.groupBy("_token").agg(F.count(F.lit(1)).alias("freq")).where(F.col("freq") >= least))
+    kept = rows.join(broadcast_small(often.select("_token")), "_token").groupBy("_row").agg(F.sort_array(F.collect_list("_token")).alias("_rest"))
+    folded = kept.groupBy("_rest").agg(F.count(F.lit(1)).alias("_n"))
+    grown = stage(folded.select(F.array().cast("array<string>").alias("items"), "_rest", "_n"))
+    found = None
+    while True:
+        grown = stage(grown.select("items", "_rest", "_n", F.posexplode("_rest").alias("_at", "_token")).select(
+            F.array_append("items", F.col("_token")).alias("items"), F.slice("_rest", F.col("_at") + 2, F.size("_rest")).alias("_rest"), "_n"))
+        sums = stage(grown.groupBy("items").agg(F.sum("_n").alias("freq")).where(F.col("freq") >= least))
+        found = sums if found is None else found.unionByName(sums)
+        if sums.isEmpty():
+            return found
+        grown = grown.where(F.size("_rest") > 0).join(broadcast_small(sums.select("items")), "items", "left_semi")
 
 
 def crosstab_long(df: DataFrame, truth: str, pred: str, margins: bool = True) -> DataFrame:
