@@ -29,7 +29,7 @@ END = "</w>"
 ENDED = b"\xff"  # stands behind the bytes of a fragment that ends its word; no UTF-8 text holds it
 MOST_CACHED = 100_000
 SHORT = 40
-PIECE = 512 << 10  # bytes of text, or ids, worked on at once
+PIECE = 1 << 20  # bytes of text, or ids, worked on at once
 
 # The word pattern of this kind of vocabulary file, and Unicode's white space.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
