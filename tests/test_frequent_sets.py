@@ -30,8 +30,8 @@ def test_like_fp_growth(spark):
     assert {tuple(sorted(r["items"])): r["freq"] for r in got} == want and len(got) == len(want)
 
 
-def test_rows_that_are_alike_are_worked_on_once(spark):
-    """However often a row is there, its sets are grown once: the plan's folded rows do not grow with the copies."""
+def test_copies_of_a_row_count_each(spark):
+    """Folded rows weigh as many as they are."""
     df = spark.range(2000).select(F.when(F.col("id") % 2 == 0, "a b c d e f g h").otherwise("a b").alias("t"))
     found = {"".join(sorted(r["items"])): r["freq"] for r in counts.frequent_sets(df, "t", 0.5).collect()}
     assert len(found) == 255 and found["ab"] == 2000 and found["abcdefgh"] == 1000
