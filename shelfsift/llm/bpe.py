@@ -14,6 +14,7 @@ import json
 import unicodedata
 from array import array
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -193,7 +194,12 @@ class Codec:
             return " ".join(self.tokens[i] for i in ids if i in self.tokens)
 
     def encode_all(self, texts: list[str | None]) -> list[array]:
-        """Ids of every text. Each distinct run without white space, each distinct word and fragment is worked out once."""
+        """Ids of every text."""
+        ids, ends = self.encode_flat(texts)
+        return [array("i", ids[a:b].tobytes()) for a, b in neighbours(ends.tolist())]
+
+    def encode_flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and where they begin and end. Each distinct run without white space, each distinct word and fragment is worked out once."""
         split = [self.white_split(t) if t else [] for t in texts]
         wanted = set().union(*split)
         ids_of = self.runs.known(wanted)
@@ -207,13 +213,15 @@ class Codec:
                 for word in words:
                     ids.extend(word_ids[word])
         self.runs.add(ids_of)
-        out = []
-        for runs in split:
-            ids = array("i")
-            for run in runs:
-                ids.extend(ids_of[run])
-            out.append(ids)
-        return out
+        # The ids of the distinct runs lie one after another; each run of a text takes its stretch of them.
+        place = dict(zip(ids_of, range(len(ids_of))))
+        known = np.frombuffer(b"".join(ids_of.values()), np.int32)
+        sizes = np.fromiter(map(len, ids_of.values()), np.int64, len(ids_of))
+        runs = np.cumsum([0, *map(len, split)])
+        at = np.fromiter(map(place.__getitem__, chain.from_iterable(split)), np.int64, int(runs[-1]))
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes[at])])
+        shift = (np.cumsum(sizes) - sizes)[at] - ends[:-1]
+        return known[np.repeat(shift, sizes[at]) + np.arange(ends[-1])], ends[runs]
 
     @staticmethod
     def white_split(text: str) -> list[str]:
@@ -342,11 +350,9 @@ def _run(df: DataFrame, path: str, column: str, made: dict[str, T.DataType], wor
     return df.mapInArrow(thrifty(batches), schema)
 
 
-def _encoded(codec: Codec, texts: list[str | None]) -> tuple[pa.Array, list[array]]:
-    lists = codec.encode_all(texts)
-    ends = np.cumsum([0, *map(len, lists)])
-    flat = np.concatenate([np.frombuffer(x, np.int32) for x in lists]) if ends[-1] else np.zeros(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32())), lists
+def _encoded(codec: Codec, texts: list[str | None]) -> tuple[pa.Array, list[list[int]]]:
+    ids, ends = codec.encode_flat(texts)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())), [ids[a:b].tolist() for a, b in neighbours(ends.tolist())]
 
 
 IDS, TEXT = T.ArrayType(T.IntegerType()), T.StringType()
