@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.clustering import LDA, BisectingKMeans, KMeans, KMeansModel
+from pyspark.ml.clustering import BisectingKMeans, KMeans, KMeansModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from shelfsift.operators.features import CountTokens
 from shelfsift.operators.ranks import systematic_sample
+from shelfsift.operators.topics import Topics
 from shelfsift.session import stage
 
 
@@ -78,16 +79,14 @@ def topics(df: DataFrame, tokens: Column, k: int, iters: int = 10, vocab: int |
     bags = df.select(tokens.alias("_tokens"))
     return Pipeline(stages=[
         CountTokens([], ["_tokens"], "_bag", limit=vocab),
-        LDA(k=k, maxIter=iters, optimizer="online", seed=seed, featuresCol="_bag", topicDistributionCol="topics"),
+        Topics(k, iters, seed, "_bag", "topics"),
     ]).fit(bags)
 
 
 def topic_words(model: PipelineModel, n: int = 10) -> DataFrame:
     """(topic, rank, word, weight) of the heaviest words of each topic."""
     counter, lda = model.stages
-    described = lda.describeTopics(n)
-    heaviest = described.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "t")).select(
-        "topic", "rank", F.col("t.termIndices").alias("_at"), F.col("t.termWeights").alias("weight"))
+    heaviest = counter.vocabulary.sparkSession.createDataFrame(lda.heaviest(n), "topic int, rank int, _at int, weight double")
     # k * n rows at most meet the vocabulary.
     words = counter.vocabulary.select(F.col("place").alias("_at"), F.col("token").alias("word"))
     return words.join(F.broadcast(heaviest), "_at").select("topic", "rank", "word", "weight")
